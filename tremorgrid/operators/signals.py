@@ -76,11 +76,10 @@ def resample_cubic(long: DataFrame, fs: float, rows: int = PIECE_ROWS) -> DataFr
     solve of the whole recording to double precision.
     """
     start = recording_start(long)
-    valid = dedupe_samples(long)
-    extent = _extent(valid, start)
     keys = ["file", "channel"]
-    indexed = cut(dense_index(valid.select(*keys, "ts", "x"), keys, ["ts"], "_n"))
-    timed = indexed.join(extent, keys).withColumn("_t", seconds_between(F.col("ts"), F.col("_start")))
+    valid = cut(dedupe_samples(long).select(*keys, "ts", "x"))
+    extent = _extent(valid, start)
+    timed = dense_index(valid, keys, ["ts"], "_n").join(extent, keys).withColumn("_t", seconds_between(F.col("ts"), F.col("_start")))
     pieces = with_halo(timed, "_n", before=SPLINE_HALO, after=SPLINE_HALO, rows=rows)
     pieces = pieces.withColumn("_size", grid_size(F.col("_seconds"), fs))
     types = {field.name: field.dataType.simpleString() for field in long.schema.fields}
@@ -148,12 +147,14 @@ def bandpass_filter(
     pad = 3 * max(len(a), len(b))
     halo = max(memory, pad + 1)
 
+    columns = df.columns
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         if not pdf["_core"].any():  # copies alone, past the end of the recording
             return pd.DataFrame()
         pdf = pdf.sort_values("i").reset_index(drop=True)
         pdf[channels] = kernels.zero_phase(pdf[channels].to_numpy(dtype=float), response, pad)
-        return pdf.loc[pdf["_core"], df.columns]
+        return pdf.loc[pdf["_core"], columns]
 
     pieces = with_halo(df, "i", before=halo, after=halo, rows=max(rows, 4 * halo))
     return pieces.groupBy("file", "_chunk").applyInPandas(run, df.schema)
