@@ -12,7 +12,7 @@ from tremorgrid.functions.expressions import predictions_map
 from tremorgrid.operators.ordered import indexed_table
 from tremorgrid.operators.signals import window_signal
 from tremorgrid.operators.votes import majority_three
-from tremorgrid.session import shared_dir
+from tremorgrid.session import shared_dir, ship_package
 
 RATE = 10.0
 WIDE_CHANNELS = ["ax", "ay", "az", "wx", "wy", "wz"]
@@ -29,6 +29,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     spark.conf.set("spark.sql.session.timeZone", "UTC")  # the tables' times have no zone
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
