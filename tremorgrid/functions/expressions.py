@@ -64,32 +64,36 @@ def require_some_time(df: DataFrame, column: str = "ts", key: str = "file") -> D
     )
 
 
-def _byte(frame: Column, at: int) -> Column:
-    return F.conv(F.hex(F.substring(frame, at + 1, 1)), 16, 10).cast("int")
+def frame_bytes(frame: str, count: int = FRAME_BYTES) -> Column:
+    """The first ``count`` bytes of a binary column as an array of integers 0..255."""
+    return F.expr(f"transform(sequence(1, {count}), p -> cast(conv(hex(substring({frame}, p, 1)), 16, 10) as int))")
 
 
-def _int16(frame: Column, at: int) -> Column:
-    raw = _byte(frame, at) + _byte(frame, at + 1) * 256
-    return F.when(raw >= 32768, raw - 65536).otherwise(raw)
+def _int16(data: Column, at: int) -> Column:
+    """Little-endian signed value of bytes ``at`` and ``at + 1``."""
+    high = data[at + 1]
+    return data[at] + (high - F.when(high > 127, 256).otherwise(0)) * 256
 
 
 def decode_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
     """Decode 11-byte frames; frames of other lengths or types, or with a bad checksum, are dropped.
 
-    ``x, y, z`` are in m/s² for acceleration (``*_g`` in g) and in °/s for rotation.
+    ``x, y, z`` are in m/s² for acceleration (``*_g`` in g) and in °/s for rotation. The bytes are
+    taken apart once per row, as an array that the other expressions read.
     """
-    data = F.col(frame)
-    total = sum((_byte(data, n) for n in range(1, FRAME_BYTES - 1)), _byte(data, 0))
-    kind = _byte(data, 1)
-    valid = (F.length(data) == FRAME_BYTES) & (total.bitwiseAND(F.lit(255)) == _byte(data, 10))
+    others = [c for c in df.columns if c != frame]
+    data = F.col("_b")
+    total = F.aggregate(F.slice(data, 1, FRAME_BYTES - 1), F.lit(0), lambda s, v: s + v)
+    kind = data[1]
+    valid = (total.bitwiseAND(F.lit(255)) == data[FRAME_BYTES - 1]) & kind.isin(ACCEL_TYPE, GYRO_TYPE)
     scale = F.when(kind == ACCEL_TYPE, ACCEL_SCALE).otherwise(GYRO_SCALE)
-    accel = F.col("type") == "accel"
-    decoded = df.where(valid & kind.isin(ACCEL_TYPE, GYRO_TYPE)).select(
-        *[c for c in df.columns if c != frame],
-        F.when(kind == ACCEL_TYPE, "accel").otherwise("gyro").alias("type"),
+    taken = df.where(F.length(frame) == FRAME_BYTES).select(*others, frame_bytes(frame).alias("_b"))
+    decoded = taken.where(valid).select(
+        *others, F.when(kind == ACCEL_TYPE, "accel").otherwise("gyro").alias("type"),
         *[(_int16(data, 2 + 2 * n) * scale).alias(axis) for n, axis in enumerate("xyz")],
         (_int16(data, 8) / TEMPERATURE_SCALE).alias("temp"),
     )
+    accel = F.col("type") == "accel"
     return decoded.select("*", *[
         F.when(accel, F.col(axis) / STANDARD_GRAVITY).alias(f"{axis}_g") for axis in "xyz"
     ])

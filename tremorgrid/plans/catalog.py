@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from tremorgrid.plans import catalog_predictions, catalog_quality, catalog_signals  # noqa: F401
+from tremorgrid.plans import (  # noqa: F401
+    catalog_models,
+    catalog_predictions,
+    catalog_quality,
+    catalog_signals,
+    catalog_streams,
+)
 from tremorgrid.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -82,10 +82,10 @@ def _frames(spark, sf_dir):
     kind = F.when(n % 5 == 4, 0x53).when(n % 2 == 0, ex.ACCEL_TYPE).otherwise(ex.GYRO_TYPE)
     values = (q, F.expr("cast(value * 100 as int) div 2"), -q, F.lit(2500))
     body = F.concat(F.lit("55"), F.hex(kind.cast("bigint")), *[_hex16(v) for v in values])
-    total = sum((F.conv(F.substring(body, 1 + 2 * k, 2), 16, 10).cast("int") for k in range(10)), F.lit(0))
+    total = F.aggregate(ex.frame_bytes("_body", 10), F.lit(0), lambda s, v: s + v)
     check = F.pmod(total + F.when(n % 17 == 0, 1).otherwise(0), F.lit(256))
-    return fx.series(spark, sf_dir).withColumn(
-        "frame", F.unhex(F.concat(body, F.lpad(F.hex(check.cast("bigint")), 2, "0"))))
+    return fx.series(spark, sf_dir).withColumn("_body", F.unhex(body)).withColumn(
+        "frame", F.concat("_body", F.unhex(F.lpad(F.hex(check.cast("bigint")), 2, "0")))).drop("_body")
 
 
 SQL_FRAMES = fx.SQL_SERIES + """, frames AS (
