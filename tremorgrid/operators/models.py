@@ -9,6 +9,7 @@ import json
 import random
 import time
 from collections.abc import Callable, Iterable
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
@@ -22,6 +23,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from tremorgrid.functions.expressions import predicted_class, top_class
 from tremorgrid.operators import metrics
@@ -75,7 +77,7 @@ def gradient_boosting(classes: int, **params) -> Estimator:
     booster = GBTClassifier(featuresCol="scaled", labelCol="label_id", seed=42, **params)
     if classes == 2:
         return booster
-    return OneVsRest(classifier=booster, featuresCol="scaled", labelCol="label_id")
+    return OneVsRest(classifier=booster, featuresCol="scaled", labelCol="label_id", parallelism=4)
 
 
 def scaled_pipeline(columns: list[str], classifier: Estimator) -> Pipeline:
@@ -86,15 +88,20 @@ def scaled_pipeline(columns: list[str], classifier: Estimator) -> Pipeline:
     ])
 
 
-def cross_val_predict(df: DataFrame, estimator: Estimator, folds: int, keep: list[str], fold: str = "fold") -> DataFrame:
+def cross_val_predict(
+    df: DataFrame, estimator: Estimator, folds: int, keep: list[str], fold: str = "fold", parallelism: int = 4,
+) -> DataFrame:
     """Out-of-fold prediction of every row: ``keep``, fold, ``y_true``, ``y_pred`` and ``probs`` if known.
 
-    One fit per fold on the stored table; predictions are unioned, never gathered.
+    One fit per fold on the stored table, up to ``parallelism`` at a time as in ``CrossValidator``;
+    predictions are unioned, never gathered.
     """
     table = cut(df)
+    with ThreadPool(min(parallelism, folds)) as pool:
+        fitted = pool.map(inheritable_thread_target(
+            lambda held: estimator.fit(table.where(F.col(fold) != held))), range(folds))
     out = None
-    for held in range(folds):
-        model = estimator.fit(table.where(F.col(fold) != held))
+    for held, model in enumerate(fitted):
         scored = model.transform(table.where(F.col(fold) == held))
         probs = vector_to_array("probability") if "probability" in scored.columns else F.lit(None).cast("array<double>")
         part = scored.select(*keep, fold, F.col("label_id").cast("int").alias("y_true"),
@@ -205,7 +212,7 @@ def classifier_kinds(classes: int, inputs: int) -> dict[str, Estimator]:
         "Decision Tree Classifier": DecisionTreeClassifier(maxDepth=10, seed=42, **common),
         "Logistic Regression": LogisticRegression(maxIter=100, **common),
         "Naive Bayes": NaiveBayes(modelType="gaussian", **common),
-        "SVM - Linear Kernel": OneVsRest(classifier=LinearSVC(maxIter=50, **common), **common),
+        "SVM - Linear Kernel": OneVsRest(classifier=LinearSVC(maxIter=50, **common), parallelism=4, **common),
         "MLP Classifier": MultilayerPerceptronClassifier(layers=[inputs, 32, classes], maxIter=60, seed=42, **common),
         "Dummy Classifier": LogisticRegression(maxIter=0, elasticNetParam=1.0, regParam=1e6, **common),
     }

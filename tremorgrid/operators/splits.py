@@ -56,7 +56,8 @@ def group_kfold(df: DataFrame, folds: int = 5, group: str = "file") -> DataFrame
     if sizes.limit(folds).count() < folds:
         raise ValueError(f"cannot make {folds} folds of fewer groups")
     histogram = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("m"))
-    quotas = cut(histogram.groupBy(F.lit(0)).applyInPandas(_quotas(folds), "n bigint, _bounds array<bigint>"))
+    quotas = cut(histogram.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(
+        _quotas(folds), "n bigint, _bounds array<bigint>"))
     ranked = dense_index(sizes, ["n"], [group], "_rank").join(quotas, "n")
     assigned = cut(ranked.select(group, F.expr("size(filter(_bounds, b -> b <= _rank))").alias("fold")))
     return df.join(assigned, group)

@@ -144,8 +144,8 @@ def group_holdout(spark, sf_dir):
     df = fx.events(spark, sf_dir).select(F.col("device_id").alias("file"), "seq")
     sides = splits.group_holdout(df, 0.2).groupBy("file").agg(
         F.max(F.col("holdout").cast("int")).alias("hi"), F.min(F.col("holdout").cast("int")).alias("lo"))
-    return sides.agg(F.count_if("lo = 1").alias("held"), F.count_if("hi = 0").alias("kept"),
-                     F.count_if("hi <> lo").alias("torn"))
+    return sides.agg(F.count_if(F.col("lo") == 1).alias("held"), F.count_if(F.col("hi") == 0).alias("kept"),
+                     F.count_if(F.col("hi") != F.col("lo")).alias("torn"))
 
 
 @query("spl3_stratified_kfold", """WITH n AS (SELECT event_type AS label, count(*) AS n FROM events GROUP BY ALL)

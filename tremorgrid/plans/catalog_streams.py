@@ -133,7 +133,7 @@ def _packet_messages(spark, sf_dir):
 
 @query("src9_read_packet_stream", f"""WITH {fx.SQL_PACKETS}
 SELECT type, us, CASE type WHEN 'accel' THEN v0 END AS ax, CASE type WHEN 'gyro' THEN v1 END AS wy FROM packets""")
-def read_packet_stream(spark, sf_dir):
+def readpacket_stream(spark, sf_dir):
     path = fx.scratch(spark)
     _packet_messages(spark, sf_dir).write.text(path)
     return finish(spark, logs.read_packet_stream(spark, path)).select("type", F.unix_micros("ts").alias("us"), "ax", "wy")
@@ -207,7 +207,7 @@ def eval_outputs(spark, sf_dir):
 
 # Streaming jobs: each gives what the batch operators give on the same rows.
 
-def _packet_stream(spark, sf_dir):
+def packet_stream(spark, sf_dir):
     return as_stream(spark, fx.packets(spark, sf_dir).select("device_id", "ts", "seq", "type", *VALUES).coalesce(1))
 
 
@@ -226,14 +226,14 @@ def _window_sums(df):
 
 @query("str1_stream_windows", f"WITH {SQL_STREAM_WINDOWS} SELECT device_id, us, round(a, 6) AS a, round(w, 6) AS w FROM rolled WHERE j >= 19")
 def stream_windows(spark, sf_dir):
-    return _window_sums(finish(spark, sw.stream_windows(_packet_stream(spark, sf_dir), VALUES)))
+    return _window_sums(finish(spark, sw.stream_windows(packet_stream(spark, sf_dir), VALUES)))
 
 
 @query("str1_stream_windows_throttled", f"""WITH RECURSIVE {SQL_STREAM_WINDOWS}, candidates AS (SELECT device_id, us FROM rolled WHERE j >= 19),
 {catalog_predictions._greedy_sql(catalog_predictions.THROTTLE_SECONDS * 1_000_000 + 1)}
 SELECT device_id, us, round(a, 6) AS a, round(w, 6) AS w FROM taken JOIN rolled USING (device_id, us)""")
 def stream_windows_throttled(spark, sf_dir):
-    stream = sw.stream_windows(_packet_stream(spark, sf_dir), VALUES, every_seconds=catalog_predictions.THROTTLE_SECONDS)
+    stream = sw.stream_windows(packet_stream(spark, sf_dir), VALUES, every_seconds=catalog_predictions.THROTTLE_SECONDS)
     return _window_sums(finish(spark, stream))
 
 
@@ -243,12 +243,12 @@ rolled AS (SELECT device_id, us, r, sum(a) OVER o AS a, sum(w) OVER o / 4 AS w F
            WINDOW o AS (PARTITION BY device_id ORDER BY r ROWS 9 PRECEDING))
 SELECT device_id, us, round(a, 6) AS a, round(w, 6) AS w FROM rolled WHERE r >= 10""")
 def stream_windows_fresh(spark, sf_dir):
-    return _window_sums(finish(spark, sw.stream_windows(_packet_stream(spark, sf_dir), VALUES, "fresh", size=10)))
+    return _window_sums(finish(spark, sw.stream_windows(packet_stream(spark, sf_dir), VALUES, "fresh", size=10)))
 
 
 @query("str2_stream_inference")
 def stream_inference(spark, sf_dir):
-    windows = sw.stream_windows(_packet_stream(spark, sf_dir), VALUES)
+    windows = sw.stream_windows(packet_stream(spark, sf_dir), VALUES)
     scored = sw.stream_inference(windows, catalog_models.top20_model(spark, sf_dir), fx.RATE, "a_v1", "a_v2", "w_v1")
     path = fx.scratch(spark)
     logs.write_prediction_stream(
@@ -289,7 +289,7 @@ def stream_log(spark, sf_dir):
 SELECT device_id, count(*) AS raw_packets, count(*) FILTER (type = 'accel') AS accel_packets, count(*) FILTER (type = 'gyro') AS gyro_packets,
        0::BIGINT AS predictions FROM packets GROUP BY device_id""")
 def stream_monitor(spark, sf_dir):
-    return totals(spark, sp.stream_packet_counts(_packet_stream(spark, sf_dir)))
+    return totals(spark, sp.stream_packet_counts(packet_stream(spark, sf_dir)))
 
 
 @query("str6_stream_fault_totals", f"""WITH {fx.SQL_DL}
@@ -304,5 +304,5 @@ def stream_fault_totals(spark, sf_dir):
   SELECT device_id, seq, v0, row_number() OVER (PARTITION BY device_id ORDER BY i DESC) AS recency FROM packets WHERE type = 'accel')
 SELECT * FROM ranked WHERE recency <= 10""")
 def stream_recent(spark, sf_dir):
-    stream = ex.filter_packets(_packet_stream(spark, sf_dir), ("accel",))
+    stream = ex.filter_packets(packet_stream(spark, sf_dir), ("accel",))
     return finish(spark, sp.stream_recent(stream, ["v0"], 10)).select("device_id", "seq", "v0", "recency")
