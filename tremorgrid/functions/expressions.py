@@ -83,12 +83,14 @@ def decode_frames(df: DataFrame, frame: str = "frame") -> DataFrame:
     """
     others = [c for c in df.columns if c != frame]
     data = F.col("_b")
-    total = F.aggregate(F.slice(data, 1, FRAME_BYTES - 1), F.lit(0), lambda s, v: s + v)
     kind = data[1]
-    valid = (total.bitwiseAND(F.lit(255)) == data[FRAME_BYTES - 1]) & kind.isin(ACCEL_TYPE, GYRO_TYPE)
     scale = F.when(kind == ACCEL_TYPE, ACCEL_SCALE).otherwise(GYRO_SCALE)
-    taken = df.where(F.length(frame) == FRAME_BYTES).select(*others, frame_bytes(frame).alias("_b"))
-    decoded = taken.where(valid).select(
+    byte = f"cast(conv(hex(substring({frame}, p, 1)), 16, 10) as int)"
+    total = f"aggregate(sequence(1, {FRAME_BYTES - 1}), 0, (s, p) -> s + {byte})"
+    taken = df.where(
+        f"length({frame}) = {FRAME_BYTES} and substring({frame}, 2, 1) in (X'{ACCEL_TYPE:02X}', X'{GYRO_TYPE:02X}')"
+    ).where(f"{total} & 255 = conv(hex(substring({frame}, {FRAME_BYTES}, 1)), 16, 10)")
+    decoded = taken.select(*others, frame_bytes(frame).alias("_b")).select(
         *others, F.when(kind == ACCEL_TYPE, "accel").otherwise("gyro").alias("type"),
         *[(_int16(data, 2 + 2 * n) * scale).alias(axis) for n, axis in enumerate("xyz")],
         (_int16(data, 8) / TEMPERATURE_SCALE).alias("temp"),

@@ -9,6 +9,7 @@ from tremorgrid.functions import kernels
 from tremorgrid.functions.vectorized import (
     describe_udf, dwt_udf, freq_udf, packet_udf, periodogram_udf,
 )
+from tremorgrid.operators.ordered import median_of_sorted
 from tremorgrid.settings import CHANNELS, slug
 
 META_COLUMNS = ("file", "label", "window_index", "label_id")
@@ -42,13 +43,6 @@ def _fold(window: Column, term) -> Column:
     return F.aggregate(window, F.lit(0.0), lambda total, v: total + term(v))
 
 
-def _median(sorted_array: Column) -> Column:
-    n = F.size(sorted_array)
-    low = F.element_at(sorted_array, F.floor((n + 1) / 2).cast("int"))
-    high = F.element_at(sorted_array, (F.floor(n / 2) + 1).cast("int"))
-    return (low + high) / 2
-
-
 def time_features(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     """Seven shape statistics; skewness and kurtosis are bias-corrected, mad is the mean deviation.
 
@@ -115,7 +109,7 @@ def top20_time(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     """The serving-side statistics: population skewness, median absolute deviation, plain crest factor."""
     x = F.col(f"`{column}`")
     n = F.size(x).cast("double")
-    staged = df.withColumn("_mean", _fold(x, lambda v: v) / n).withColumn("_mid", _median(F.sort_array(x)))
+    staged = df.withColumn("_mean", _fold(x, lambda v: v) / n).withColumn("_mid", median_of_sorted(F.sort_array(x)))
     mean, mid = F.col("_mean"), F.col("_mid")
     staged = staged.select(
         "*",
@@ -127,7 +121,7 @@ def top20_time(df: DataFrame, column: str, prefix: str = "") -> DataFrame:
     )
     rms, m2 = F.sqrt("_sq"), F.col("_m2")
     features = {
-        "rms": rms, "mean": mean, "std": F.sqrt(m2), "mad": _median(F.col("_away")),
+        "rms": rms, "mean": mean, "std": F.sqrt(m2), "mad": median_of_sorted("_away"),
         "skewness": F.when(m2 < 1e-14, 0.0).otherwise(F.col("_m3") / F.pow(m2, F.lit(1.5))),
         "crest_factor": F.when(rms > 0, F.col("_peak") / rms).otherwise(0.0),
     }

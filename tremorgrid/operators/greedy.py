@@ -126,8 +126,8 @@ def select_spaced(
     ids = [f"_k{n}" for n in range(len(keys))]
     types = {key: df.schema[key].dataType.simpleString() for key in keys}
     id_schema = "".join(f"_k{n} {types[key]}, " for n, key in enumerate(keys))
-    points = df.select(*named, F.col(index).alias("_i"), F.col(position).alias("_p"),
-                       chunk_of(index, rows).alias("_node"))
+    points = cut(df.select(*named, F.col(index).alias("_i"), F.col(position).alias("_p"),
+                           chunk_of(index, rows).alias("_node")))
     summary_schema = id_schema + "_node bigint, _base bigint, _enter bigint, _leave bigint"
     state_schema = id_schema + "_node bigint, _allowed bigint"
 

@@ -175,6 +175,14 @@ def previous(
     return staged.where("_core").drop("_core")
 
 
+def median_of_sorted(array: Column | str) -> Column:
+    """Median of an ascending array; null if it is empty."""
+    array = F.col(array) if isinstance(array, str) else array
+    n = F.size(array)
+    low, high = F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")
+    return F.when(n > 0, (F.get(array, low) + F.get(array, high)) / 2)
+
+
 def exact_median(
     df: DataFrame, keys: list[str], value: str, name: str = "median", bins: int = 2048,
     task_rows: int = TASK_ROWS,

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorgrid.operators.ordered import carry_last, exact_median, previous, running_sum
+from tremorgrid.operators.ordered import (
+    TASK_ROWS, carry_last, exact_median, largest_group, median_of_sorted, previous, running_sum,
+)
 from tremorgrid.session import cut
 from tremorgrid.settings import QualityThresholds, SignalConfig
 
@@ -119,20 +121,40 @@ def missing_stats(long: DataFrame) -> DataFrame:
     )
 
 
-def mad_outliers(long: DataFrame, threshold: float = 3.5) -> DataFrame:
-    """Values whose modified z-score exceeds the threshold; the ratio is over all rows."""
+def mad_outliers(long: DataFrame, threshold: float = 3.5, task_rows: int = TASK_ROWS) -> DataFrame:
+    """Values whose modified z-score exceeds the threshold; the ratio is over all rows.
+
+    Channels that fit a task are gathered as one sorted array and need a single shuffle. With a
+    larger channel among them both medians are found by ``exact_median`` without moving rows.
+    """
     keys = ["file", "channel"]
-    values = long.select(*keys, "x")
-    centre = cut(exact_median(values, keys, "x", "_med"))
+    values = long.select(*keys, F.when(~_missing(), F.col("x")).alias("x"))
+    if largest_group(values, keys) <= task_rows:
+        counted = _gathered_outliers(values, keys, threshold)
+    else:
+        counted = _distributed_outliers(values, keys, threshold, task_rows)
+    return counted.select(*keys, "outlier_count", (F.col("outlier_count") / F.col("_rows")).alias("outlier_ratio"))
+
+
+def _gathered_outliers(values: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+    gathered = values.groupBy(*keys).agg(
+        F.sort_array(F.collect_list("x")).alias("_v"), F.count(F.lit(1)).alias("_rows"))
+    centred = gathered.withColumn("_med", median_of_sorted("_v"))
+    away = centred.select(
+        *keys, "_rows", F.sort_array(F.transform("_v", lambda v: F.abs(v - F.col("_med")))).alias("_away"))
+    scaled = away.withColumn("_mad", median_of_sorted("_away"))
+    outliers = F.size(F.filter("_away", lambda v: F.lit(0.6745) * v / F.col("_mad") > threshold))
+    return scaled.select(
+        *keys, "_rows", F.when(F.col("_mad") > 0, outliers).otherwise(0).cast("bigint").alias("outlier_count"))
+
+
+def _distributed_outliers(values: DataFrame, keys: list[str], threshold: float, task_rows: int) -> DataFrame:
+    centre = cut(exact_median(values, keys, "x", "_med", task_rows=task_rows))
     away = values.join(centre, keys, "left").withColumn("_away", F.abs(F.col("x") - F.col("_med")))
-    scale = cut(exact_median(away, keys, "_away", "_mad"))
+    scale = cut(exact_median(away, keys, "_away", "_mad", task_rows=task_rows))
     z = F.lit(0.6745) * F.col("_away") / F.col("_mad")
-    outlier = (F.col("_mad") > 0) & (z > threshold) & ~_missing()
-    return (
-        away.join(scale, keys, "left").groupBy(*keys)
-        .agg(F.count_if(outlier).alias("outlier_count"), F.count(F.lit(1)).alias("_rows"))
-        .select(*keys, "outlier_count", (F.col("outlier_count") / F.col("_rows")).alias("outlier_ratio"))
-    )
+    return away.join(scale, keys, "left").groupBy(*keys).agg(
+        F.count_if((F.col("_mad") > 0) & (z > threshold)).alias("outlier_count"), F.count(F.lit(1)).alias("_rows"))
 
 
 def flatline_runs(long: DataFrame, tolerance: float = 1e-4, min_diffs: int = 60) -> DataFrame:

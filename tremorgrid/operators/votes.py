@@ -9,6 +9,7 @@ from tremorgrid.functions.expressions import FAULT, MODELS
 from tremorgrid.operators.greedy import select_spaced
 from tremorgrid.operators.joins import DEVICE, ensure_index
 from tremorgrid.operators.ordered import CHUNK_ROWS, reindex, running_sum, with_halo
+from tremorgrid.session import cut
 
 
 def majority_three(labels: list[Column]) -> Column:
@@ -93,7 +94,8 @@ def spaced_in_time(df: DataFrame, seconds: float, strict: bool = False, index: s
 
 def cooldown(df: DataFrame, candidate: Column, seconds: float = 300.0, **pieces) -> DataFrame:
     """Of the candidate rows, those not within ``seconds`` of the last one let through."""
-    return spaced_in_time(reindex(ensure_index(df), DEVICE, "i", candidate, "i"), seconds, **pieces)
+    candidates = cut(reindex(ensure_index(df), DEVICE, "i", candidate, "i"))
+    return spaced_in_time(candidates, seconds, **pieces)
 
 
 def throttle(df: DataFrame, seconds: float = 1.0, index: str = "i", **pieces) -> DataFrame:
