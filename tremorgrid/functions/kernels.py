@@ -16,6 +16,10 @@ FREQ_NAMES = (
     "spectral_energy", "peak_frequency", "spectral_centroid",
     "band_power_low", "band_power_mid", "band_power_high",
 )
+SERVING_NAMES = (
+    "time_rms", "time_mean", "time_std", "time_mad", "time_skewness", "time_crest_factor",
+    "freq_spectral_energy", "freq_band_power_low", "wpd_wpd_energy_lvl3_node0", "wpd_wpd_energy_lvl3_node1",
+)
 WPD_NAMES = tuple(f"wpd_energy_lvl3_node{n}" for n in range(8))
 
 
@@ -96,6 +100,20 @@ def periodogram_sums(x: np.ndarray, fs: float, low_hz: float = 2.5) -> np.ndarra
     return np.column_stack([psd.sum(axis=1), psd[:, low].sum(axis=1)])
 
 
+def serving_features(x: np.ndarray, fs: float) -> np.ndarray:
+    """What the streaming model uses of one channel, in the order of ``SERVING_NAMES``."""
+    mean, middle = x.mean(axis=1), np.median(x, axis=1)
+    d = x - mean[:, None]
+    m2, m3 = (d ** 2).mean(axis=1), (d ** 3).mean(axis=1)
+    rms = np.sqrt((x * x).mean(axis=1))
+    flat = m2 < 1e-14
+    skew = np.where(flat, 0.0, m3 / np.where(flat, 1.0, m2) ** 1.5)
+    crest = np.where(rms > 0, np.abs(x).max(axis=1) / np.where(rms > 0, rms, 1.0), 0.0)
+    away = np.median(np.abs(x - middle[:, None]), axis=1)
+    return np.hstack([
+        np.column_stack([rms, mean, np.sqrt(m2), away, skew, crest]), periodogram_sums(x, fs), dwt_energies(x)])
+
+
 def spectrogram_db(x: np.ndarray, n_fft: int, overlap: float) -> np.ndarray:
     """Decibel spectrogram (batch, frequency, time) of (batch, channel, sample), averaged over channels."""
     hop = max(1, int(n_fft * (1 - overlap)))

@@ -75,6 +75,11 @@ def periodogram_udf(fs: float, low_hz: float = 2.5):
     return _struct_udf(("energy", "low"), lambda x: kernels.periodogram_sums(x, fs, low_hz))
 
 
+def serving_udf(fs: float):
+    """The serving features of one channel window in one pass."""
+    return _struct_udf(kernels.SERVING_NAMES, lambda x: kernels.serving_features(x, fs))
+
+
 def spectrogram_udf(n_fft: int, overlap: float):
     """Takes the channel windows as arguments; gives decibels as frequency-major nested arrays."""
     @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorgrid.operators.ordered import CHUNK_ROWS, chunk_of
+from tremorgrid.operators.ordered import CHUNK_ROWS, chunk_of, spread
 from tremorgrid.session import cut
 
 FAN_IN = 256
@@ -140,7 +140,7 @@ def select_spaced(
     top = points.agg(F.max("_node")).first()[0] or 0
     levels = []
     if top > 0:
-        levels.append(cut(grouped(_summarise(gap), points.groupBy(*ids, "_node"), summary_schema)))
+        levels.append(cut(grouped(_summarise(gap), spread(points, *ids, "_node").groupBy(*ids, "_node"), summary_schema)))
         while top >= fan_in:
             parent = F.expr(f"_node div {fan_in}").alias("_parent")
             levels.append(cut(grouped(
@@ -159,6 +159,6 @@ def select_spaced(
         ready = points.withColumn("_allowed", F.lit(int(_OPEN)))
     else:
         ready = points.join(state, [*ids, "_node"])
-    taken = ready.groupBy(*ids, "_node").applyInPandas(_walk(gap), id_schema + "_i bigint")
+    taken = spread(ready, *ids, "_node").groupBy(*ids, "_node").applyInPandas(_walk(gap), id_schema + "_i bigint")
     back = taken.select(*[F.col(f"_k{n}").alias(key) for n, key in enumerate(keys)], F.col("_i").alias(index))
     return df.join(back, [*keys, index], "left_semi")

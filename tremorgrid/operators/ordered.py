@@ -96,11 +96,16 @@ def carry_last(
     columns: dict[str, Column],
     inclusive: bool = True,
     rows: int = CHUNK_ROWS,
+    whole: bool = False,
 ) -> DataFrame:
     """For each new column, the latest non-null value of its expression at or before the row.
 
-    ``inclusive=False`` looks only at earlier rows.
+    ``inclusive=False`` looks only at earlier rows. ``whole`` states that every series fits a task,
+    which saves the pass over pieces.
     """
+    if whole:
+        over = _frame(keys, index, 0 if inclusive else -1)
+        return df.select("*", *[F.last(e, ignorenulls=True).over(over).alias(n) for n, e in columns.items()])
     staged = df.withColumn("_chunk", chunk_of(index, rows))
     for name, expression in columns.items():
         staged = staged.withColumn(f"_v_{name}", expression)
@@ -127,8 +132,12 @@ def running_sum(
     index: str,
     columns: dict[str, Column],
     rows: int = CHUNK_ROWS,
+    whole: bool = False,
 ) -> DataFrame:
     """For each new column, the sum of its expression over the rows up to and including this one."""
+    if whole:
+        over = _frame(keys, index, 0)
+        return df.select("*", *[F.sum(e).over(over).alias(n) for n, e in columns.items()])
     staged = df.withColumn("_chunk", chunk_of(index, rows))
     for name, expression in columns.items():
         staged = staged.withColumn(f"_v_{name}", expression)
@@ -175,6 +184,15 @@ def previous(
     return staged.where("_core").drop("_core")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partition by ``keys`` into the session's full number of shuffle partitions.
+
+    For grouped Python work: partitions that are small in bytes, which Spark would merge, can hold
+    much computing. The grouping that follows needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def median_of_sorted(array: Column | str) -> Column:
     """Median of an ascending array; null if it is empty."""
     array = F.col(array) if isinstance(array, str) else array

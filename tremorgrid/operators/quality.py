@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorgrid.operators.ordered import (
-    TASK_ROWS, carry_last, exact_median, largest_group, median_of_sorted, previous, running_sum,
+    CHUNK_ROWS, TASK_ROWS, carry_last, exact_median, largest_group, median_of_sorted, previous, running_sum,
 )
 from tremorgrid.session import cut
 from tremorgrid.settings import QualityThresholds, SignalConfig
@@ -114,14 +114,18 @@ def _missing(column: str = "x") -> Column:
     return F.col(column).isNull() | F.isnan(column)
 
 
+def _missing_columns() -> list[Column]:
+    missing = F.count_if(_missing())
+    return [missing.alias("missing_count"), (missing / F.count(F.lit(1))).alias("missing_ratio")]
+
+
 def missing_stats(long: DataFrame) -> DataFrame:
-    return long.groupBy("file", "channel").agg(
-        F.count_if(_missing()).alias("missing_count"),
-        (F.count_if(_missing()) / F.count(F.lit(1))).alias("missing_ratio"),
-    )
+    return long.groupBy("file", "channel").agg(*_missing_columns())
 
 
-def mad_outliers(long: DataFrame, threshold: float = 3.5, task_rows: int = TASK_ROWS) -> DataFrame:
+def mad_outliers(
+    long: DataFrame, threshold: float = 3.5, task_rows: int = TASK_ROWS, longest: int | None = None
+) -> DataFrame:
     """Values whose modified z-score exceeds the threshold; the ratio is over all rows.
 
     Channels that fit a task are gathered as one sorted array and need a single shuffle. With a
@@ -129,7 +133,7 @@ def mad_outliers(long: DataFrame, threshold: float = 3.5, task_rows: int = TASK_
     """
     keys = ["file", "channel"]
     values = long.select(*keys, F.when(~_missing(), F.col("x")).alias("x"))
-    if largest_group(values, keys) <= task_rows:
+    if (largest_group(values, keys) if longest is None else longest) <= task_rows:
         counted = _gathered_outliers(values, keys, threshold)
     else:
         counted = _distributed_outliers(values, keys, threshold, task_rows)
@@ -157,7 +161,10 @@ def _distributed_outliers(values: DataFrame, keys: list[str], threshold: float,
         F.count_if((F.col("_mad") > 0) & (z > threshold)).alias("outlier_count"), F.count(F.lit(1)).alias("_rows"))
 
 
-def flatline_runs(long: DataFrame, tolerance: float = 1e-4, min_diffs: int = 60) -> DataFrame:
+def flatline_runs(
+    long: DataFrame, tolerance: float = 1e-4, min_diffs: int = 60, task_rows: int = TASK_ROWS,
+    longest: int | None = None, rows: int = CHUNK_ROWS,
+) -> DataFrame:
     """Runs of nearly equal neighbours after filling gaps forwards, then backwards.
 
     A missing sample repeats the value before it (or, at the start, the first value present), so its
@@ -166,12 +173,13 @@ def flatline_runs(long: DataFrame, tolerance: float = 1e-4, min_diffs: int = 60)
     """
     keys = ["file", "channel"]
     values = long.select(*keys, "i", F.when(~_missing(), F.col("x")).alias("x"))
-    filled = carry_last(values, keys, "i", {"_before": F.col("x")}, inclusive=False)
+    whole = (largest_group(values, keys) if longest is None else longest) <= task_rows
+    filled = carry_last(values, keys, "i", {"_before": F.col("x")}, inclusive=False, rows=rows, whole=whole)
     step = F.abs(F.col("x") - F.col("_before"))
     flat = F.col("x").isNull() | F.col("_before").isNull() | (step < tolerance)
     steps = filled.withColumn("_flat", F.when(F.col("i") > 0, flat).otherwise(False))
     numbered = running_sum(
-        steps, keys, "i", {"_run": F.when(F.col("_flat"), 0).otherwise(1)}
+        steps, keys, "i", {"_run": F.when(F.col("_flat"), 0).otherwise(1)}, rows=rows, whole=whole
     )
     runs = numbered.groupBy(*keys, "_run").agg(
         F.count_if("_flat").alias("_length"), F.count("x").alias("_present")
@@ -191,29 +199,39 @@ def flatline_runs(long: DataFrame, tolerance: float = 1e-4, min_diffs: int = 60)
     )
 
 
-def drift_slope(long: DataFrame, threshold: float = 5e-4) -> DataFrame:
-    """Least-squares slope per second over finite values, with time measured from the recording's start."""
-    start = cut(long.groupBy("file").agg(F.min("ts").alias("_start")))
+def _slope() -> Column:
     finite = ~_missing() & (F.abs("x") < float("inf")) & F.col("ts").isNotNull()
     seconds = seconds_between(F.col("ts"), F.col("_start"))
-    return (
-        long.join(start, "file").groupBy("file", "channel")
-        .agg(F.regr_slope(F.when(finite, F.col("x")), F.when(finite, seconds)).alias("_slope"))
-        .select(
-            "file", "channel", F.coalesce("_slope", F.lit(0.0)).alias("drift_slope_per_sec"),
-            (F.abs(F.coalesce("_slope", F.lit(0.0))) > threshold).alias("drift_flag"),
-        )
-    )
+    return F.coalesce(F.regr_slope(F.when(finite, F.col("x")), F.when(finite, seconds)), F.lit(0.0))
+
+
+def _with_start(long: DataFrame) -> DataFrame:
+    return long.join(cut(long.groupBy("file").agg(F.min("ts").alias("_start"))), "file")
+
+
+def drift_slope(long: DataFrame, threshold: float = 5e-4) -> DataFrame:
+    """Least-squares slope per second over finite values, with time measured from the recording's start."""
+    return _with_start(long).groupBy("file", "channel").agg(
+        _slope().alias("drift_slope_per_sec"), (F.abs(_slope()) > threshold).alias("drift_flag"))
 
 
 def quality_report(long: DataFrame, limits: QualityThresholds = QualityThresholds()) -> DataFrame:
-    """The eight statistics of every (recording, channel)."""
+    """The eight statistics of every (recording, channel).
+
+    Missing values and drift share one aggregation without a shuffle of rows; outliers and flat runs
+    take one shuffle each.
+    """
     keys = ["file", "channel"]
+    plain = cut(_with_start(long).groupBy(*keys).agg(
+        *_missing_columns(), _slope().alias("drift_slope_per_sec"),
+        (F.abs(_slope()) > limits.drift_slope).alias("drift_flag"), F.count(F.lit(1)).alias("_rows")))
+    longest = plain.agg(F.max("_rows")).first()[0] or 0
     return (
-        missing_stats(long)
-        .join(mad_outliers(long, limits.mad_z), keys)
-        .join(flatline_runs(long, limits.flat_tolerance, limits.flat_min_diffs), keys)
-        .join(drift_slope(long, limits.drift_slope), keys)
+        plain.drop("_rows")
+        .join(mad_outliers(long, limits.mad_z, longest=longest), keys)
+        .join(flatline_runs(long, limits.flat_tolerance, limits.flat_min_diffs, longest=longest), keys)
+        .select(*keys, "missing_count", "missing_ratio", "outlier_count", "outlier_ratio", "flatline_segments",
+                "flatline_longest_samples", "drift_slope_per_sec", "drift_flag")
     )
 
 

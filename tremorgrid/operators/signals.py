@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorgrid.functions import kernels
-from tremorgrid.operators.ordered import dense_index, with_halo
+from tremorgrid.operators.ordered import dense_index, spread, with_halo
 from tremorgrid.operators.quality import seconds_between
 from tremorgrid.session import cut
 
@@ -102,7 +102,7 @@ def resample_cubic(long: DataFrame, fs: float, rows: int = PIECE_ROWS) -> DataFr
         out.insert(0, "file", key[0])
         return out
 
-    spline = pieces.groupBy("file", "channel", "_chunk").applyInPandas(
+    spline = spread(pieces, "file", "channel", "_chunk").groupBy("file", "channel", "_chunk").applyInPandas(
         interpolate, f"file {types['file']}, channel string, k bigint, x double"
     )
     micros = F.unix_micros("_start") + F.round(F.col("k") * F.lit(1e6 / fs)).cast("bigint")
@@ -157,7 +157,7 @@ def bandpass_filter(
         return pdf.loc[pdf["_core"], columns]
 
     pieces = with_halo(df, "i", before=halo, after=halo, rows=max(rows, 4 * halo))
-    return pieces.groupBy("file", "_chunk").applyInPandas(run, df.schema)
+    return spread(pieces, "file", "_chunk").groupBy("file", "_chunk").applyInPandas(run, df.schema)
 
 
 def hop_of(size: int, overlap: float) -> int:
