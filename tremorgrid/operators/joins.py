@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorgrid.operators.ordered import carry_last, dense_index, indexed_table, previous, reindex
+from tremorgrid.operators.ordered import CHUNK_ROWS, carry_last, dense_index, indexed_table, previous, reindex
 from tremorgrid.operators.quality import seconds_between
 from tremorgrid.session import cut
 
@@ -21,7 +21,7 @@ def ensure_index(df: DataFrame) -> DataFrame:
     return df if "i" in df.columns else indexed_table(df, DEVICE, ORDER)
 
 
-def pair_carry_forward(packets: DataFrame, values: list[str]) -> DataFrame:
+def pair_carry_forward(packets: DataFrame, values: list[str], rows: int = CHUNK_ROWS) -> DataFrame:
     """Every gyro packet with the latest acceleration before it, however old.
 
     Gives ``device_id, ts, seq, i`` and ``a_*``/``w_*`` columns; gyro packets before any
@@ -29,7 +29,7 @@ def pair_carry_forward(packets: DataFrame, values: list[str]) -> DataFrame:
     """
     reading = F.struct(*values)
     carried = carry_last(
-        ensure_index(packets), DEVICE, "i", {"_accel": F.when(F.col("type") == "accel", reading)}
+        ensure_index(packets), DEVICE, "i", {"_accel": F.when(F.col("type") == "accel", reading)}, rows=rows
     )
     return carried.where("type = 'gyro' and _accel is not null").select(
         "device_id", "ts", "seq", "i",
@@ -37,7 +37,7 @@ def pair_carry_forward(packets: DataFrame, values: list[str]) -> DataFrame:
     )
 
 
-def pair_fresh(packets: DataFrame, values: list[str]) -> DataFrame:
+def pair_fresh(packets: DataFrame, values: list[str], rows: int = CHUNK_ROWS) -> DataFrame:
     """Pairs of one acceleration and one gyro packet, each used once, the latest pending ones.
 
     Among the sensor packets of a device, number j. A packet of the same type as the one before it
@@ -45,12 +45,13 @@ def pair_fresh(packets: DataFrame, values: list[str]) -> DataFrame:
     and is itself left pending otherwise. So since the last repeat (or the start) at j0, pairs are
     complete at j0+1, j0+3, …, each from the packet and its predecessor.
     """
-    sensor = cut(reindex(ensure_index(packets), DEVICE, "i", F.col("type").isin("accel", "gyro"), "j"))
+    wanted = F.col("type").isin("accel", "gyro")
+    sensor = cut(reindex(ensure_index(packets), DEVICE, "i", wanted, "j", rows))
     before = previous(sensor, DEVICE, "j", {
         "_type": F.col("type"), **{f"_b_{v}": F.col(v) for v in values},
-    })
+    }, rows=rows)
     repeat = F.col("_type").isNull() | (F.col("_type") == F.col("type"))
-    marked = carry_last(before, DEVICE, "j", {"_from": F.when(repeat, F.col("j"))})
+    marked = carry_last(before, DEVICE, "j", {"_from": F.when(repeat, F.col("j"))}, rows=rows)
     pairs = marked.where((F.col("j") - F.col("_from")) % 2 == 1)
     accel = F.col("type") == "accel"
     return pairs.select(
