@@ -89,6 +89,10 @@ def _frame(keys: list[str], index: str, end: int) -> Window:
     return Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, end)
 
 
+def _fits(df: DataFrame, index: str, rows: int) -> bool:
+    return (df.agg(F.max(index)).first()[0] or 0) < rows
+
+
 def carry_last(
     df: DataFrame,
     keys: list[str],
@@ -96,20 +100,22 @@ def carry_last(
     columns: dict[str, Column],
     inclusive: bool = True,
     rows: int = CHUNK_ROWS,
-    whole: bool = False,
+    whole: bool | None = None,
 ) -> DataFrame:
     """For each new column, the latest non-null value of its expression at or before the row.
 
     ``inclusive=False`` looks only at earlier rows. ``whole`` states that every series fits a task,
-    which saves the pass over pieces.
+    which saves the pass over pieces; by default the largest index is looked up first.
     """
-    if whole:
+    if _fits(df, index, rows) if whole is None else whole:
         over = _frame(keys, index, 0 if inclusive else -1)
         return df.select("*", *[F.last(e, ignorenulls=True).over(over).alias(n) for n, e in columns.items()])
     staged = df.withColumn("_chunk", chunk_of(index, rows))
     for name, expression in columns.items():
         staged = staged.withColumn(f"_v_{name}", expression)
-    summary = staged.groupBy(*keys, "_chunk").agg(*[
+    # Only series of several pieces hand anything on; there are at most rows-in-all / rows of them.
+    several = cut(df.groupBy(*keys).agg(F.max(index).alias("_m")).where(F.col("_m") >= rows).select(*keys))
+    summary = staged.join(several, keys, "left_semi").groupBy(*keys, "_chunk").agg(*[
         F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), F.col(index))).alias(f"_v_{name}")
         for name in columns
     ])
@@ -132,10 +138,10 @@ def running_sum(
     index: str,
     columns: dict[str, Column],
     rows: int = CHUNK_ROWS,
-    whole: bool = False,
+    whole: bool | None = None,
 ) -> DataFrame:
     """For each new column, the sum of its expression over the rows up to and including this one."""
-    if whole:
+    if _fits(df, index, rows) if whole is None else whole:
         over = _frame(keys, index, 0)
         return df.select("*", *[F.sum(e).over(over).alias(n) for n, e in columns.items()])
     staged = df.withColumn("_chunk", chunk_of(index, rows))
