@@ -10,6 +10,7 @@ from tremorgrid.functions.vectorized import (
     describe_udf, dwt_udf, freq_udf, packet_udf, periodogram_udf, serving_udf,
 )
 from tremorgrid.operators.ordered import median_of_sorted
+from tremorgrid.session import cut
 from tremorgrid.settings import CHANNELS, slug
 
 META_COLUMNS = ("file", "label", "window_index", "label_id")
@@ -173,15 +174,19 @@ def clean_features(df: DataFrame, meta=META_COLUMNS) -> DataFrame:
     """
     features = [c for c in df.columns if c not in meta]
     known = [c for c in df.columns if c in meta]
+    # Stored first: the features are computed once, and the optimiser does not restate the long
+    # condition for every combination of the column aliases beneath it.
+    stored = cut(df)
 
     def complete(columns: list[str]) -> DataFrame:
         zeros = sum((F.col(c) * 0.0 for c in columns), F.lit(0.0))
-        return df.select(*known, *columns).where(zeros == 0.0).na.drop("any", subset=known or None)
+        rows = stored.select(*known, *columns).where(zeros == 0.0)
+        return rows.na.drop("any", subset=known) if known else rows
 
     rows = complete(features)
     if not rows.isEmpty():
         return rows
-    present = df.agg(*[F.max(F.col(c) * 0.0 == 0.0).alias(c) for c in features]).first()
+    present = stored.agg(*[F.max(F.col(c) * 0.0 == 0.0).alias(c) for c in features]).first()
     return complete([c for c in features if present[c]])
 
 
