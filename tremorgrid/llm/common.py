@@ -59,84 +59,105 @@ def text_batches(texts: list[str], characters: int = 4_000_000):
 
 
 class WordEncoder:
-    """Token ids of whole texts, as the tokenizers library gives them, packed as little-endian 32-bit integers.
+    """Token ids of whole texts, as the tokenizers library gives them, packed as little-endian integers.
 
-    Both kinds of vocabulary cut texts at white space before anything else: ``spaced=False`` for one that drops white
-    space, ``spaced=True`` for a byte-level one where a space belongs to the word after it. The library therefore
-    encodes each distinct word once, and texts are joined from words. A text whose spaces don't stand alone is encoded
-    by the library as a whole in the byte-level case.
+    Both kinds of vocabulary cut texts at white space before anything else: ``spaced=False`` for one that lowers case
+    and drops white space, ``spaced=True`` for a byte-level one where a space belongs to the word after it. The library
+    therefore encodes each distinct word once, and texts are joined from words. A text whose spaces don't stand alone
+    is encoded by the library as a whole in the byte-level case. ``width`` is the number of bytes of an id.
     """
 
     _ALONE = re.compile(r" \s")
+    #: ASCII letters and a run of marks behind them: two pieces that the model of the library can take as they are.
+    _PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, spaced: bool):
+    def __init__(self, path: str, spaced: bool, width: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         self.spaced = spaced
+        self.width, self.kind = width, f"<u{width}"
+        self.packed = [i.to_bytes(width, "little") for i in range(self.library.get_vocab_size())]
         self.kept: dict[str, bytes] = {}
         special = [x.content for x in self.library.get_added_tokens_decoder().values() if x.special]
         self.separator = special[-1] if special else None
         self.separator_id = self.library.token_to_id(self.separator) if special else None
 
-    def units(self, text: str) -> list[str] | None:
-        if not self.spaced:
-            return text.replace("\n", " ").split(" ")
-        if self._ALONE.search(text):
-            return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
     def encode(self, texts: list[str]) -> list[bytes]:
+        whole = self._ALONE.search if self.spaced else lambda text: None
+        units = [None if whole(x) else x.split(" ") if self.spaced else x.replace("\n", " ").split(" ") for x in texts]
+        found: set[str] = set()
+        for own in units:
+            found.update(own[1:] if self.spaced and own else own or ())
         kept = self.kept
-        units = [self.units(x) for x in texts]
-        new = list({u for own in units if own is not None for u in own if u not in kept})
+        new = found.difference(kept)
         if len(kept) + len(new) > WORDS_KEPT:
-            kept.clear()
-            new = list({u for own in units if own is not None for u in own})
+            # Words that come back are worth keeping.
+            self.kept = kept = {x: kept[x] for x in found if x in kept}
+            if len(kept) + len(new) > WORDS_KEPT:
+                kept.clear()
+                new = found
         self._learn(new)
-        return [self._plain(text) if own is None else b"".join([kept[u] for u in own])
+        if not self.spaced:
+            return [b"".join([kept[u] for u in own]) for own in units]
+        return [self._library(text) if own is None else self._library(own[0]) + b"".join([kept[u] for u in own[1:]])
                 for text, own in zip(texts, units)]
 
-    def _plain(self, text: str) -> bytes:
-        import numpy as np
-
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    def _library(self, text: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[i] for i in self.library.encode(text, add_special_tokens=False).ids]) if text else b""
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words) -> None:
+        """Ids of new words; in the byte-level case of each with the space before it."""
         import numpy as np
 
-        kept, mark = self.kept, self.separator
-        if mark is None:
-            for word in words:
-                kept[word] = self._plain(word)
-            return
+        kept, packed, tokenize = self.kept, self.packed, self.model.tokenize
+        lead, plain = ("\u0120" if self.spaced else ""), self._PLAIN.fullmatch
+        rest = []
         for word in words:
-            if mark in word:
-                kept[word] = self._plain(word)
-        words = [x for x in words if mark not in x]
-        groups = [words[i:i + _SEPARATED] for i in range(0, len(words), _SEPARATED)]
+            simple = plain(word)
+            if simple:
+                body, marks = simple.groups()
+                pieces = tokenize(lead + body if self.spaced else body.lower())
+                if marks:
+                    pieces += tokenize(marks)
+                kept[word] = b"".join([packed[p.id] for p in pieces])
+            elif self.separator is None or self.separator in word:
+                kept[word] = self._library(" " + word if self.spaced else word)
+            else:
+                rest.append(word)
+        groups = [rest[i:i + _SEPARATED] for i in range(0, len(rest), _SEPARATED)]
+        space = " " if self.spaced else ""
         for start in range(0, len(groups), 256):
             some = groups[start:start + 256]
-            found = self.library.encode_batch_fast([mark.join(x) for x in some], add_special_tokens=False)
-            for group, encoding in zip(some, found):
-                ids = np.array(encoding.ids, dtype="<u4")
-                ends = np.append(np.flatnonzero(ids == self.separator_id), len(ids)) * 4
+            joined = [self.separator.join([space + x for x in group]) for group in some]
+            for group, encoding in zip(some, self.library.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(encoding.ids, dtype=self.kind)
+                ends = np.append(np.flatnonzero(ids == self.separator_id), len(ids)) * self.width
                 data, begin = ids.tobytes(), 0
                 for word, end in zip(group, ends.tolist()):
                     kept[word] = data[begin:end]
-                    begin = end + 4
+                    begin = end + self.width
 
 
-_ENCODERS: dict[tuple[str, bool], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int], WordEncoder] = {}
 
 
-def word_encoder(path: str, spaced: bool) -> WordEncoder:
+def word_encoder(path: str, spaced: bool, width: int = 4) -> WordEncoder:
     """The encoder of this Python process for one vocabulary file."""
-    if (path, spaced) not in _ENCODERS:
-        _ENCODERS[path, spaced] = WordEncoder(path, spaced)
-    return _ENCODERS[path, spaced]
+    key = (path, spaced, width)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(*key)
+    return _ENCODERS[key]
+
+
+def id_width(path: str, least: int = 0) -> int:
+    """Bytes that hold every id of a vocabulary file, and ``least``: 2 or 4."""
+    from tokenizers import Tokenizer
+
+    return 2 if max(Tokenizer.from_file(path).get_vocab_size(), least + 1) <= 1 << 16 else 4
 
 
 def connected(members: DataFrame) -> DataFrame:

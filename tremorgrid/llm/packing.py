@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorgrid.llm.common import running_start, text_batches, word_encoder
+from tremorgrid.llm.common import id_width, running_start, text_batches, word_encoder
 from tremorgrid.session import cut
 
 LENGTH = 4096
@@ -71,31 +71,30 @@ def curve_keys(ids: list[np.ndarray], table: np.ndarray, bits: int = BITS) -> np
     return hilbert_key(cells, bits)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, spaced: bool, end_id: int | None = END_ID, keys: bool = False,
-                     id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, row_tag, n_tokens, ids (little-endian 32-bit) and, with ``keys``, curve_key of every row, written."""
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, width: int, id_column: str,
+                     text_column: str) -> DataFrame:
+    """doc_id, row_tag, n_tokens, curve_key, ids (little-endian, ``width`` bytes each) of every row, written."""
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"),
                          F.monotonically_increasing_id().alias("row_tag"))
-    end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
+    end = end_id.to_bytes(width, "little")
 
     def run(batches):
         import pyarrow as pa
 
-        encoder = word_encoder(tokenizer, spaced)
-        projection = signs(encoder.library.get_vocab_size(), DIMENSIONS) if keys else None
+        encoder = word_encoder(tokenizer, False, width)
+        projection = signs(encoder.library.get_vocab_size(), DIMENSIONS)
         for batch in batches:
             texts = [x or "" for x in batch.column("text").to_pylist()]
             for start, stop in text_batches(texts):
                 ids = encoder.encode(texts[start:stop])
                 own = batch.slice(start, stop - start)
-                out = {"doc_id": own.column("doc_id"), "row_tag": own.column("row_tag"),
-                       "n_tokens": pa.array([(len(x) + len(end)) // 4 for x in ids], pa.int64())}
-                if keys:
-                    out["curve_key"] = pa.array(curve_keys([np.frombuffer(x, dtype="<u4") for x in ids], projection))
-                yield pa.RecordBatch.from_pydict({**out, "ids": pa.array([x + end for x in ids], pa.binary())})
+                keys = curve_keys([np.frombuffer(x, dtype=f"<u{width}") for x in ids], projection)
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": own.column("doc_id"), "row_tag": own.column("row_tag"),
+                    "n_tokens": pa.array([len(x) // width + 1 for x in ids], pa.int64()),
+                    "curve_key": pa.array(keys, pa.int64()), "ids": pa.array([x + end for x in ids], pa.binary())})
 
-    kinds = "doc_id long, row_tag long, n_tokens long, " + "curve_key long, " * keys + "ids binary"
-    return cut(source.mapInArrow(run, kinds))
+    return cut(source.mapInArrow(run, "doc_id long, row_tag long, n_tokens long, curve_key long, ids binary"))
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID,
@@ -111,22 +110,30 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
 
     Ids are written once, thin rows are range-sorted, and one join brings the ids to their places.
     """
-    encoded = encode_documents(docs, tokenizer, False, end_id, True, id_column, text_column)
+    width = id_width(tokenizer, end_id)
+    encoded = encode_documents(docs, tokenizer, end_id, width, id_column, text_column)
     placed = running_start(encoded.select("doc_id", "row_tag", "n_tokens", "curve_key"),
                            ["curve_key", "doc_id", "row_tag"], "n_tokens")
     joined = encoded.select("row_tag", "ids").join(placed.select("row_tag", "doc_id", "n_tokens", "start"), "row_tag")
-    first = F.floor(F.col("start") / length).cast("long")
-    last = F.floor((F.col("start") + F.col("n_tokens") - 1) / length).cast("long")
-
-    def piece(sequence):
-        begin = F.greatest(sequence * length, F.col("start"))
-        size = F.least((sequence + 1) * length, F.col("start") + F.col("n_tokens")) - begin
-        own = begin - F.col("start")
-        return F.struct(own.alias("start"), size.alias("length"),
-                        F.substr("ids", (own * 4 + 1).cast("int"), (size * 4).cast("int")).alias("ids"),
-                        sequence.alias("sequence_id"), (begin - sequence * length).alias("offset"))
-
-    pieces = F.transform(F.sequence(first, last), piece)
-    return (joined.select("doc_id", F.col("n_tokens").alias("doc_tokens"), F.explode(pieces).alias("piece"))
-            .select("doc_id", "piece.start", "piece.length", "piece.ids", "doc_tokens", "piece.sequence_id",
-                    "piece.offset"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            sizes = batch.column("n_tokens").to_numpy()
+            begins = batch.column("start").to_numpy()
+            first, last = begins // length, (begins + sizes - 1) // length
+            row = np.repeat(np.arange(len(sizes)), last - first + 1)
+            sequence = first[row] + np.arange(len(row)) - np.searchsorted(row, row)
+            begin = np.maximum(sequence * length, begins[row])
+            size = np.minimum((sequence + 1) * length, begins[row] + sizes[row]) - begin
+            ids = [np.frombuffer(x.as_buffer(), dtype=f"<u{width}") for x in batch.column("ids")]
+            pieces = [ids[r][a:a + n].astype("<u4").tobytes()
+                      for r, a, n in zip(row.tolist(), (begin - begins[row]).tolist(), size.tolist())]
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id").take(pa.array(row)), "start": pa.array(begin - begins[row]),
+                "length": pa.array(size), "ids": pa.array(pieces, pa.binary()), "doc_tokens": pa.array(sizes[row]),
+                "sequence_id": pa.array(sequence), "offset": pa.array(begin - sequence * length)})
+
+    return joined.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, "
+                                  "sequence_id long, offset long")

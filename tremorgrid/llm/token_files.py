@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorgrid.llm.common import range_starts, word_encoder
-from tremorgrid.llm.packing import END_ID, encode_documents
+from tremorgrid.llm.common import id_width, range_starts, text_batches, word_encoder
+from tremorgrid.llm.packing import END_ID
 
 SHARD_IDS = 1 << 20
 ROUNDS, LEAST_COUNT, RULES_A_ROUND = 4, 24, 2048
@@ -126,14 +124,17 @@ class Shard:
         return self.decode(begin + one, begin + min(two, end - begin))[start - before:stop - before]
 
 
-def pack_shard(doc_ids: list[int | None], documents: list[bytes], vocabulary: int, barrier: int) -> bytes:
-    """One shard as bytes: header, rules, expansion lengths, symbols, document index (id, first symbol, size)."""
-    ids = np.frombuffer(b"".join(documents), "<u4")
+def pack_shard(doc_ids: list[int | None], documents: list[bytes], width: int, vocabulary: int, barrier: int) -> bytes:
+    """One shard as bytes: header, rules, expansion lengths, symbols, document index (id, first symbol, size).
+
+    ``documents`` are ids of ``width`` bytes each; a null id is stored as 0 and named beside the shard.
+    """
+    ids = np.frombuffer(b"".join(documents), f"<u{width}")
     symbols, rules = compress(ids, vocabulary, barrier)
     lengths = np.ones(vocabulary + len(rules), np.int64)
     for r, (a, b) in enumerate(rules.tolist()):
         lengths[vocabulary + r] = lengths[a] + lengths[b]
-    sizes = np.array([len(x) // 4 for x in documents], dtype=np.int64)
+    sizes = np.array([len(x) // width for x in documents], dtype=np.int64)
     ends = np.cumsum(lengths[symbols])
     begins = np.searchsorted(ends, np.cumsum(sizes) - sizes, "right")
     named = np.array([0 if x is None else x for x in doc_ids], dtype=np.int64)
@@ -146,17 +147,21 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                       id_column: str = "doc_id", text_column: str = "text") -> None:
     """Write the ids of every row in ascending doc_id order (nulls first, repeated rows each) as compressed shards.
 
-    Documents (null text: empty) are encoded once, dealt out by ranges of doc_id, and cut into shards of about
-    ``shard_ids`` ids inside each range; a document is never split. Files are Parquet files under ``path``/shards with
-    one shard per row, so Spark's committer answers for lost executors; ``path``/ranges has the ids before each range.
+    Texts (null: empty) are dealt out by ranges of doc_id, then encoded and cut into shards of about ``shard_ids`` ids
+    inside each range; a document is never split. Files are Parquet files under ``path``/shards with one shard per row,
+    so Spark's committer answers for lost executors; ``path``/ranges has the ids before each range.
     """
     spark = docs.sparkSession
-    encoded = encode_documents(docs, tokenizer, True, end_id, False, id_column, text_column)
+    width = id_width(tokenizer, end_id)
+    end = end_id.to_bytes(width, "little")
+    source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"),
+                         F.monotonically_increasing_id().alias("row_tag"))
 
     def run(batches):
         import pyarrow as pa
 
-        vocabulary = max(word_encoder(tokenizer, True).library.get_vocab_size(), end_id + 1)
+        encoder = word_encoder(tokenizer, True, width)
+        vocabulary = max(encoder.library.get_vocab_size(), end_id + 1)
         names: list[int | None] = []
         parts: list[bytes] = []
         held = number = 0
@@ -165,21 +170,24 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             return pa.RecordBatch.from_pydict({
                 "shard_no": pa.array([number], pa.int64()), "n_ids": pa.array([held], pa.int64()),
                 "no_id": pa.array([[i for i, x in enumerate(names) if x is None]], pa.list_(pa.int32())),
-                "data": pa.array([pack_shard(names, parts, vocabulary, end_id)], pa.binary())})
+                "data": pa.array([pack_shard(names, parts, width, vocabulary, end_id)], pa.binary())})
 
         for batch in batches:
-            for name, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
-                if held and held + len(ids) // 4 > shard_ids:
-                    yield shard()
-                    names, parts, held, number = [], [], 0, number + 1
-                names.append(name)
-                parts.append(ids)
-                held += len(ids) // 4
+            ids, texts = batch.column("doc_id").to_pylist(), [x or "" for x in batch.column("text").to_pylist()]
+            for start, stop in text_batches(texts):
+                for name, data in zip(ids[start:stop], encoder.encode(texts[start:stop])):
+                    size = len(data) // width + 1
+                    if held and held + size > shard_ids:
+                        yield shard()
+                        names, parts, held, number = [], [], 0, number + 1
+                    names.append(name)
+                    parts.append(data + end)
+                    held += size
         if names:
             yield shard()
 
-    ranged = encoded.drop("n_tokens").repartitionByRange("doc_id", "row_tag").sortWithinPartitions("doc_id", "row_tag")
-    shards = ranged.select("doc_id", "ids").mapInArrow(run, "shard_no long, n_ids long, no_id array<int>, data binary")
+    ranged = source.repartitionByRange("doc_id", "row_tag").sortWithinPartitions("doc_id", "row_tag")
+    shards = ranged.select("doc_id", "text").mapInArrow(run, "shard_no long, n_ids long, no_id array<int>, data binary")
     (shards.withColumn("range_no", F.spark_partition_id()).write.option("compression", "zstd")
      .parquet(f"{path}/shards"))
     range_starts(spark.read.parquet(f"{path}/shards"), "n_ids").write.parquet(f"{path}/ranges")
@@ -215,6 +223,3 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     return documents.join(starts, "range_no").select(
         "doc_id", (F.col("local") + F.col("range_start")).alias("start"), "n_tokens", "ids")
 
-
-def id_crc(ids: bytes) -> int:
-    return zlib.crc32(ids)
