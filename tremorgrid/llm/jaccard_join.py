@@ -153,18 +153,20 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     ``n_links`` the number of other rows at the threshold, copies included, and exactly one row of each class, one with
     the smallest doc_id, is ``kept``.
 
+    ``tag`` names a unique row number that ``docs``, a written table, already has; without it the texts are written.
     Copies are taken together first, so a hot text is one representative. Its bands (``choose_bands``) are shuffled by
     their hashes; buckets are never expanded into pairs: representatives connected through buckets form candidate
-    groups, each representative's whole set goes once to its group, and a group with more rows or n-grams than a block
+    groups, each representative's whole text goes once to its group, and a group with more rows or n-grams than a block
     holds is cut into blocks that are compared two by two. Every pair that shares a band is compared exactly.
 
     Texts without words (null, empty, blank) are copies of each other. Null ids are the largest ids of their class. An
     empty table gives no rows. Only pairs that miss every band can be lost: one in 1 / (1 - recall) at the threshold.
     """
     bands, rows = choose_bands(threshold, recall, hashes)
-    number = F.col(tag) if tag else F.monotonically_increasing_id()
-    source = docs.select(number.alias("row_tag"), F.col(id_column).cast("long").alias("doc_id"),
-                         F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    named = docs.select(F.col(tag) if tag else F.monotonically_increasing_id().alias("row_tag"),
+                        F.col(id_column).cast("long").alias("doc_id"),
+                        F.coalesce(F.col(text_column), F.lit("")).alias("text"))
+    source = named.withColumnRenamed(tag, "row_tag") if tag else cut(named)
 
     def run(batches):
         import pyarrow as pa
@@ -178,11 +180,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 yield pa.RecordBatch.from_pydict({
                     "row_tag": own.column("row_tag"), "doc_id": own.column("doc_id"), "digest": pa.array(digests),
                     "n_grams": pa.array([len(s) for s in sets], pa.int64()),
-                    "bands": pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets)], pa.list_(pa.int64())),
-                    "grams": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
+                    "bands": pa.array([k.tolist() if len(s) else [] for k, s in zip(keys, sets)], pa.list_(pa.int64()))})
 
-    base = cut(source.mapInArrow(run, "row_tag long, doc_id long, digest binary, n_grams long, bands array<long>, "
-                                      "grams binary"))
+    base = cut(source.mapInArrow(run, "row_tag long, doc_id long, digest binary, n_grams long, bands array<long>"))
     copies = cut(base.groupBy("digest").agg(F.min("row_tag").alias("rep"), F.count(F.lit(1)).alias("copies"),
                                             F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_tag")).alias("low")))
     reps = copies.select("rep", "copies", "low")
@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "rep", "copies", "candidate", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("candidate"), F.lit(shelves))).otherwise(-1).alias("shelf"),
         F.when(F.col("blocks") == 1, F.lit(0).cast("long")).otherwise(F.col("candidate")).alias("large"))
-    sent = base.select(F.col("row_tag").alias("rep"), "grams").join(cut(tasks), "rep")
+    sent = source.select(F.col("row_tag").alias("rep"), "text").join(cut(tasks), "rep")
 
     def compare(key, pdf):
         import pandas as pd
@@ -215,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         pdf = pdf.sort_values(["block", "rep"], kind="stable").reset_index(drop=True)
         a, b = key[2], key[3]
         left = int((pdf["block"] == a).sum()) if a != b else None
-        sets = [np.frombuffer(x, "<u8") for x in pdf["grams"]]
+        sets, _ = grams_of(pdf["text"].tolist(), words)
         i, j = links_in_block(sets, pdf["candidate"].to_numpy(), threshold, left)
         copies_ = pdf["copies"].to_numpy()
         links = np.zeros(len(pdf), np.int64)
