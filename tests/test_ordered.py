@@ -12,9 +12,9 @@ from tremorgrid.session import cut
 
 
 def make_rows(seed=1):
-    """Three series, one of which holds most of the rows."""
+    """Four series, one of which holds most of the rows and one of which has no key."""
     rng, rows = random.Random(seed), []
-    for key, count in (("hot", 400), ("warm", 37), ("single", 1)):
+    for key, count in (("hot", 400), ("warm", 37), ("single", 1), (None, 23)):
         position = 0
         for n in range(count):
             position += rng.choice([0, 1, 2, 3, 7, 30])
@@ -30,12 +30,12 @@ def rows():
 @pytest.fixture(scope="module")
 def table(spark, rows):
     df = spark.createDataFrame(rows, "k string, p bigint, s bigint, x double").repartition(5)
-    return cut(dense_index(df, ["k"], ["p", "s"], task_rows=0))
+    return cut(dense_index(df, ["k"], ["p", "s"]))
 
 
 def ordered(rows):
     out = []
-    for key in sorted({row[0] for row in rows}):
+    for key in sorted({row[0] for row in rows}, key=lambda k: (k is not None, k)):
         mine = sorted((row for row in rows if row[0] == key), key=lambda row: (row[1], row[2]))
         out += [(key, n, *row[1:]) for n, row in enumerate(mine)]
     return out
@@ -49,20 +49,16 @@ def test_index_of_a_range_partitioned_sort(table, rows):
     assert collect(table, "k", "i", "p", "s", "x") == ordered(rows)
 
 
-def test_index_by_window_is_the_same(spark, rows):
-    df = spark.createDataFrame(rows, "k string, p bigint, s bigint, x double")
-    assert collect(dense_index(df, ["k"], ["p", "s"]), "k", "i", "p", "s", "x") == ordered(rows)
-
-
 def test_index_without_key(spark, rows):
     df = spark.createDataFrame([(row[0], row[2]) for row in rows], "k string, s bigint")
-    got = dense_index(df, [], ["k", "s"], task_rows=0).orderBy("i").collect()
+    got = dense_index(df, [], ["k", "s"]).orderBy("i").collect()
     assert [row.i for row in got] == list(range(len(rows)))
-    assert [(row.k, row.s) for row in got] == sorted((row[0], row[2]) for row in rows)
+    assert [(row.k, row.s) for row in got] == sorted(
+        ((row[0], row[2]) for row in rows), key=lambda r: (r[0] is not None, r))
 
 
 @pytest.mark.parametrize("inclusive", [True, False])
-@pytest.mark.parametrize("options", [{"rows": 7}, {"rows": 64}, {"whole": True}])
+@pytest.mark.parametrize("options", [{"rows": 7}, {"rows": 64}, {}])
 def test_carry_last(table, rows, options, inclusive):
     got = carry_last(table, ["k"], "i", {"y": F.col("x")}, inclusive, **options)
     last, expected = {}, []
@@ -74,7 +70,7 @@ def test_carry_last(table, rows, options, inclusive):
     assert collect(got, "k", "i", "y") == expected
 
 
-@pytest.mark.parametrize("options", [{"rows": 7}, {"rows": 64}, {"whole": True}])
+@pytest.mark.parametrize("options", [{"rows": 7}, {"rows": 64}, {}])
 def test_running_sum(table, rows, options):
     total, expected = {}, []
     for key, n, _, s, _ in ordered(rows):
@@ -89,25 +85,32 @@ def test_previous_and_reindex_across_pieces(table, rows):
     assert got == [(key, n, known.get((key, n - 3))) for key, n, *_ in ordered(rows)]
     kept = collect(reindex(table, ["k"], "i", F.col("s") % 3 == 0, "i", rows=5), "k", "i", "s")
     expected = []
-    for key in ("hot", "single", "warm"):
+    for key in (None, "hot", "single", "warm"):
         mine = [s for k, _, _, s, _ in ordered(rows) if k == key and s % 3 == 0]
         expected += [(key, n, s) for n, s in enumerate(mine)]
     assert kept == expected
 
 
-def test_median_of_small_and_narrowed_keys(table, rows):
-    got = {row.k: row.median for row in exact_median(table, ["k"], "x", bins=4, task_rows=100).collect()}
-    for key in ("hot", "warm"):
+@pytest.mark.parametrize("options", [{}, {"slots": 4, "ranked": 3}, {"slots": 2, "ranked": 1}])
+def test_median_of_every_key(table, rows, options):
+    got = {row.k: row.median for row in exact_median(table, ["k"], "x", **options).collect()}
+    for key in ("hot", "warm", None):
         values = [row[3] for row in rows if row[0] == key and row[3] is not None]
         assert got[key] == statistics.median(values)
     everything = [row[3] for row in rows if row[3] is not None]
-    assert exact_median(table, [], "x", task_rows=10).first()[0] == statistics.median(everything)
+    assert exact_median(table, [], "x", **options).first()[0] == statistics.median(everything)
+
+
+INF = float("inf")
 
 
-@pytest.mark.parametrize("values", [[5.0] * 9, [1e308, -1e308, 3.0, 4.0], [1e-300, 2e-300, 1e300], [float("inf"), 1.0, 2.0, 3.0]])
+@pytest.mark.parametrize("values", [
+    [5.0] * 9, [1e308, -1e308, 3.0, 4.0], [1e-300, 2e-300, 1e300], [INF, 1.0, 2.0, 3.0], [INF, -INF, INF],
+    [INF, *[n / 7 for n in range(200)]], [1e300, 1e150, *[n / 7 for n in range(200)]]])
 def test_median_of_awkward_values(spark, values):
     df = spark.createDataFrame([(1, v) for v in values], "k int, x double")
-    assert exact_median(df, ["k"], "x", bins=4, task_rows=0).first()["median"] == statistics.median(values)
+    for options in ({}, {"slots": 4, "ranked": 3}):
+        assert exact_median(df, ["k"], "x", **options).first()["median"] == statistics.median(values)
 
 
 @pytest.mark.parametrize("gap", [1, 5, 60])

@@ -28,7 +28,7 @@ def brute_runs(values, tolerance, least):
     return len(runs), max(runs) + 1 if runs else 0
 
 
-@pytest.mark.parametrize("options", [{}, {"task_rows": 0, "rows": 4}, {"task_rows": 0, "rows": 50}])
+@pytest.mark.parametrize("options", [{}, {"rows": 4}, {"rows": 50}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_flat_runs(spark, options, seed):
     rng = random.Random(seed)
@@ -42,15 +42,22 @@ def test_a_channel_without_values_is_not_flat(spark):
     assert (row.flatline_segments, row.flatline_longest_samples) == (0, 0)
 
 
-@pytest.mark.parametrize("task_rows", [0, 1000])
-def test_outliers(spark, task_rows):
+@pytest.mark.parametrize("options", [{}, {"slots": 4, "ranked": 5}])
+def test_outliers(spark, options):
     rng = random.Random(4)
     values = [rng.gauss(0, 1) for _ in range(200)] + [50.0, -40.0, None, None]
     frame = long_table(spark, values).unionByName(long_table(spark, [3.0] * 9 + [8.0], "constant")).unionByName(
-        long_table(spark, [None] * 3, "empty"))
-    got = {r.file: (r.outlier_count, r.outlier_ratio) for r in quality.mad_outliers(frame, task_rows=task_rows).collect()}
+        long_table(spark, [None] * 3, "empty")).unionByName(long_table(spark, [1.0, 2.0, 90.0, 1.0, 2.0], None)).unionByName(
+        long_table(spark, [float("inf")] * 4 + [1.0], "infinite"))
+    got = {r.file: (r.outlier_count, r.outlier_ratio) for r in quality.mad_outliers(frame, **options).collect()}
     assert got["f"][0] >= 2 and got["f"][1] == got["f"][0] / 204
     assert got["constant"] == (0, 0.0) and got["empty"] == (0, 0.0)
+    assert got[None] == (1, 0.2) and got["infinite"] == (0, 0.0)
+
+
+def test_report_keeps_rows_without_a_file(spark):
+    report = quality.quality_report(long_table(spark, [1.0, 2.0, None, 4.0], None)).collect()
+    assert len(report) == 1 and report[0].missing_count == 1
 
 
 def test_drift_and_missing(spark):

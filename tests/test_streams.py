@@ -94,7 +94,7 @@ def test_votes_equal_the_batch(spark, tmp_path):
     assert {label for label, _ in got.values()} == {None, "Good", "Faulty"}
 
 
-def test_late_rows_are_left_out(spark, packets, tmp_path):
+def test_late_rows_are_processed_when_they_come(spark, packets, tmp_path):
     late = packets.where("seq < 5").withColumn("seq", F.col("seq") + 1000)
     (tmp_path / "in").mkdir()
     packets.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
@@ -105,8 +105,20 @@ def test_late_rows_are_left_out(spark, packets, tmp_path):
         query = windows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(
             availableNow=True).start(str(tmp_path / "o"))
         query.awaitTermination()
-        return spark.read.schema(windows.schema).parquet(str(tmp_path / "o")).count()
+        return spark.read.schema(windows.schema).parquet(str(tmp_path / "o"))
 
-    before = run()
+    before = run().count()
     late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    assert before > 0 and run() == before
+    after = run()
+    gyro = late.where("type = 'gyro'").count()
+    assert before > 0 and gyro > 0 and after.count() == before + gyro
+    assert after.where("seq >= 1000").count() == gyro
+
+
+def test_recent_rows_of_several_batches(spark, packets, tmp_path):
+    rows = packets.select("device_id", "ts", "seq", "v0")
+    written = finish(spark, sp.stream_recent(stream_of(spark, rows, tmp_path / "in", 4), ["v0"], 7), tmp_path)
+    assert written.select("version").distinct().count() > 2
+    got = sp.latest_version(written)
+    assert {(r.device_id, r.seq, r.recency) for r in got.collect()} == {
+        (d, 119 - n, n + 1) for d in range(2) for n in range(7)}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tremorgrid.functions.expressions import FRAME_BYTES, HEADER
 from tremorgrid.operators.greedy import select_spaced
-from tremorgrid.operators.ordered import dense_index, reindex, running_sum, with_halo
+from tremorgrid.operators.ordered import dense_index, null_safe_join, reindex, running_sum, with_halo
 from tremorgrid.session import cut
 
 
@@ -44,9 +44,7 @@ def frame_chunks(df: DataFrame, device: str = "device_id", order: str = "seq", c
     ).where(F.length("frame") == FRAME_BYTES))
     candidates = cut(dense_index(starts, keys, ["offset"], "_h"))
     taken = select_spaced(candidates, keys, "_h", "offset", FRAME_BYTES)
-
-
-    numbered = candidates.join(taken.select(device, "_h", F.lit(True).alias("_taken")), [device, "_h"], "left")
+    numbered = null_safe_join(candidates, taken.select(device, "_h", F.lit(True).alias("_taken")), [device, "_h"], "left")
     return reindex(numbered, keys, "_h", F.coalesce("_taken", F.lit(False)), "frame_no").select(
         device, "frame_no", "offset", "frame"
     )

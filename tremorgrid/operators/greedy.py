@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorgrid.operators.ordered import CHUNK_ROWS, chunk_of, spread
+from tremorgrid.operators.ordered import CHUNK_ROWS, chunk_of, null_safe_join, spread
 from tremorgrid.session import cut
 
 FAN_IN = 256
@@ -138,27 +138,23 @@ def select_spaced(
         return out.withColumnRenamed(f"_k{len(keys)}", "_node")
 
     top = points.agg(F.max("_node")).first()[0] or 0
-    levels = []
-    if top > 0:
-        levels.append(cut(grouped(_summarise(gap), spread(points, *ids, "_node").groupBy(*ids, "_node"), summary_schema)))
-        while top >= fan_in:
-            parent = F.expr(f"_node div {fan_in}").alias("_parent")
-            levels.append(cut(grouped(
-                _compose(gap), levels[-1].withColumn("_parent", parent).groupBy(*ids, "_parent"), summary_schema
-            )))
-            top //= fan_in
+    levels = [cut(grouped(_summarise(gap), spread(points, *ids, "_node").groupBy(*ids, "_node"), summary_schema))]
+    while top >= fan_in:
+        parent = F.expr(f"_node div {fan_in}").alias("_parent")
+        levels.append(cut(grouped(
+            _compose(gap), levels[-1].withColumn("_parent", parent).groupBy(*ids, "_parent"), summary_schema
+        )))
+        top //= fan_in
     state = None
     for level in reversed(levels):
         if state is None:
             entered = level.withColumn("_allowed", F.lit(int(_OPEN))).withColumn("_parent", F.lit(0))
         else:
             parents = state.withColumnRenamed("_node", "_parent")
-            entered = level.withColumn("_parent", F.expr(f"_node div {fan_in}")).join(parents, [*ids, "_parent"])
+            entered = null_safe_join(
+                level.withColumn("_parent", F.expr(f"_node div {fan_in}")), parents, [*ids, "_parent"])
         state = cut(entered.groupBy(*ids, "_parent").applyInPandas(_hand_down(gap), state_schema))
-    if state is None:
-        ready = points.withColumn("_allowed", F.lit(int(_OPEN)))
-    else:
-        ready = points.join(state, [*ids, "_node"])
+    ready = null_safe_join(points, state, [*ids, "_node"])
     taken = spread(ready, *ids, "_node").groupBy(*ids, "_node").applyInPandas(_walk(gap), id_schema + "_i bigint")
     back = taken.select(*[F.col(f"_k{n}").alias(key) for n, key in enumerate(keys)], F.col("_i").alias(index))
-    return df.join(back, [*keys, index], "left_semi")
+    return null_safe_join(df, back, [*keys, index], "left_semi")

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorgrid.operators.ordered import CHUNK_ROWS, carry_last, dense_index, indexed_table, previous, reindex
+from tremorgrid.operators.ordered import (
+    CHUNK_ROWS, carry_last, dense_index, indexed_table, null_safe_join, previous, reindex,
+)
 from tremorgrid.operators.quality import seconds_between
 from tremorgrid.session import cut
 
@@ -100,6 +102,6 @@ def ml_label_by_timestamp(dl: DataFrame, ml: DataFrame, on: list[str] | None = N
 def group_ids(df: DataFrame, column: str = "file", name: str = "group_id") -> DataFrame:
     """Dense integer id of each recording, in sorted order."""
     ids = cut(dense_index(df.select(column).distinct(), [], [column], name))
-    return df.join(ids, column)
+    return null_safe_join(df, ids, [column])
 
 

@@ -59,7 +59,7 @@ def pca_embed(df: DataFrame, columns: list[str], components: int = 2) -> DataFra
 def kmeans_cluster(df: DataFrame, columns: list[str], k: int = 3, seed: int = 42) -> DataFrame:
     """Cluster the (already scaled) features; adds ``features`` and ``cluster``."""
     ready = assemble(df, columns)
-    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(ready).transform(ready)
+    return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=100, tol=0.0).fit(ready).transform(ready)
 
 
 def explore_unsupervised(df: DataFrame, columns: list[str], label: str = "label", k: int = 3, seed: int = 42) -> DataFrame:

@@ -2,12 +2,12 @@
 
 A window function partitioned by the series key puts a whole series into one task, which fails as
 soon as one series holds a large share of the rows. The operators here give the same results with
-bounded tasks: ``dense_index`` numbers the rows of every series by a range-partitioned sort when one is too long for a task, and the
-others work on pieces of ``CHUNK_ROWS`` consecutive rows, passing what crosses a piece boundary
-either as copied neighbour rows (``with_halo``) or as one summary row per piece (``carry_last``,
-``running_sum``).
+bounded tasks, by one plan for every size: ``dense_index`` numbers the rows of every series by a
+range-partitioned sort, and the others work on pieces of ``CHUNK_ROWS`` consecutive rows, passing what
+crosses a piece boundary either as copied neighbour rows (``with_halo``) or as one summary row per
+piece (``carry_last``, ``running_sum``).
 
-Key columns must not be null.
+A null key is a key like any other: tables meet on ``key_of`` structs, which compare nulls as equal.
 """
 
 from __future__ import annotations
@@ -20,43 +20,47 @@ from pyspark.sql import functions as F
 from tremorgrid.session import cut
 
 CHUNK_ROWS = 1 << 18
-TASK_ROWS = 1 << 20
+#: Parts that the values of a key are cut into to narrow its median, and distinct values that one task ranks.
+MEDIAN_SLOTS = 64
+RANKED_ROWS = 1 << 20
 
 
-def largest_group(df: DataFrame, keys: list[str]) -> int:
-    """Rows of the largest key; counts are combined on the map side before they travel."""
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+def key_of(keys: list[str]) -> Column:
+    """The key columns as one struct, equal where all columns are equal or both null."""
+    return F.struct(*keys) if keys else F.struct(F.lit(0).alias("_all"))
 
 
-def dense_index(
-    df: DataFrame, keys: list[str], order: list[str], name: str = "i", task_rows: int = TASK_ROWS
-) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on ``keys`` in which nulls equal nulls; the columns of ``right`` that are no keys are added."""
+    named = right.select(*[F.col(key).alias(f"_r{n}") for n, key in enumerate(keys)],
+                         *[c for c in right.columns if c not in keys])
+    same = reduce(Column.__and__, [F.col(key).eqNullSafe(F.col(f"_r{n}")) for n, key in enumerate(keys)])
+    joined = left.join(named, same, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r{n}" for n in range(len(keys))])
+
+
+def dense_index(df: DataFrame, keys: list[str], order: list[str], name: str = "i") -> DataFrame:
     """Number the rows of each series 0, 1, 2, … by ``order``, which must be unique within a key.
 
-    While the longest series fits a task (counted first), that is a window function. Otherwise rows
-    are range-partitioned by (key, order), so a series that holds most of the data spreads over many
-    tasks. The sorted rows are then written once to the shared folder: partition bounds come from a
+    Rows are range-partitioned by (key, order), so a series that holds most of the data spreads over
+    many tasks. The sorted rows are written once to the shared folder: partition bounds come from a
     sample and must not differ between the two scans that follow.
     """
-    if largest_group(df, keys) <= task_rows:
-        place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        return df.withColumn(name, (place - 1).cast("bigint"))
     placed = cut(
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
         .withColumn("_part", F.spark_partition_id())
         .withColumn("_pos", F.monotonically_increasing_id())
     )
-    spans = placed.groupBy(*keys, "_part").agg(
+    spans = placed.groupBy(key_of(keys).alias("_key"), "_part").agg(
         F.min("_pos").alias("_lo"), F.count(F.lit(1)).alias("_rows")
     )
-    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = spans.select(
-        *keys, "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_lo")).alias("_shift")
+        "_key", "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_lo")).alias("_shift")
     )
     return (
-        placed.join(shifts, [*keys, "_part"])
+        placed.withColumn("_key", key_of(keys)).join(shifts, ["_key", "_part"])
         .withColumn(name, F.col("_pos") + F.col("_shift"))
         .select(*df.columns, name)
     )
@@ -89,10 +93,6 @@ def _frame(keys: list[str], index: str, end: int) -> Window:
     return Window.partitionBy(*keys).orderBy(index).rowsBetween(Window.unboundedPreceding, end)
 
 
-def _fits(df: DataFrame, index: str, rows: int) -> bool:
-    return (df.agg(F.max(index)).first()[0] or 0) < rows
-
-
 def carry_last(
     df: DataFrame,
     keys: list[str],
@@ -100,33 +100,27 @@ def carry_last(
     columns: dict[str, Column],
     inclusive: bool = True,
     rows: int = CHUNK_ROWS,
-    whole: bool | None = None,
 ) -> DataFrame:
     """For each new column, the latest non-null value of its expression at or before the row.
 
-    ``inclusive=False`` looks only at earlier rows. ``whole`` states that every series fits a task,
-    which saves the pass over pieces; by default the largest index is looked up first.
+    ``inclusive=False`` looks only at earlier rows. Rows and summaries meet on (key, piece), by which
+    the rows are partitioned already.
     """
-    if _fits(df, index, rows) if whole is None else whole:
-        over = _frame(keys, index, 0 if inclusive else -1)
-        return df.select("*", *[F.last(e, ignorenulls=True).over(over).alias(n) for n, e in columns.items()])
-    staged = df.withColumn("_chunk", chunk_of(index, rows))
+    staged = df.withColumn("_key", key_of(keys)).withColumn("_chunk", chunk_of(index, rows))
     for name, expression in columns.items():
         staged = staged.withColumn(f"_v_{name}", expression)
-    # Only series of several pieces hand anything on; there are at most rows-in-all / rows of them.
-    several = cut(df.groupBy(*keys).agg(F.max(index).alias("_m")).where(F.col("_m") >= rows).select(*keys))
-    summary = staged.join(several, keys, "left_semi").groupBy(*keys, "_chunk").agg(*[
+    summary = staged.groupBy("_key", "_chunk").agg(*[
         F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), F.col(index))).alias(f"_v_{name}")
         for name in columns
     ])
-    carried = summary.select(*keys, "_chunk", *[
-        F.last(f"_v_{name}", ignorenulls=True).over(_frame(keys, "_chunk", -1)).alias(f"_c_{name}")
+    carried = summary.select("_key", "_chunk", *[
+        F.last(f"_v_{name}", ignorenulls=True).over(_frame(["_key"], "_chunk", -1)).alias(f"_c_{name}")
         for name in columns
     ]).where(reduce(Column.__or__, [F.col(f"_c_{name}").isNotNull() for name in columns]))
-    local = _frame([*keys, "_chunk"], index, 0 if inclusive else -1)
+    local = _frame(["_key", "_chunk"], index, 0 if inclusive else -1)
     for name in columns:
         staged = staged.withColumn(f"_l_{name}", F.last(f"_v_{name}", ignorenulls=True).over(local))
-    return staged.join(carried, [*keys, "_chunk"], "left").select(
+    return staged.join(carried, ["_key", "_chunk"], "left").select(
         *df.columns,
         *[F.coalesce(f"_l_{name}", f"_c_{name}").alias(name) for name in columns],
     )
@@ -138,26 +132,22 @@ def running_sum(
     index: str,
     columns: dict[str, Column],
     rows: int = CHUNK_ROWS,
-    whole: bool | None = None,
 ) -> DataFrame:
     """For each new column, the sum of its expression over the rows up to and including this one."""
-    if _fits(df, index, rows) if whole is None else whole:
-        over = _frame(keys, index, 0)
-        return df.select("*", *[F.sum(e).over(over).alias(n) for n, e in columns.items()])
-    staged = df.withColumn("_chunk", chunk_of(index, rows))
+    staged = df.withColumn("_key", key_of(keys)).withColumn("_chunk", chunk_of(index, rows))
     for name, expression in columns.items():
         staged = staged.withColumn(f"_v_{name}", expression)
-    summary = staged.groupBy(*keys, "_chunk").agg(
+    summary = staged.groupBy("_key", "_chunk").agg(
         *[F.sum(f"_v_{name}").alias(f"_v_{name}") for name in columns]
     )
-    carried = summary.select(*keys, "_chunk", *[
-        F.sum(f"_v_{name}").over(_frame(keys, "_chunk", -1)).alias(f"_c_{name}") for name in columns
+    carried = summary.select("_key", "_chunk", *[
+        F.sum(f"_v_{name}").over(_frame(["_key"], "_chunk", -1)).alias(f"_c_{name}") for name in columns
     ]).where("_chunk > 0")
-    local = _frame([*keys, "_chunk"], index, 0)
+    local = _frame(["_key", "_chunk"], index, 0)
     for name in columns:
         staged = staged.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(local))
     zero = F.lit(0)
-    return staged.join(carried, [*keys, "_chunk"], "left").select(
+    return staged.join(carried, ["_key", "_chunk"], "left").select(
         *df.columns,
         *[
             (F.coalesce(F.col(f"_l_{name}"), zero) + F.coalesce(F.col(f"_c_{name}"), zero)).alias(name)
@@ -208,66 +198,43 @@ def median_of_sorted(array: Column | str) -> Column:
 
 
 def exact_median(
-    df: DataFrame, keys: list[str], value: str, name: str = "median", bins: int = 2048,
-    task_rows: int = TASK_ROWS,
+    df: DataFrame, keys: list[str], value: str, name: str = "median", slots: int = MEDIAN_SLOTS,
+    ranked: int = RANKED_ROWS,
 ) -> DataFrame:
     """Exact median of the non-null values of each key, as one row per key.
 
-    Keys that fit a task use Spark's ``median``, which holds a key's values in one place. For larger
-    keys two histogram passes narrow each middle rank down to the few values that can hold it, and only
-    those are ranked. Rows are never shuffled: each pass combines counts on the map side, so the
-    size of a key does not matter. The answer is exact whatever the distribution.
+    A mergeable quantile sketch cuts the values of each key into ``slots`` parts of about equal size; the
+    counts of the parts show which ones hold the two middle ranks, and only the distinct values in these
+    go on, with their counts. That is repeated until no key has more than ``ranked`` of them, which are
+    then ranked. Counts are combined on the map side, so no row of a hot key is shuffled. Order alone
+    decides, so infinities and outliers narrow like anything else, and the sketch's error costs only
+    narrowing, never exactness.
     """
-    if not keys:
-        return exact_median(df.withColumn("_all", F.lit(0)), ["_all"], value, name, bins, task_rows).drop("_all")
-    rows = df.select(*keys, F.col(value).cast("double").alias("_x")).where("_x is not null and not isnan(_x)")
-    if largest_group(rows, keys) <= task_rows:
-        return rows.groupBy(*keys).agg(F.median("_x").alias(name))
-    sized = cut(rows.groupBy(*keys).agg((F.count(F.lit(1)) > task_rows).alias("_hot")))
-    small = rows.join(sized.where("not _hot").select(*keys), keys, "left_semi")
-    hot = rows.join(sized.where("_hot").select(*keys), keys, "left_semi")
-    return small.groupBy(*keys).agg(F.median("_x").alias(name)).unionByName(
-        _narrowed_median(hot, keys, name, bins))
-
-
-def _narrowed_median(rows: DataFrame, keys: list[str], name: str, bins: int) -> DataFrame:
-    level = cut(
-        rows.groupBy(*keys)
-        .agg(F.min("_x").alias("_a"), F.max("_x").alias("_b"), F.count(F.lit(1)).alias("_n"))
-        .withColumn("_below", F.lit(0).cast("bigint"))
-        .withColumn("_rank", F.explode(F.expr("array_distinct(array((_n - 1) div 2, _n div 2))")))
-    )
-    # Both middle ranks share the first histogram; they may part from the second on.
-    shared = level.groupBy(*keys).agg(F.first("_a").alias("_a"), F.first("_b").alias("_b"))
-    ranks = level.select(*keys, "_rank", "_below")
-    level = cut(_narrow(rows.join(shared, keys), keys, ranks, bins))
-    nearby = rows.join(level, keys).where("_x >= _a and _x <= _b")
-    level = cut(_narrow(nearby, [*keys, "_rank"], level.select(*keys, "_rank", "_below"), bins))
-    left = (
-        rows.join(level, keys).where("_x >= _a and _x <= _b")
-        .groupBy(*keys, "_rank", "_below", "_x").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    upto = Window.partitionBy(*keys, "_rank").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    picked = left.withColumn("_end", F.sum("_c").over(upto) + F.col("_below")).where(
-        "_rank < _end and _rank >= _end - _c"
-    )
-    return picked.groupBy(*keys).agg(F.avg("_x").alias(name))
-
-
-def _narrow(rows: DataFrame, group: list[str], ranks: DataFrame, bins: int) -> DataFrame:
-    width = F.col("_b") - F.col("_a")
-    slot = F.when((width > 0) & (width < float("inf")), F.floor((F.col("_x") - F.col("_a")) / width * F.lit(float(bins)))).otherwise(0)
-    counted = (
-        rows.groupBy(*group, slot.alias("_slot"))
-        .agg(F.count(F.lit(1)).alias("_c"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    )
-    upto = Window.partitionBy(*group).orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-    keys = [column for column in group if column != "_rank"]
-    ended = counted.withColumn("_end", F.sum("_c").over(upto))
-    return (
-        ended.join(ranks, group)
-        .withColumn("_end", F.col("_end") + F.col("_below"))
-        .where("_rank < _end and _rank >= _end - _c")
-        .select(*keys, "_rank", (F.col("_end") - F.col("_c")).alias("_below"),
-                F.col("_lo").alias("_a"), F.col("_hi").alias("_b"))
-    )
+    left = df.select(key_of(keys).alias("_key"), F.col(value).cast("double").alias("_x")).where(
+        "_x is not null and not isnan(_x)").withColumn("_c", F.lit(1).cast("bigint"))
+    state = cut(left.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).withColumn("_below", F.lit(0).cast("bigint")))
+    edges = F.lit([n / slots for n in range(1, slots)])
+    while True:
+        grid = cut(left.groupBy("_key").agg(F.percentile_approx("_x", edges, 32 * slots).alias("_q")))
+        slot = F.size(F.filter("_q", lambda e: e < F.col("_x")))
+        slotted = left.join(grid, "_key").select("_key", "_x", "_c", slot.alias("_slot"))
+        upto = Window.partitionBy("_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+        counted = slotted.groupBy("_key", "_slot").agg(F.sum("_c").alias("_c")).join(state, "_key").withColumn(
+            "_end", F.sum("_c").over(upto) + F.col("_below"))
+        state = cut(_holding_middle(counted).groupBy("_key").agg(
+            F.first("_n").alias("_n"), F.min(F.col("_end") - F.col("_c")).alias("_below"),
+            F.min("_slot").alias("_first"), F.max("_slot").alias("_last")))
+        near = slotted.join(state.select("_key", "_first", "_last"), "_key").where("_slot between _first and _last")
+        left = cut(near.groupBy("_key", "_x").agg(F.sum("_c").alias("_c")))
+        state = state.select("_key", "_n", "_below")
+        if (left.groupBy("_key").count().agg(F.max("count")).first()[0] or 0) <= ranked:
+            break
+    upto = Window.partitionBy("_key").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
+    ended = left.join(state, "_key").withColumn("_end", F.sum("_c").over(upto) + F.col("_below"))
+    middle = _holding_middle(ended).groupBy("_key").agg(F.avg("_x").alias(name))
+    return middle.select(*[F.col(f"_key.{key}").alias(key) for key in keys], name)
+
+
+def _holding_middle(counted: DataFrame) -> DataFrame:
+    """The rows whose ranks [_end - _c, _end) take in one of the two middle ranks of ``_n``."""
+    return counted.where("(_n - 1) div 2 between _end - _c and _end - 1 or _n div 2 between _end - _c and _end - 1")

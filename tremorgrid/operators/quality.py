@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorgrid.operators.ordered import (
-    CHUNK_ROWS, TASK_ROWS, carry_last, exact_median, largest_group, median_of_sorted, previous, running_sum,
+    CHUNK_ROWS, carry_last, exact_median, null_safe_join, previous, running_sum,
 )
 from tremorgrid.session import cut
 from tremorgrid.settings import QualityThresholds, SignalConfig
@@ -42,9 +42,8 @@ def sampling_metrics(df: DataFrame, strict: bool = True) -> DataFrame:
         F.count(F.lit(1)).alias("samples"),
         seconds_between(F.max_by("ts", "i"), F.min_by("ts", "i")).alias("duration_seconds"),
     )
-    joined = extent.join(spread, "file", "left").join(
-        exact_median(steps, ["file"], "fs", "fs_median"), "file", "left"
-    )
+    joined = null_safe_join(null_safe_join(extent, spread, ["file"], "left"),
+                            exact_median(steps, ["file"], "fs", "fs_median"), ["file"], "left")
     if strict:
         failure = F.raise_error(F.concat(F.lit("no positive sampling step in "), F.col("file").cast("string")))
         joined = joined.withColumn(
@@ -123,47 +122,26 @@ def missing_stats(long: DataFrame) -> DataFrame:
     return long.groupBy("file", "channel").agg(*_missing_columns())
 
 
-def mad_outliers(
-    long: DataFrame, threshold: float = 3.5, task_rows: int = TASK_ROWS, longest: int | None = None
-) -> DataFrame:
+def mad_outliers(long: DataFrame, threshold: float = 3.5, **median) -> DataFrame:
     """Values whose modified z-score exceeds the threshold; the ratio is over all rows.
 
-    Channels that fit a task are gathered as one sorted array and need a single shuffle. With a
-    larger channel among them both medians are found by ``exact_median`` without moving rows.
+    A score that is not a number (an infinite value at an infinite median) exceeds nothing, and a channel
+    whose deviations have no positive median has no outliers.
     """
     keys = ["file", "channel"]
     values = long.select(*keys, F.when(~_missing(), F.col("x")).alias("x"))
-    if (largest_group(values, keys) if longest is None else longest) <= task_rows:
-        counted = _gathered_outliers(values, keys, threshold)
-    else:
-        counted = _distributed_outliers(values, keys, threshold, task_rows)
+    centre = cut(exact_median(values, keys, "x", "_med", **median))
+    away = null_safe_join(values, centre, keys, "left").withColumn("_away", F.abs(F.col("x") - F.col("_med")))
+    scale = cut(exact_median(away, keys, "_away", "_mad", **median))
+    z = F.when(F.col("_mad") > 0, F.lit(0.6745) * F.col("_away") / F.col("_mad"))
+    counted = null_safe_join(away, scale, keys, "left").groupBy(*keys).agg(
+        F.count_if(~F.isnan(z) & (z > threshold)).alias("outlier_count"),
+        F.count(F.lit(1)).alias("_rows"))
     return counted.select(*keys, "outlier_count", (F.col("outlier_count") / F.col("_rows")).alias("outlier_ratio"))
 
 
-def _gathered_outliers(values: DataFrame, keys: list[str], threshold: float) -> DataFrame:
-    gathered = values.groupBy(*keys).agg(
-        F.sort_array(F.collect_list("x")).alias("_v"), F.count(F.lit(1)).alias("_rows"))
-    centred = gathered.withColumn("_med", median_of_sorted("_v"))
-    away = centred.select(
-        *keys, "_rows", F.sort_array(F.transform("_v", lambda v: F.abs(v - F.col("_med")))).alias("_away"))
-    scaled = away.withColumn("_mad", median_of_sorted("_away"))
-    outliers = F.size(F.filter("_away", lambda v: F.lit(0.6745) * v / F.col("_mad") > threshold))
-    return scaled.select(
-        *keys, "_rows", F.when(F.col("_mad") > 0, outliers).otherwise(0).cast("bigint").alias("outlier_count"))
-
-
-def _distributed_outliers(values: DataFrame, keys: list[str], threshold: float, task_rows: int) -> DataFrame:
-    centre = cut(exact_median(values, keys, "x", "_med", task_rows=task_rows))
-    away = values.join(centre, keys, "left").withColumn("_away", F.abs(F.col("x") - F.col("_med")))
-    scale = cut(exact_median(away, keys, "_away", "_mad", task_rows=task_rows))
-    z = F.lit(0.6745) * F.col("_away") / F.col("_mad")
-    return away.join(scale, keys, "left").groupBy(*keys).agg(
-        F.count_if((F.col("_mad") > 0) & (z > threshold)).alias("outlier_count"), F.count(F.lit(1)).alias("_rows"))
-
-
 def flatline_runs(
-    long: DataFrame, tolerance: float = 1e-4, min_diffs: int = 60, task_rows: int = TASK_ROWS,
-    longest: int | None = None, rows: int = CHUNK_ROWS,
+    long: DataFrame, tolerance: float = 1e-4, min_diffs: int = 60, rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Runs of nearly equal neighbours after filling gaps forwards, then backwards.
 
@@ -173,13 +151,12 @@ def flatline_runs(
     """
     keys = ["file", "channel"]
     values = long.select(*keys, "i", F.when(~_missing(), F.col("x")).alias("x"))
-    whole = (largest_group(values, keys) if longest is None else longest) <= task_rows
-    filled = carry_last(values, keys, "i", {"_before": F.col("x")}, inclusive=False, rows=rows, whole=whole)
+    filled = carry_last(values, keys, "i", {"_before": F.col("x")}, inclusive=False, rows=rows)
     step = F.abs(F.col("x") - F.col("_before"))
     flat = F.col("x").isNull() | F.col("_before").isNull() | (step < tolerance)
     steps = filled.withColumn("_flat", F.when(F.col("i") > 0, flat).otherwise(False))
     numbered = running_sum(
-        steps, keys, "i", {"_run": F.when(F.col("_flat"), 0).otherwise(1)}, rows=rows, whole=whole
+        steps, keys, "i", {"_run": F.when(F.col("_flat"), 0).otherwise(1)}, rows=rows
     )
     runs = numbered.groupBy(*keys, "_run").agg(
         F.count_if("_flat").alias("_length"), F.count("x").alias("_present")
@@ -206,7 +183,7 @@ def _slope() -> Column:
 
 
 def _with_start(long: DataFrame) -> DataFrame:
-    return long.join(cut(long.groupBy("file").agg(F.min("ts").alias("_start"))), "file")
+    return null_safe_join(long, cut(long.groupBy("file").agg(F.min("ts").alias("_start"))), ["file"])
 
 
 def drift_slope(long: DataFrame, threshold: float = 5e-4) -> DataFrame:
@@ -218,18 +195,16 @@ def drift_slope(long: DataFrame, threshold: float = 5e-4) -> DataFrame:
 def quality_report(long: DataFrame, limits: QualityThresholds = QualityThresholds()) -> DataFrame:
     """The eight statistics of every (recording, channel).
 
-    Missing values and drift share one aggregation without a shuffle of rows; outliers and flat runs
-    take one shuffle each.
+    Missing values and drift share one aggregation without a shuffle of rows; the medians of the outliers
+    shuffle only counts; flat runs shuffle rows once, by pieces.
     """
     keys = ["file", "channel"]
-    plain = cut(_with_start(long).groupBy(*keys).agg(
+    plain = _with_start(long).groupBy(*keys).agg(
         *_missing_columns(), _slope().alias("drift_slope_per_sec"),
-        (F.abs(_slope()) > limits.drift_slope).alias("drift_flag"), F.count(F.lit(1)).alias("_rows")))
-    longest = plain.agg(F.max("_rows")).first()[0] or 0
+        (F.abs(_slope()) > limits.drift_slope).alias("drift_flag"))
+    outliers = null_safe_join(plain, mad_outliers(long, limits.mad_z), keys)
     return (
-        plain.drop("_rows")
-        .join(mad_outliers(long, limits.mad_z, longest=longest), keys)
-        .join(flatline_runs(long, limits.flat_tolerance, limits.flat_min_diffs, longest=longest), keys)
+        null_safe_join(outliers, flatline_runs(long, limits.flat_tolerance, limits.flat_min_diffs), keys)
         .select(*keys, "missing_count", "missing_ratio", "outlier_count", "outlier_ratio", "flatline_segments",
                 "flatline_longest_samples", "drift_slope_per_sec", "drift_flag")
     )

@@ -79,6 +79,11 @@ def stratified_kfold(df: DataFrame, folds: int, label: str, row_id: list[str], s
 
 
 def random_split(df: DataFrame, train_fraction: float, row_id: list[str], seed: int = 42) -> DataFrame:
-    """Add ``train``: a stable function of the row id, so no row changes sides between runs."""
-    share = F.pmod(hashed(row_id, seed), F.lit(1_000_000)) / 1_000_000
-    return df.withColumn("train", share < train_fraction)
+    """Add ``train``: a stable function of the row id, so no row changes sides between runs or engines.
+
+    The first eight digits of an MD5 sum stand for a number below 2^32.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in row_id]))
+    bound = int(train_fraction * (1 << 32))
+    whole = F.lit(bound >= 1 << 32)
+    return df.withColumn("train", whole | (F.substring(digest, 1, 8) < F.lit(f"{min(bound, (1 << 32) - 1):08x}")))

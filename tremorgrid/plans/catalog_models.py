@@ -155,7 +155,8 @@ def stratified_kfold(spark, sf_dir):
     return splits.stratified_kfold(df, 5, "label", ["seq"]).groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("spl4_random_split")
+@query("spl4_random_split", f"""SELECT substr(md5('42|' || event_id), 1, 8) < '{int(0.8 * (1 << 32)):08x}' AS train,
+  count(*) AS n, sum(event_id)::BIGINT AS seq_sum FROM events GROUP BY ALL""")
 def random_split(spark, sf_dir):
     df = splits.random_split(fx.events(spark, sf_dir), 0.8, ["seq"])
     return df.groupBy("train").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("seq_sum"))
@@ -164,7 +165,7 @@ def random_split(spark, sf_dir):
 # Models on the embeddings as windows.
 
 SAMPLE_NAMES = [f"f{n}" for n in range(64)]
-USED = SAMPLE_NAMES[:12]
+USED = SAMPLE_NAMES
 
 
 def feature_table(spark, sf_dir, label: str = "y3"):
@@ -180,11 +181,11 @@ def folded_table(spark, sf_dir, label: str = "y3", folds: int = 3):
 
 
 SQL_WIDE_VECTORS = fx.SQL_VECTORS + ", wide AS (SELECT window_index, " + ", ".join(
-    f"samples[{n + 1}] AS f{n}" for n in range(12)) + " FROM vectors)"
+    f"samples[{n + 1}] AS f{n}" for n in range(64)) + " FROM vectors)"
 
 
 @query("ml1_standard_scale", f"WITH {SQL_WIDE_VECTORS} SELECT window_index, " + ", ".join(
-    f"round((f{n} - avg(f{n}) OVER ()) / stddev_pop(f{n}) OVER (), 8) + 0.0 AS f{n}" for n in range(12)) + " FROM wide")
+    f"round((f{n} - avg(f{n}) OVER ()) / stddev_pop(f{n}) OVER (), 8) + 0.0 AS f{n}" for n in range(64)) + " FROM wide")
 def standard_scale(spark, sf_dir):
     scaled = models.standard_scale(feature_table(spark, sf_dir).select("window_index", *USED), USED)
     return scaled.withColumns({c: F.round(c, 8) + F.lit(0.0) for c in USED})
@@ -196,10 +197,18 @@ def pca_embed(spark, sf_dir):
     return out.select("window_index", F.round(F.abs("pc1"), 6).alias("pc1"), F.round(F.abs("pc2"), 6).alias("pc2"))
 
 
-@query("ml3_kmeans_cluster")
+@query("ml3_kmeans_cluster", f"WITH {fx.SQL_VECTORS} SELECT window_index, TRUE AS nearest FROM vectors")
 def kmeans_cluster(spark, sf_dir):
+    """Every window, and whether the mean of its cluster is the nearest of the clusters' means."""
     table = models.standard_scale(feature_table(spark, sf_dir), SAMPLE_NAMES)
-    return models.kmeans_cluster(table, SAMPLE_NAMES).select("window_index", "cluster")
+    found = cut(models.kmeans_cluster(table, SAMPLE_NAMES).select("window_index", "cluster", *SAMPLE_NAMES))
+    means = found.groupBy("cluster").agg(*[F.avg(c).alias(f"m_{c}") for c in SAMPLE_NAMES]).withColumnRenamed(
+        "cluster", "other")
+    away = sum(((F.col(c) - F.col(f"m_{c}")) ** 2 for c in SAMPLE_NAMES), F.lit(0.0))
+    one = F.lit(1).alias("_k")  # three means meet every row
+    met = found.select("*", one).join(F.broadcast(means.select("*", one)), "_k").withColumn("_d", away)
+    return met.groupBy("window_index").agg(
+        (F.min_by("other", "_d") == F.first("cluster")).alias("nearest"))
 
 
 @query("ml4_explore_unsupervised")
@@ -207,18 +216,29 @@ def explore_unsupervised(spark, sf_dir):
     return models.explore_unsupervised(feature_table(spark, sf_dir), SAMPLE_NAMES, "label_id")
 
 
-@query("agg9_silhouette")
+@query("agg9_silhouette", f"""WITH {SQL_WIDE_VECTORS}, long AS (
+  SELECT window_index, y3 AS c, n, (x - avg(x) OVER f) / stddev_pop(x) OVER f AS x
+  FROM (SELECT window_index, y3, unnest(range(64)) AS n, unnest(samples) AS x FROM vectors) WINDOW f AS (PARTITION BY n)),
+size AS (SELECT c, count(DISTINCT window_index)::DOUBLE AS m, sum(x * x) AS q FROM long GROUP BY c),
+sums AS (SELECT c, n, sum(x) AS s FROM long GROUP BY c, n),
+squares AS (SELECT window_index, c, sum(x * x) AS x2 FROM long GROUP BY ALL),
+dots AS (SELECT l.window_index, s.c AS other, sum(l.x * s.s) AS d FROM long l JOIN sums s USING (n) GROUP BY ALL),
+away AS (SELECT window_index, p.c, other, (m * x2 - 2 * d + q) / CASE WHEN other = p.c THEN m - 1 ELSE m END AS mean_distance
+         FROM squares p JOIN dots USING (window_index) JOIN size z ON z.c = other),
+ab AS (SELECT window_index, min(mean_distance) FILTER (other = c) AS a, min(mean_distance) FILTER (other <> c) AS b FROM away GROUP BY ALL)
+SELECT round(avg((b - a) / greatest(a, b)), 9) AS silhouette_squared_euclidean FROM ab""")
 def silhouette(spark, sf_dir):
-    table = models.standard_scale(feature_table(spark, sf_dir), SAMPLE_NAMES)
-    score = metrics.silhouette(models.kmeans_cluster(table, SAMPLE_NAMES), "features", "cluster")
-    return spark.range(1).select(F.lit(score).alias("silhouette_squared_euclidean"))
+    """The classes as clusters."""
+    ready = models.assemble(models.standard_scale(feature_table(spark, sf_dir), SAMPLE_NAMES), SAMPLE_NAMES)
+    score = metrics.silhouette(ready, "features", "label_id")
+    return spark.range(1).select(F.round(F.lit(score), 9).alias("silhouette_squared_euclidean"))
 
 
-@query("ml5_boosted_baseline")
+@query("ml5_boosted_baseline", f"WITH {fx.SQL_VECTORS} SELECT window_index, y3 AS y_true, TRUE AS known_class FROM vectors")
 def boosted_baseline(spark, sf_dir):
     table = splits.stratified_kfold(feature_table(spark, sf_dir), 2, "label_id", ["window_index"])
     out = models.boosted_baseline(table, USED, CLASSES, folds=2, trees=10, keep=["window_index"])
-    return out.select("window_index", "fold", "y_true", "y_pred")
+    return out.select("window_index", "y_true", F.col("y_pred").between(0, CLASSES - 1).alias("known_class"))
 
 
 @query("ml6_random_search_cv")
@@ -284,7 +304,7 @@ def _power_sql() -> str:
         f"SELECT feature, {n} AS k, -count(*) / 2 * ln(var_pop({transform(lam)})) + ({lam} - 1) * sum(sign(x) * ln(1 + abs(x))) AS l FROM long GROUP BY feature"
         for n, lam in enumerate(GRID))
     shaped = "CASE k " + " ".join(f"WHEN {n} THEN {transform(lam)}" for n, lam in enumerate(GRID)) + " END"
-    stacked = " UNION ALL ".join(f"SELECT window_index, 'f{n}' AS feature, f{n} AS x FROM wide" for n in range(12))
+    stacked = " UNION ALL ".join(f"SELECT window_index, 'f{n}' AS feature, f{n} AS x FROM wide" for n in range(64))
     return f"""WITH {SQL_WIDE_VECTORS}, long AS ({stacked}), fits AS ({fits}),
 best AS (SELECT feature, arg_max(k, l) AS k FROM fits GROUP BY feature),
 shaped AS (SELECT window_index, feature, {shaped} AS z FROM long JOIN best USING (feature))
@@ -297,15 +317,15 @@ def yeo_johnson(spark, sf_dir):
     return out.unpivot(["window_index"], USED, "feature", "z").withColumn("z", F.round("z", 7) + F.lit(0.0))
 
 
-@query("ml11_impute", f"""WITH {SQL_WIDE_VECTORS}, holes AS (SELECT window_index, CASE WHEN window_index % 4 = 0 THEN NULL ELSE f0 END AS f0,
-  CASE WHEN window_index % 5 = 1 THEN NULL ELSE f1 END AS f1 FROM wide)
-SELECT window_index, round(coalesce(f0, avg(f0) OVER ()), 9) + 0.0 AS f0, round(coalesce(f1, avg(f1) OVER ()), 9) + 0.0 AS f1 FROM holes""")
+@query("ml11_impute", f"WITH {SQL_WIDE_VECTORS}, holes AS (SELECT window_index, " + ", ".join(
+    f"CASE WHEN (window_index + {n}) % {4 + n % 3} = 0 THEN NULL ELSE f{n} END AS f{n}" for n in range(64)) +
+    " FROM wide) SELECT window_index, " + ", ".join(
+    f"round(coalesce(f{n}, avg(f{n}) OVER ()), 9) + 0.0 AS f{n}" for n in range(64)) + " FROM holes")
 def impute(spark, sf_dir):
-    n = F.col("window_index")
-    holes = feature_table(spark, sf_dir).select(
-        n, F.when(n % 4 == 0, None).otherwise(F.col("f0")).alias("f0"),
-        F.when(n % 5 == 1, None).otherwise(F.col("f1")).alias("f1"))
-    return models.impute_mean(holes, ["f0", "f1"]).withColumns({c: F.round(c, 9) + F.lit(0.0) for c in ("f0", "f1")})
+    at = F.col("window_index")
+    holes = feature_table(spark, sf_dir).select(at, *[
+        F.when((at + n) % (4 + n % 3) == 0, None).otherwise(F.col(c)).alias(c) for n, c in enumerate(SAMPLE_NAMES)])
+    return models.impute_mean(holes, SAMPLE_NAMES).withColumns({c: F.round(c, 9) + F.lit(0.0) for c in SAMPLE_NAMES})
 
 
 def network_table(spark, sf_dir):

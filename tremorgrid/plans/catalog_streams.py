@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tremorgrid.functions import expressions as ex
 from tremorgrid.operators import features, metrics, models, quality, signals
@@ -18,11 +19,28 @@ VALUES = catalog_predictions.VALUES
 MESSAGE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
-def as_stream(spark, df):
-    """The rows of a table as a stream: written once, then read by the file source."""
+BATCHES, FILES = 4, 2
+
+
+def time_cuts(df, batches: int = BATCHES) -> list[int]:
+    """Times in microseconds that cut the rows into ``batches`` parts of about equal size."""
+    shares = [n / batches for n in range(1, batches)]
+    return [int(t) for t in df.select(F.unix_micros("ts").cast("double").alias("t")).approxQuantile("t", shares, 0.01)]
+
+
+def as_stream(spark, df, cuts=None):
+    """The rows of a table as a stream of micro-batches in time order, each of several files.
+
+    Every part is written as ``FILES`` files by device after the part before it; the source takes the
+    oldest ``FILES`` files at a time.
+    """
     path = fx.scratch(spark)
-    df.write.parquet(path)
-    return spark.readStream.schema(df.schema).parquet(path)
+    cuts = time_cuts(df) if cuts is None else cuts
+    at = F.unix_micros("ts")
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = df.where(F.lit(True) if low is None else at >= low).where(F.lit(True) if high is None else at < high)
+        part.repartition(FILES, F.hash("device_id", "seq")).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def finish(spark, stream):
@@ -33,13 +51,21 @@ def finish(spark, stream):
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def totals(spark, stream, mode: str = "complete"):
-    """Run an aggregating stream over everything available and return its final table."""
-    name = "t" + fx.scratch(spark).rsplit("-", 1)[1]
-    run = stream.writeStream.format("memory").queryName(name).outputMode(mode).option(
+def totals(spark, stream):
+    """Run an aggregating stream over everything available and return its final table.
+
+    Each micro-batch writes the totals so far as a table of its own, so a repeated batch replaces itself.
+    """
+    path, written = fx.scratch(spark), []
+
+    def write(batch, number):
+        batch.write.mode("overwrite").parquet(f"{path}/{number}")
+        written.append(number)
+
+    run = stream.writeStream.foreachBatch(write).outputMode("complete").option(
         "checkpointLocation", fx.scratch(spark)).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{path}/{max(written)}")
 
 
 # Sources and sinks.
@@ -139,6 +165,33 @@ def readpacket_stream(spark, sf_dir):
     return finish(spark, logs.read_packet_stream(spark, path)).select("type", F.unix_micros("ts").alias("us"), "ax", "wy")
 
 
+GARBAGE = ("garbage{", "[1, 2]", "", '{"type": "accel", "timestamp": "soon"}', '{"type": "gyro"}')
+
+
+def _with_garbage(spark, messages):
+    """The messages with all of ``GARBAGE`` before and behind them."""
+    bad = spark.createDataFrame([(m,) for m in GARBAGE], "value string")
+    return bad.unionByName(messages).unionByName(bad)
+
+
+@query("src9_packets_among_garbage", f"""WITH {fx.SQL_PACKETS}
+SELECT type, us, CASE type WHEN 'accel' THEN v0 END AS ax, CASE type WHEN 'gyro' THEN v1 END AS wy FROM packets""")
+def packets_among_garbage(spark, sf_dir):
+    path = fx.scratch(spark)
+    _with_garbage(spark, _packet_messages(spark, sf_dir)).write.text(path)
+    return finish(spark, logs.read_packet_stream(spark, path)).select("type", F.unix_micros("ts").alias("us"), "ax", "wy")
+
+
+@query("src9_rejected_messages", """SELECT reason, count(*)::BIGINT AS n, (SELECT count(*) FROM events) AS good FROM (VALUES
+  ('unreadable'), ('unreadable'), ('unreadable'), ('no time'), ('no time'),
+  ('unreadable'), ('unreadable'), ('unreadable'), ('no time'), ('no time')) t(reason) GROUP BY reason""")
+def rejected_messages(spark, sf_dir):
+    mixed = _with_garbage(spark, _packet_messages(spark, sf_dir))
+    good = logs.parse_messages(mixed, logs.PACKET_SCHEMA).agg(F.count(F.lit(1)).alias("good"))
+    rejects = logs.rejected_messages(mixed, logs.PACKET_SCHEMA).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
+    return rejects.join(F.broadcast(good)).select("reason", "n", "good")  # one row of counts
+
+
 @query("src10_write_prediction_stream", f"WITH {fx.SQL_ML} SELECT us, label, round(confidence, 6) AS confidence FROM ml")
 def write_prediction_stream(spark, sf_dir):
     table = fx.ml(spark, sf_dir).select(F.date_format("ts", MESSAGE_TIME).alias("timestamp"), "label", "confidence")
@@ -171,6 +224,20 @@ def _ml_nested(spark, sf_dir):
                            F.col("total_time_ms").alias("total_ms"))).drop("total_time_ms")
 
 
+@query("src11_log_again", SQL_LOGGED)
+def log_again(spark, sf_dir):
+    """The same named batch twice, read from messages among garbage: each prediction is logged once."""
+    messages = logs.to_message(fx.dl_map(spark, sf_dir).select(
+        "device_id", "seq", F.date_format("ts", MESSAGE_TIME).alias("timestamp"), "predictions"),
+        ["device_id", "seq", "timestamp", "predictions"])
+    schema = T.StructType([T.StructField("device_id", T.LongType()), T.StructField("seq", T.LongType()), *logs.DL_SCHEMA])
+    path = fx.scratch(spark)
+    for _ in range(2):
+        rows = logs.dl_log_rows(logs.parse_messages(_with_garbage(spark, messages), schema))
+        logs.append_log(rows, path, batch_id="one")
+    return _logged(spark.read.parquet(path))
+
+
 @query("src12_log_ml_predictions", f"""WITH {fx.SQL_ML} SELECT seq, us, label, round(confidence, 6) AS confidence,
   round(CASE label WHEN 'Good' THEN confidence ELSE 1 - confidence END, 6) AS prob_good, total_time_ms - 1 AS inference_time_ms, total_time_ms FROM ml""")
 def log_ml_predictions(spark, sf_dir):
@@ -208,7 +275,7 @@ def eval_outputs(spark, sf_dir):
 # Streaming jobs: each gives what the batch operators give on the same rows.
 
 def packet_stream(spark, sf_dir):
-    return as_stream(spark, fx.packets(spark, sf_dir).select("device_id", "ts", "seq", "type", *VALUES).coalesce(1))
+    return as_stream(spark, fx.packets(spark, sf_dir).select("device_id", "ts", "seq", "type", *VALUES))
 
 
 SQL_STREAM_WINDOWS = f"""{fx.SQL_PACKETS}, {catalog_predictions.SQL_PAIRS},
@@ -258,13 +325,15 @@ def stream_inference(spark, sf_dir):
 
 
 def _dl_stream(spark, sf_dir):
-    return as_stream(spark, fx.dl_wide(spark, sf_dir).drop("i").coalesce(1))
+    return as_stream(spark, fx.dl_wide(spark, sf_dir).drop("i"))
 
 
 @query("str3_stream_vote", f"WITH {catalog_predictions.SQL_VOTED} SELECT * FROM voted")
 def stream_vote(spark, sf_dir):
-    ml = as_stream(spark, fx.ml(spark, sf_dir).coalesce(1))
-    return finish(spark, sp.stream_vote(_dl_stream(spark, sf_dir), ml)).select("device_id", "seq", "is_fault")
+    dl = fx.dl_wide(spark, sf_dir).drop("i")
+    cuts = time_cuts(dl)
+    votes = sp.stream_vote(as_stream(spark, dl, cuts), as_stream(spark, fx.ml(spark, sf_dir), cuts))
+    return finish(spark, votes).select("device_id", "seq", "is_fault")
 
 
 @query("str4_stream_alerts", f"""WITH RECURSIVE {fx.SQL_DL}, {catalog_predictions.SQL_STREAK}, candidates AS (SELECT device_id, us FROM streaks WHERE streak),
@@ -305,4 +374,5 @@ def stream_fault_totals(spark, sf_dir):
 SELECT * FROM ranked WHERE recency <= 10""")
 def stream_recent(spark, sf_dir):
     stream = ex.filter_packets(packet_stream(spark, sf_dir), ("accel",))
-    return finish(spark, sp.stream_recent(stream, ["v0"], 10)).select("device_id", "seq", "v0", "recency")
+    recent = finish(spark, sp.stream_recent(stream, ["v0"], 10))
+    return sp.latest_version(recent).select("device_id", "seq", "v0", "recency")

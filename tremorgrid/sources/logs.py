@@ -37,11 +37,34 @@ def read_message_stream(spark: SparkSession, path: str, fmt: str = "text", **opt
     return spark.readStream.format(fmt).options(**options).load(path)
 
 
+_CORRUPT = "_corrupt"
+
+
+def _read_messages(df: DataFrame, schema: T.StructType, value: str) -> DataFrame:
+    """Messages with their columns, the parsed time and ``reason``: null if the message can be used."""
+    whole = T.StructType([*schema.fields, T.StructField(_CORRUPT, T.StringType())])
+    parsed = df.withColumn("_m", F.from_json(value, whole, {"columnNameOfCorruptRecord": _CORRUPT}))
+    time = F.try_to_timestamp("_m.timestamp")
+    reason = F.when(F.col("_m").isNull() | F.col(f"_m.{_CORRUPT}").isNotNull(), "unreadable").when(
+        time.isNull(), "no time")
+    return parsed.select("*", time.alias("_ts"), reason.alias("_reason"))
+
+
 def parse_messages(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """JSON messages to columns; ``ts`` is the parsed timestamp. Unreadable messages are dropped."""
-    parsed = df.withColumn("_m", F.from_json(value, schema)).where("_m is not null")
-    return parsed.select(*[c for c in df.columns if c != value], "_m.*").withColumn(
-        "ts", F.try_to_timestamp("timestamp"))
+    """JSON messages to columns; ``ts`` is the parsed timestamp.
+
+    Messages that are no JSON of this form, or have no readable time, are not here but in
+    ``rejected_messages``.
+    """
+    read = _read_messages(df, schema, value).where("_reason is null")
+    return read.select(*[c for c in df.columns if c != value], *[f"_m.{f.name}" for f in schema.fields],
+                       F.col("_ts").alias("ts"))
+
+
+def rejected_messages(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
+    """The messages that ``parse_messages`` leaves out, as they came, with ``reason``."""
+    read = _read_messages(df, schema, value).where("_reason is not null")
+    return read.select(*df.columns, F.col("_reason").alias("reason"))
 
 
 def read_packet_stream(spark: SparkSession, path: str, fmt: str = "text", **options) -> DataFrame:
@@ -80,14 +103,29 @@ def ml_log_rows(df: DataFrame, created_at: Column | None = None) -> DataFrame:
     )
 
 
-def append_log(rows: DataFrame, path: str, checkpoint: str | None = None):
-    """Append log rows by date. A stream needs a checkpoint, which makes replayed batches count once."""
+#: Files that one date of one batch is spread over at most.
+LOG_FILES = 8
+
+
+def append_log(rows: DataFrame, path: str, checkpoint: str | None = None, batch_id: str | None = None):
+    """Append log rows by date; the rows of a date meet in a few tasks, so a date has few files.
+
+    A stream needs a checkpoint, which makes replayed batches count once. A batch that names itself with
+    ``batch_id`` replaces what an earlier run of the same batch wrote, and nothing else.
+    """
+    salt = F.pmod(F.xxhash64("ts"), F.lit(LOG_FILES))
+    gathered = rows.repartition("log_date", salt)
     if rows.isStreaming:
         return (
-            rows.writeStream.format("parquet").partitionBy("log_date").option("checkpointLocation", checkpoint)
+            gathered.writeStream.format("parquet").partitionBy("log_date").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start(path)
         )
-    rows.write.mode("append").partitionBy("log_date").parquet(path)
+    if batch_id is None:
+        gathered.write.mode("append").partitionBy("log_date").parquet(path)
+        return None
+    named = gathered.withColumn("batch_id", F.lit(batch_id))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "batch_id", "log_date").parquet(path)
     return None
 
 

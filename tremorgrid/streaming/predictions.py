@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tremorgrid.functions.expressions import MODELS, alert_message, predictions_map
 from tremorgrid.operators.metrics import stream_counts
+from tremorgrid.operators.ordered import null_safe_join
 from tremorgrid.operators.votes import majority_present, vote_with_confidence
 from tremorgrid.sources.logs import append_log, dl_log_rows, ml_log_rows
 from tremorgrid.streaming.state import stateful, walk
@@ -105,8 +106,17 @@ def stream_fault_totals(voted: DataFrame, fault: str = "is_fault") -> DataFrame:
         (faults / F.count(F.lit(1)) * 100).alias("fault_rate"))
 
 
+def latest_version(recent: DataFrame) -> DataFrame:
+    """Of the rows that ``stream_recent`` wrote, those of each device's last micro-batch."""
+    last = recent.groupBy("device_id").agg(F.max("version").alias("_last"))
+    return null_safe_join(recent, last, ["device_id"]).where("version = _last").drop("_last", "version")
+
+
 def stream_recent(rows: DataFrame, values: list[str], keep: int = 200) -> DataFrame:
-    """The newest ``keep`` rows of each device after each micro-batch, newest first, with ``recency``."""
+    """The newest ``keep`` rows of each device after each micro-batch, newest first, with ``recency``.
+
+    ``version`` counts the micro-batches of a device; ``latest_version`` picks the last one.
+    """
     def step(memory: dict, batch: pd.DataFrame, micros: np.ndarray) -> pd.DataFrame:
         new = [[int(t), int(s), *map(float, v)] for t, s, v in zip(micros, batch["seq"], batch[values].to_numpy())]
         memory["rows"] = ((memory.get("rows") or []) + new)[-keep:]

@@ -1,8 +1,9 @@
 """Keyed streaming state: reading it, keeping order, and attaching it to a stream.
 
-A device's rows within a micro-batch are put in (ts, seq) order; rows at or before the last one
-processed are dropped and counted. State per device is bounded by the buffer sizes, and the rows of a
-micro-batch by the source's rate limit (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``).
+A device's rows within a micro-batch are put in (ts, seq) order; micro-batches count in the order of
+their arrival, so a row that comes late is processed when it comes and none is dropped. State per device
+is bounded by the buffer sizes, and the rows of a micro-batch by the source's rate limit
+(``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). State is kept as long as the checkpoint.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE_SCHEMA = "memory string"
-WATERMARK = "10 seconds"
 
 
 def _micros(column: pd.Series) -> np.ndarray:
@@ -27,7 +27,7 @@ def stateful(
     df: DataFrame, step: Callable[[dict, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str,
     key: str = "device_id", tie: str | None = None,
 ) -> DataFrame:
-    """Run ``step(memory, rows, micros)`` per device and micro-batch on ordered, new rows.
+    """Run ``step(memory, rows, micros)`` per device and micro-batch on ordered rows.
 
     ``memory`` is a JSON-compatible dict that the step changes in place. ``tie`` names a column that
     orders rows of equal time before ``seq`` does.
@@ -35,24 +35,16 @@ def stateful(
     order = [name for name in ("_us", tie, "seq") if name]
 
     def run(keys: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = json.loads(state.get[0]) if state.exists else {"late": 0}
+        memory = json.loads(state.get[0]) if state.exists else {}
         rows = pd.concat(list(frames), ignore_index=True)
         rows["_us"] = _micros(rows["ts"])
         rows = rows.sort_values(order, ignore_index=True)
-        if "last" in memory:
-            fresh = np.array([tuple(row) > tuple(memory["last"]) for row in rows[order].to_numpy().tolist()], dtype=bool)
-            memory["late"] += int((~fresh).sum())
-            rows = rows[fresh].reset_index(drop=True)
-        if len(rows):
-            memory["last"] = [int(v) for v in rows[order].iloc[-1]]
-            out = step(memory, rows, rows["_us"].to_numpy())
-            if out is not None and len(out):
-                yield out.assign(**{key: keys[0]})
+        out = step(memory, rows, rows["_us"].to_numpy())
         state.update((json.dumps(memory),))
+        if out is not None and len(out):
+            yield out.assign(**{key: keys[0]})
 
-    watermarked = df.withWatermark("ts", WATERMARK) if df.isStreaming else df
-    return watermarked.groupBy(key).applyInPandasWithState(
-        run, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return df.groupBy(key).applyInPandasWithState(run, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 
 
 def walk(micros: np.ndarray, last: int | None, gap: int) -> tuple[list[int], int | None]:
