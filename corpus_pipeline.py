@@ -42,7 +42,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     copies = mixing.mix_sources(rows, tag=tag).filter("copies > 0 and size > 0").select(
         F.col("row_tag").alias(tag), F.col("copies").alias(tag + "_copies"))
     times = F.explode(F.sequence(F.lit(1).cast("long"), F.col(tag + "_copies")))
-    return rows.join(copies, tag).withColumn(tag, times).select(*docs.columns)
+    return rows.join(copies.hint("merge"), tag).withColumn(tag, times).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

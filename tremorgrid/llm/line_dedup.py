@@ -110,7 +110,7 @@ def _with_runs(docs: DataFrame, id_column: str, text_column: str, min_words: int
                                                      (F.max("line_no") + 1).alias("stop"))
              .groupBy("row_tag").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias(runs))
              .withColumnRenamed("row_tag", tag))
-    return kept.join(found, tag, "left"), tag, runs
+    return kept.join(found.hint("merge"), tag, "left"), tag, runs  # the same plan for few runs as for many
 
 
 def _without(text: Column, runs: Column) -> Column:
