@@ -9,6 +9,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremorgrid.llm.common import free_name
+from tremorgrid.session import cut
+
 #: Bound on the labelled rows of each class that are trained on: those with the smallest hashes of their ids.
 SAMPLE_ROWS = 4000
 WINDOW_WORDS = 8
@@ -126,15 +129,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
-    known = (texts.join(marks.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))), "doc_id")
-             .groupBy(F.xxhash64(F.lower("text")).alias("same"), "toxic").agg(F.min("doc_id").alias("doc_id")))
+    thin = texts.select("doc_id", F.xxhash64(F.lower("text")).alias("same"))
+    known = (thin.join(marks.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))), "doc_id")
+             .groupBy("same", "toxic").agg(F.min("doc_id").alias("doc_id")))
     chosen = None
     for kind in (0, 1):
         own = known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
         chosen = own if chosen is None else chosen.unionByName(own)
-    from tremorgrid.session import cut
-
-    sample = cut(chosen.select("doc_id", "toxic").join(texts, "doc_id").dropDuplicates(["doc_id", "toxic"]))
+    chosen = F.broadcast(cut(chosen.select("doc_id", "toxic")))  # at most twice ``sample_rows`` ids
+    sample = cut(texts.join(chosen, "doc_id").dropDuplicates(["doc_id", "toxic"]))
     totals = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return Model(b" " * 64, b" " * 64, b" ")
@@ -199,8 +202,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE
 def drop_toxic(docs: DataFrame, labels: DataFrame, training_docs: DataFrame | None = None,
                sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """``docs`` without the rows scored 0.5 or more; all columns stay as they are."""
-    from tremorgrid.llm.common import free_name
-
     model = train(docs if training_docs is None else training_docs, labels, sample_rows)
     name = free_name(docs, "toxic_score")
     return docs.withColumn(name, score_column(model, "text")).filter(F.col(name) < 0.5).drop(name)
