@@ -30,3 +30,17 @@ def test_a_cluster_without_the_setting_is_refused():
 def test_intermediate_tables_are_stored_in_one_folder_per_application(spark):
     path = session.cut(spark.range(3)).inputFiles()[0]
     assert f"tremorgrid-{spark.sparkContext.applicationId}/table-" in path
+
+
+def test_release_deletes_tables_and_scratch_folders(spark, monkeypatch):
+    from tremorgrid.plans import fixtures
+
+    monkeypatch.setattr(session, "own_dir", lambda spark, own=session.own_dir(spark): f"{own}-released")
+    monkeypatch.setattr(fixtures, "own_dir", session.own_dir)
+    table, path = session.cut(spark.range(3)), fixtures.scratch(spark)
+    spark.range(2).write.parquet(path)
+    assert table.count() == 3 and spark.read.parquet(path).count() == 2
+    session.release(spark)
+    for gone in (table.inputFiles()[0], path):
+        with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+            spark.read.parquet(gone)

@@ -12,7 +12,7 @@ from tremorgrid.functions.expressions import predictions_map
 from tremorgrid.operators.ordered import indexed_table
 from tremorgrid.operators.signals import window_signal
 from tremorgrid.operators.votes import majority_three
-from tremorgrid.session import shared_dir, ship_package
+from tremorgrid.session import own_dir, ship_package
 
 RATE = 10.0
 WIDE_CHANNELS = ["ax", "ay", "az", "wx", "wy", "wz"]
@@ -157,7 +157,7 @@ def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder name in the shared folder, for queries that write and read back."""
-    return f"{shared_dir(spark)}/out-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/out-{uuid.uuid4().hex}"
 
 
 

@@ -71,17 +71,18 @@ def cut(df: DataFrame) -> DataFrame:
     the planner a true size, so small tables are broadcast and large ones are not.
     """
     spark = df.sparkSession
-    path = f"{_own_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{own_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _own_dir(spark: SparkSession) -> str:
+def own_dir(spark: SparkSession) -> str:
+    """The folder of this application in the shared folder: intermediate tables and scratch folders."""
     return f"{shared_dir(spark)}/tremorgrid-{spark.sparkContext.applicationId}"
 
 
 def release(spark: SparkSession) -> None:
-    """Delete the intermediate tables of this application; results read from them are then gone."""
+    """Delete the intermediate tables and scratch folders of this application; results read from them are then gone."""
     context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path = context._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
     path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
