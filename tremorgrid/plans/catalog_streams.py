@@ -359,6 +359,18 @@ def stream_alerts(spark, sf_dir):
     return alerts.select("device_id", F.unix_micros("ts").alias("us"), "message")
 
 
+@query("str4_stream_alerts_recent_ml", f"""WITH RECURSIVE {fx.SQL_DL}, {fx.SQL_ML}, {catalog_predictions._asof_sql(2_500_000)}, {catalog_predictions.SQL_STREAK},
+candidates AS (SELECT device_id, us FROM streaks WHERE streak), {catalog_predictions._greedy_sql(catalog_predictions.COOLDOWN_SECONDS * 1_000_000)}
+SELECT device_id, us, {catalog_predictions.SQL_ALERT_TEXT.format(at='ts', ml="CASE WHEN ml_label IS NULL THEN '' ELSE concat(chr(10), printf('  • ML (RF-20): %s (%.1f%%) - %.1fms', ml_label, ml_confidence * 100, ml_total_time_ms)) END, ")} AS message
+FROM taken JOIN latest USING (device_id, us)""")
+def stream_alerts_recent_ml(spark, sf_dir):
+    dl = fx.dl_wide(spark, sf_dir).drop("i")
+    cuts = time_cuts(dl)
+    alerts = finish(spark, sp.stream_alerts(
+        as_stream(spark, dl, cuts), 3, catalog_predictions.COOLDOWN_SECONDS, as_stream(spark, fx.ml(spark, sf_dir), cuts), 2.5))
+    return alerts.select("device_id", F.unix_micros("ts").alias("us"), "message")
+
+
 @query("str5_stream_log", SQL_LOGGED)
 def stream_log(spark, sf_dir):
     dl = as_stream(spark, fx.dl_map(spark, sf_dir).drop("i"))

@@ -61,29 +61,64 @@ def stream_vote(dl: DataFrame, ml: DataFrame, seconds: float = 2.0) -> DataFrame
         "is_fault", vote_with_confidence(F.col("predictions"), F.col("ml_label"), ml_confidence))
 
 
-def stream_alerts(dl: DataFrame, threshold: int = 3, cooldown_seconds: float = 300.0) -> DataFrame:
-    """Alerts after ``threshold`` consecutive faults, at most one per cooldown; the streak goes on."""
+_ML = {"ml_label": "string", "ml_confidence": "double", "ml_total_time_ms": "double"}
+
+
+def stream_alerts(
+    dl: DataFrame, threshold: int = 3, cooldown_seconds: float = 300.0, ml: DataFrame | None = None,
+    ml_seconds: float = 5.0,
+) -> DataFrame:
+    """Alerts after ``threshold`` consecutive faults, at most one per cooldown; the streak goes on.
+
+    With ``ml``, single-model predictions in one union with the others, an alert also tells the latest one
+    if it is less than ``ml_seconds`` older.
+    """
     gap = max(1, round(cooldown_seconds * 1_000_000))
     voted = predictions_map(dl.select("device_id", "ts", "seq", *_WIDE, *[F.col(c).alias(f"_{c}") for c in _WIDE]))
-    flagged = voted.select(
-        "device_id", "ts", "seq", majority_present(F.col("predictions")).alias("is_fault"),
-        *[F.col(f"_{c}").alias(c) for c in _WIDE])
+    rows = voted.select(
+        "device_id", "ts", "seq", F.lit(1).alias("_side"), majority_present(F.col("predictions")).alias("is_fault"),
+        *[F.col(f"_{c}").alias(c) for c in _WIDE], *[F.lit(None).cast(t).alias(c) for c, t in _ML.items()])
+    if ml is not None:
+        rows = rows.unionByName(ml.select(
+            "device_id", "ts", "seq", F.lit(0).alias("_side"), F.lit(False).alias("is_fault"),
+            *[F.lit(None).cast("string" if c.endswith("label") else "double").alias(c) for c in _WIDE],
+            *[F.col(c.removeprefix("ml_")).alias(c) for c in _ML]))
 
     def step(memory: dict, rows: pd.DataFrame, micros: np.ndarray) -> pd.DataFrame | None:
-        fault = rows["is_fault"].to_numpy(dtype=bool)
+        is_ml = (rows["_side"] == 0).to_numpy()
+        at = np.maximum.accumulate(np.where(is_ml, np.arange(len(rows)), -1))
+        told, old = rows[list(_ML)].to_numpy(dtype=object), memory.get("ml")
+        if at[-1] >= 0:
+            label, *numbers = told[at[-1]]
+            memory["ml"] = [int(micros[at[-1]]), label, *map(float, numbers)]
+        mine = np.flatnonzero(~is_ml)
+        if not len(mine):
+            return None
+        fault = rows["is_fault"].to_numpy(dtype=bool)[mine]
         n = np.arange(len(fault))
         broken = np.maximum.accumulate(np.where(fault, -1, n))
         streak = np.where(broken >= 0, n - broken, n + 1 + memory.get("streak", 0))
         memory["streak"] = int(min(streak[-1], threshold))
-        candidates = np.flatnonzero(fault & (streak >= threshold))
+        candidates = mine[fault & (streak >= threshold)]
         taken, memory["alerted"] = walk(micros[candidates], memory.get("alerted"), gap)
         if not taken:
             return None
-        return rows.loc[candidates[taken], ["ts", "seq", *_WIDE]].reset_index(drop=True)
+        chosen = candidates[taken]
+        out = rows.loc[chosen, ["ts", "seq", *_WIDE]].reset_index(drop=True)
+        latest = [(int(micros[at[c]]), *told[at[c]]) if at[c] >= 0 else old for c in chosen]
+        recent = [m[1:] if m and micros[c] - m[0] < ml_seconds * 1e6 else (None, None, None) for m, c in zip(latest, chosen)]
+        for k, (name, kind) in enumerate(_ML.items()):
+            values = [m[k] for m in recent]
+            out[name] = values if kind == "string" else np.array(values, dtype=float)
+        return out
 
-    schema = f"device_id {_device_type(dl)}, ts timestamp, seq bigint, {_WIDE_SCHEMA}"
-    alerts = predictions_map(stateful(flagged, step, schema))
-    return alerts.withColumn("message", alert_message(F.col("predictions"), F.col("ts"), threshold))
+    schema = f"device_id {_device_type(dl)}, ts timestamp, seq bigint, {_WIDE_SCHEMA}, " + ", ".join(
+        f"{c} {t}" for c, t in _ML.items())
+    alerts = predictions_map(stateful(rows, step, schema, tie="_side"))
+    told = F.when(F.col("ml_label").isNotNull(), F.struct(
+        F.col("ml_label").alias("label"), F.col("ml_confidence").alias("confidence"),
+        F.col("ml_total_time_ms").alias("total_ms")))
+    return alerts.withColumn("message", alert_message(F.col("predictions"), F.col("ts"), threshold, told)).drop(*_ML)
 
 
 def stream_log(dl: DataFrame, ml: DataFrame, directory: str, checkpoints: str) -> list:
