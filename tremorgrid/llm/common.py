@@ -15,7 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 #: Words whose ids a Python worker keeps; beyond it the store starts anew, which changes no result.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 _SEPARATED = 64
 
 
@@ -46,7 +46,7 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def text_batches(texts: list[str], characters: int = 4_000_000):
+def text_batches(texts: list[str], characters: int = 1_000_000):
     """Consecutive slices (start, stop) of ``texts`` with about ``characters`` characters each, at least one text."""
     start = size = 0
     for i, text in enumerate(texts):

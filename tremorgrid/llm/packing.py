@@ -114,7 +114,8 @@ def pack_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id
     encoded = encode_documents(docs, tokenizer, end_id, width, id_column, text_column)
     placed = running_start(encoded.select("doc_id", "row_tag", "n_tokens", "curve_key"),
                            ["curve_key", "doc_id", "row_tag"], "n_tokens")
-    joined = encoded.select("row_tag", "ids").join(placed.select("row_tag", "doc_id", "n_tokens", "start"), "row_tag")
+    joined = encoded.select("row_tag", "ids").join(
+        placed.select("row_tag", "doc_id", "n_tokens", "start").hint("merge"), "row_tag")
 
     def run(batches):
         import pyarrow as pa

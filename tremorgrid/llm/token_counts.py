@@ -264,7 +264,7 @@ class CompiledTokenizer:
             else:
                 parts.append(self._normalised(text))
                 owners.append(i)
-        for start, stop in text_batches(parts, 1_000_000):
+        for start, stop in text_batches(parts):
             for i, n in zip(owners[start:stop], self._count(parts[start:stop])):
                 counts[i] += n
         return counts
