@@ -18,7 +18,7 @@ FIT_ROWS = 20_000
 _BOXES = 1024
 #: Sums up to this size are exact in double precision.
 _EXACT = float(1 << 53)
-_LEAST = np.iinfo(np.int64).min
+_LEAST = -np.iinfo(np.int64).max
 
 
 class KDTree:
@@ -32,8 +32,8 @@ class KDTree:
             rows = open_.pop()
             own = points[rows]
             sides = own.max(axis=0) - own.min(axis=0)
-            axis = int(sides.argmax())
-            if len(rows) <= leaf_rows or sides[axis] == 0:
+            axis = int(sides.argmax()) if sides.size else 0
+            if len(rows) <= leaf_rows or not sides.any():
                 self.leaves += [rows[i:i + leaf_rows] for i in range(0, len(rows), leaf_rows)]
                 continue
             half = np.argpartition(own[:, axis], len(rows) // 2)
