@@ -113,6 +113,16 @@ def test_median_of_awkward_values(spark, values):
         assert exact_median(df, ["k"], "x", **options).first()["median"] == statistics.median(values)
 
 
+def test_columns_with_the_names_of_steps_stay(spark):
+    names = ["_pos", "_lo", "_rows", "_part", "_shift", "_key", "_chunk", "_v_y", "_c_y", "_l_y"]
+    df = spark.createDataFrame([("a", n, *[n + k for k in range(len(names))]) for n in range(9)],
+                               "k string, s bigint, " + ", ".join(f"{n} bigint" for n in names))
+    out = running_sum(dense_index(df, ["k"], ["s"]), ["k"], "i", {"y": F.col("s")}, rows=4)
+    out = carry_last(out, ["k"], "i", {"z": F.when(F.col("s") % 2 == 0, F.col("s"))}, rows=4)
+    got = [tuple(r) for r in out.orderBy("i").collect()]
+    assert got == [("a", n, *[n + k for k in range(len(names))], n, n * (n + 1) // 2, n - n % 2) for n in range(9)]
+
+
 @pytest.mark.parametrize("gap", [1, 5, 60])
 @pytest.mark.parametrize("pieces", [{"rows": 6, "fan_in": 3}, {"rows": 50, "fan_in": 256}, {}])
 def test_spaced_selection(table, rows, gap, pieces):

@@ -49,19 +49,19 @@ def dense_index(df: DataFrame, keys: list[str], order: list[str], name: str = "i
     placed = cut(
         df.repartitionByRange(*keys, *order)
         .sortWithinPartitions(*keys, *order)
-        .withColumn("_part", F.spark_partition_id())
-        .withColumn("_pos", F.monotonically_increasing_id())
+        .withColumn("_dx_part", F.spark_partition_id())
+        .withColumn("_dx_pos", F.monotonically_increasing_id())
     )
-    spans = placed.groupBy(key_of(keys).alias("_key"), "_part").agg(
-        F.min("_pos").alias("_lo"), F.count(F.lit(1)).alias("_rows")
+    spans = placed.groupBy(key_of(keys).alias("_dx_key"), "_dx_part").agg(
+        F.min("_dx_pos").alias("_dx_lo"), F.count(F.lit(1)).alias("_dx_rows")
     )
-    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("_dx_key").orderBy("_dx_part").rowsBetween(Window.unboundedPreceding, -1)
     shifts = spans.select(
-        "_key", "_part", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_lo")).alias("_shift")
+        "_dx_key", "_dx_part", (F.coalesce(F.sum("_dx_rows").over(before), F.lit(0)) - F.col("_dx_lo")).alias("_dx_shift")
     )
     return (
-        placed.withColumn("_key", key_of(keys)).join(shifts, ["_key", "_part"])
-        .withColumn(name, F.col("_pos") + F.col("_shift"))
+        placed.withColumn("_dx_key", key_of(keys)).join(shifts, ["_dx_key", "_dx_part"])
+        .withColumn(name, F.col("_dx_pos") + F.col("_dx_shift"))
         .select(*df.columns, name)
     )
 
@@ -106,23 +106,23 @@ def carry_last(
     ``inclusive=False`` looks only at earlier rows. Rows and summaries meet on (key, piece), by which
     the rows are partitioned already.
     """
-    staged = df.withColumn("_key", key_of(keys)).withColumn("_chunk", chunk_of(index, rows))
+    staged = df.withColumn("_dx_key", key_of(keys)).withColumn("_dx_chunk", chunk_of(index, rows))
     for name, expression in columns.items():
-        staged = staged.withColumn(f"_v_{name}", expression)
-    summary = staged.groupBy("_key", "_chunk").agg(*[
-        F.max_by(f"_v_{name}", F.when(F.col(f"_v_{name}").isNotNull(), F.col(index))).alias(f"_v_{name}")
+        staged = staged.withColumn(f"_dx_v_{name}", expression)
+    summary = staged.groupBy("_dx_key", "_dx_chunk").agg(*[
+        F.max_by(f"_dx_v_{name}", F.when(F.col(f"_dx_v_{name}").isNotNull(), F.col(index))).alias(f"_dx_v_{name}")
         for name in columns
     ])
-    carried = summary.select("_key", "_chunk", *[
-        F.last(f"_v_{name}", ignorenulls=True).over(_frame(["_key"], "_chunk", -1)).alias(f"_c_{name}")
+    carried = summary.select("_dx_key", "_dx_chunk", *[
+        F.last(f"_dx_v_{name}", ignorenulls=True).over(_frame(["_dx_key"], "_dx_chunk", -1)).alias(f"_dx_c_{name}")
         for name in columns
-    ]).where(reduce(Column.__or__, [F.col(f"_c_{name}").isNotNull() for name in columns]))
-    local = _frame(["_key", "_chunk"], index, 0 if inclusive else -1)
+    ]).where(reduce(Column.__or__, [F.col(f"_dx_c_{name}").isNotNull() for name in columns]))
+    local = _frame(["_dx_key", "_dx_chunk"], index, 0 if inclusive else -1)
     for name in columns:
-        staged = staged.withColumn(f"_l_{name}", F.last(f"_v_{name}", ignorenulls=True).over(local))
-    return staged.join(carried, ["_key", "_chunk"], "left").select(
+        staged = staged.withColumn(f"_dx_l_{name}", F.last(f"_dx_v_{name}", ignorenulls=True).over(local))
+    return staged.join(carried, ["_dx_key", "_dx_chunk"], "left").select(
         *df.columns,
-        *[F.coalesce(f"_l_{name}", f"_c_{name}").alias(name) for name in columns],
+        *[F.coalesce(f"_dx_l_{name}", f"_dx_c_{name}").alias(name) for name in columns],
     )
 
 
@@ -134,23 +134,23 @@ def running_sum(
     rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """For each new column, the sum of its expression over the rows up to and including this one."""
-    staged = df.withColumn("_key", key_of(keys)).withColumn("_chunk", chunk_of(index, rows))
+    staged = df.withColumn("_dx_key", key_of(keys)).withColumn("_dx_chunk", chunk_of(index, rows))
     for name, expression in columns.items():
-        staged = staged.withColumn(f"_v_{name}", expression)
-    summary = staged.groupBy("_key", "_chunk").agg(
-        *[F.sum(f"_v_{name}").alias(f"_v_{name}") for name in columns]
+        staged = staged.withColumn(f"_dx_v_{name}", expression)
+    summary = staged.groupBy("_dx_key", "_dx_chunk").agg(
+        *[F.sum(f"_dx_v_{name}").alias(f"_dx_v_{name}") for name in columns]
     )
-    carried = summary.select("_key", "_chunk", *[
-        F.sum(f"_v_{name}").over(_frame(["_key"], "_chunk", -1)).alias(f"_c_{name}") for name in columns
-    ]).where("_chunk > 0")
-    local = _frame(["_key", "_chunk"], index, 0)
+    carried = summary.select("_dx_key", "_dx_chunk", *[
+        F.sum(f"_dx_v_{name}").over(_frame(["_dx_key"], "_dx_chunk", -1)).alias(f"_dx_c_{name}") for name in columns
+    ]).where("_dx_chunk > 0")
+    local = _frame(["_dx_key", "_dx_chunk"], index, 0)
     for name in columns:
-        staged = staged.withColumn(f"_l_{name}", F.sum(f"_v_{name}").over(local))
+        staged = staged.withColumn(f"_dx_l_{name}", F.sum(f"_dx_v_{name}").over(local))
     zero = F.lit(0)
-    return staged.join(carried, ["_key", "_chunk"], "left").select(
+    return staged.join(carried, ["_dx_key", "_dx_chunk"], "left").select(
         *df.columns,
         *[
-            (F.coalesce(F.col(f"_l_{name}"), zero) + F.coalesce(F.col(f"_c_{name}"), zero)).alias(name)
+            (F.coalesce(F.col(f"_dx_l_{name}"), zero) + F.coalesce(F.col(f"_dx_c_{name}"), zero)).alias(name)
             for name in columns
         ],
     )
