@@ -44,3 +44,14 @@ def test_release_deletes_tables_and_scratch_folders(spark, monkeypatch):
     for gone in (table.inputFiles()[0], path):
         with pytest.raises(Exception, match="PATH_NOT_FOUND"):
             spark.read.parquet(gone)
+
+
+def test_discarded_tables_are_gone_and_others_stay(spark):
+    before = session.tables(spark)
+    one, two = session.cut(spark.range(3)), session.cut(spark.range(4))
+    first, second = session.tables(spark)[len(before):]
+    session.discard(spark, [first, "/nowhere/else"])
+    assert session.tables(spark) == [*before, second] and two.count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(first)
+    assert one.columns == ["id"]

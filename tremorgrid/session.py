@@ -72,6 +72,7 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{own_dir(spark)}/table-{uuid.uuid4().hex}"
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -81,8 +82,31 @@ def own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/tremorgrid-{spark.sparkContext.applicationId}"
 
 
+#: Intermediate tables that have been written and not been deleted, by application.
+_TABLES: dict[str, list[str]] = {}
+
+
+def tables(spark: SparkSession) -> list[str]:
+    """Paths of the intermediate tables that ``cut`` has written and nothing has deleted, in order."""
+    return list(_TABLES.get(spark.sparkContext.applicationId, []))
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these intermediate tables; only for a caller who knows that nothing will read them again."""
+    known = _TABLES.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        if path in known:
+            _delete(spark, path)
+            known.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables and scratch folders of this application; results read from them are then gone."""
-    context = spark.sparkContext
-    path = context._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
-    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, own_dir(spark))
+    _TABLES.pop(spark.sparkContext.applicationId, None)
