@@ -207,7 +207,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         "rep", "copies", "candidate", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"),
         F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("candidate"), F.lit(shelves))).otherwise(-1).alias("shelf"),
         F.when(F.col("blocks") == 1, F.lit(0).cast("long")).otherwise(F.col("candidate")).alias("large"))
-    sent = source.select(F.col("row_tag").alias("rep"), "text").join(cut(tasks), "rep")
+    # Never a broadcast, however few the tasks are: they grow with the documents.
+    sent = source.select(F.col("row_tag").alias("rep"), "text").join(cut(tasks).hint("merge"), "rep")
 
     def compare(key, pdf):
         import pandas as pd
@@ -247,4 +248,4 @@ def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column
     rows = cut(docs.withColumn(tag, F.monotonically_increasing_id()))
     kept = near_duplicates(rows, id_column, text_column, tag=tag, **options).filter("kept").select(
         F.col("row_tag").alias(tag))
-    return rows.join(kept, tag, "left_semi").select(*docs.columns)
+    return rows.join(kept.hint("merge"), tag, "left_semi").select(*docs.columns)
