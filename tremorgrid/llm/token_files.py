@@ -164,11 +164,12 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         vocabulary = max(encoder.library.get_vocab_size(), end_id + 1)
         names: list[int | None] = []
         parts: list[bytes] = []
-        held = number = 0
+        held = number = before = 0
 
         def shard():
             return pa.RecordBatch.from_pydict({
                 "shard_no": pa.array([number], pa.int64()), "n_ids": pa.array([held], pa.int64()),
+                "ids_before": pa.array([before], pa.int64()),
                 "no_id": pa.array([[i for i, x in enumerate(names) if x is None]], pa.list_(pa.int32())),
                 "data": pa.array([pack_shard(names, parts, width, vocabulary, end_id)], pa.binary())})
 
@@ -179,6 +180,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
                     size = len(data) // width + 1
                     if held and held + size > shard_ids:
                         yield shard()
+                        before += held
                         names, parts, held, number = [], [], 0, number + 1
                     names.append(name)
                     parts.append(data + end)
@@ -187,7 +189,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
             yield shard()
 
     ranged = source.repartitionByRange("doc_id", "row_tag").sortWithinPartitions("doc_id", "row_tag")
-    shards = ranged.select("doc_id", "text").mapInArrow(run, "shard_no long, n_ids long, no_id array<int>, data binary")
+    shards = ranged.select("doc_id", "text").mapInArrow(run, "shard_no long, n_ids long, ids_before long, no_id array<int>, data binary")
     (shards.withColumn("range_no", F.spark_partition_id()).write.option("compression", "zstd")
      .parquet(f"{path}/shards"))
     range_starts(spark.read.parquet(f"{path}/shards"), "n_ids").write.parquet(f"{path}/ranges")
@@ -208,17 +210,11 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 names = pd.array(shard.doc_ids.astype(np.int64), dtype="Int64")
                 names[list(row.no_id)] = pd.NA
                 yield pd.DataFrame({
-                    "range_no": row.range_no, "doc_id": names, "local": row.before + ends - shard.sizes,
+                    "range_no": row.range_no, "doc_id": names, "local": row.ids_before + ends - shard.sizes,
                     "n_tokens": shard.sizes,
                     "ids": [ids[e - n:e].tobytes() for e, n in zip(ends.tolist(), shard.sizes.tolist())]})
 
-    from pyspark.sql.window import Window
-
-    earlier = Window.partitionBy("range_no").orderBy("shard_no").rowsBetween(Window.unboundedPreceding, -1)
-    before = (shards.select("range_no", "shard_no", "n_ids")
-              .withColumn("before", F.coalesce(F.sum("n_ids").over(earlier), F.lit(0))).drop("n_ids"))
-    documents = shards.join(before, ["range_no", "shard_no"]).mapInPandas(
-        run, "range_no int, doc_id long, local long, n_tokens long, ids binary")
+    documents = shards.mapInPandas(run, "range_no int, doc_id long, local long, n_tokens long, ids binary")
     starts = F.broadcast(spark.read.parquet(f"{path}/ranges"))  # one row per range
     return documents.join(starts, "range_no").select(
         "doc_id", (F.col("local") + F.col("range_start")).alias("start"), "n_tokens", "ids")
