@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,33 +11,51 @@ from pyspark.sql import functions as F
 from tremorgrid.llm import jaccard_join, line_dedup, mixing, packing, toxicity
 from tremorgrid.llm.common import free_name
 from tremorgrid.llm.queries import vocabulary
-from tremorgrid.session import shared_dir, ship_package
+from tremorgrid.session import cut, discard, own_dir, ship_package, tables
 
+_LEFT: dict[str, list[str]] = {}
 
+
+def stage(function):
+    """A stage begins by deleting the intermediate tables of the stage before it, whose rows have been written.
+
+    A stage's own tables stay until then, so its result can be read and, if an executor is lost, read again.
+    """
+    @functools.wraps(function)
+    def begin(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        application = spark.sparkContext.applicationId
+        discard(spark, _LEFT.pop(application, []))
+        before = set(tables(spark))
+        result = function(spark, docs, sf_dir)
+        _LEFT[application] = [path for path in tables(spark) if path not in before]
+        return result
+
+    return begin
+
+
+@stage
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows scored 0.5 or more go; the classifier learns from the labelled rows of ``documents``."""
-    ship_package(spark)
     return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"),
                                spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+@stage
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of repeated line runs go; every row stays, if need be with an empty text."""
-    ship_package(spark)
     return line_dedup.dedup_lines(docs)
 
 
+@stage
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class of near duplicates stays; texts without words are one class."""
-    ship_package(spark)
     return jaccard_join.drop_near_duplicates(docs)
 
 
+@stage
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as the mix takes it."""
-    ship_package(spark)
-    from tremorgrid.session import cut
-
     tag = free_name(docs, "row_tag")
     rows = cut(docs.withColumn(tag, F.monotonically_increasing_id()))
     copies = mixing.mix_sources(rows, tag=tag).filter("copies > 0 and size > 0").select(
@@ -45,9 +64,9 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return rows.join(copies.hint("merge"), tag).withColumn(tag, times).select(*docs.columns)
 
 
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of 4096-token sequences along the curve."""
-    ship_package(spark)
     return packing.pack_documents(docs, vocabulary("word_bpe_49k.json"))
 
 
@@ -66,8 +85,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each one's rows written to the shared folder and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    base = f"{shared_dir(spark)}/tremorgrid-{spark.sparkContext.applicationId}/pipeline-{uuid.uuid4().hex}"
-    for number, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{base}/{number}")
+    base = f"{own_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for number, (_, function) in enumerate(STAGES):
+        function(spark, docs, sf_dir).write.parquet(f"{base}/{number}")
         docs = spark.read.parquet(f"{base}/{number}")
     return docs
