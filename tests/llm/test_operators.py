@@ -321,6 +321,21 @@ def test_toxicity_held_out(spark):
     assert np.mean(right) > 0.9
 
 
+def test_toxicity_counts_every_word(spark):
+    """No window is skipped: the hits of a text are those of all its words, also where a window saves nothing."""
+    path = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    model, skipped = toxicity.train(docs, labels), 0
+    model._tools()
+    for row in docs.join(labels.filter("toxic = 1"), "doc_id").select("text").collect():
+        words = re.findall(r"\w+", row["text"].lower())
+        hits = [model.word_saving(w) >= 0.35 for w in words]
+        assert model.features(row["text"])[1] == pytest.approx(np.log1p(sum(hits)))
+        skipped += sum(any(hits[n:n + 8]) and model.saving(" ".join(words[n:n + 8]).encode()) < 2
+                       for n in range(0, len(words), 8))
+    assert skipped > 0
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (None, 0, 1), (2, None, None)],
                                    "doc_id long, quality int, toxic int")

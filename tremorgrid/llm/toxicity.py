@@ -21,8 +21,9 @@ LEVEL = 3
 RATIO = 20.0
 #: ... and the likelihood-ratio statistic of the two shares is at least this.
 EVIDENCE = 25.0
-#: Bytes that a window must save to have its words compared one by one, and share of a word that counts as a hit.
-WINDOW_SAVING, WORD_SAVING = 2, 0.35
+#: Shares of a word and bytes of a window from which a saving is counted; calibration weighs the counts.
+WORD_SAVINGS, WINDOW_SAVINGS = (0.35, 0.5, 0.65), (2, 4, 6)
+FEATURES = 1 + 2 * (len(WORD_SAVINGS) + len(WINDOW_SAVINGS)) + 2
 WORDS_KEPT = 200_000
 _WORD = re.compile(r"\w+")
 
@@ -77,19 +78,25 @@ class Model:
             known = self._words[word] = self.saving(self.context + b" " + data) / (len(data) + 2)
         return known
 
-    def features(self, text: str) -> tuple[float, float, float]:
-        """Largest word saving, logarithm of the number of hits, and hits per word, over all windows of the text."""
+    def features(self, text: str) -> list[float]:
+        """Savings of every word and of every window, windows overlapping by half.
+
+        Largest word saving; for each of ``WORD_SAVINGS`` and ``WINDOW_SAVINGS`` the logarithm of the number of hits
+        and the hits per word; largest and mean saving of the windows.
+        """
         self._tools()
         words = _WORD.findall(text.lower())
-        most, hits = 0.0, 0
-        for start in range(0, len(words), WINDOW_WORDS):
-            window = words[start:start + WINDOW_WORDS]
-            if self.saving(" ".join(window).encode()) >= WINDOW_SAVING:
-                for word in window:
-                    saved = self.word_saving(word)
-                    most = max(most, saved)
-                    hits += saved >= WORD_SAVING
-        return most, float(np.log1p(hits)), 10 * hits / (len(words) + 20)
+        half = WINDOW_WORDS // 2
+        of_words = np.array([self.word_saving(word) for word in words])
+        of_windows = np.array([self.saving(" ".join(words[start:start + WINDOW_WORDS]).encode())
+                               for start in range(0, max(len(words) - half, min(len(words), 1)), half)], dtype=float)
+        out = [max(of_words.max(initial=0.0), 0.0)]
+        for savings, levels in ((of_words, WORD_SAVINGS), (of_windows, WINDOW_SAVINGS)):
+            for level in levels:
+                hits = int((savings >= level).sum())
+                out += [float(np.log1p(hits)), 10 * hits / (len(words) + 20)]
+        out += [of_windows.max(initial=0.0) / WINDOW_WORDS, of_windows.mean() / WINDOW_WORDS if len(words) else 0.0]
+        return [float(v) for v in out]
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         if self.weights is None:
@@ -124,8 +131,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit the dictionaries and thresholds on labelled rows that are not held out.
 
     At most ``sample_rows`` texts of each class are used (equal texts count once), chosen by the hash of their ids;
-    their whole texts are read on the executors, and only the dictionaries' words and three numbers for each sampled
-    row come to the driver. Rows with null labels, ids or texts teach nothing. If a class has no rows the scores are 0.
+    their whole texts are read on the executors, and only the dictionaries' words and the features of each sampled row
+    come to the driver. Rows with null labels, ids or texts teach nothing. If a class has no rows the scores are 0.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -169,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 def _features(model: Model):
     @F.pandas_udf("array<double>")
     def features(texts):
-        return texts.map(lambda t: [float(v) for v in model.features(t or "")])
+        return texts.map(lambda t: model.features(t or ""))
 
     return features
 
@@ -181,15 +188,15 @@ def score_column(model: Model, text: Column | str) -> Column:
         import pandas as pd
 
         rows = [model.features(t or "") for t in texts]
-        return pd.Series(model.scores(np.array(rows, dtype=float).reshape(-1, 3)))
+        return pd.Series(model.scores(np.array(rows, dtype=float).reshape(-1, FEATURES)))
 
     return score(text)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row; whole texts are read, in windows of eight words.
+    """doc_id, held_out, score, predicted of every row; whole texts are read, in windows of eight words that overlap by half.
 
-    A window is compressed with both dictionaries; where the toxic one saves bytes, its words are compared one by one.
+    Every window and every word is compressed with both dictionaries, which are lists of words learned from the labels.
     Empty and null texts have the score of a text without hits. Ids, nulls and repeated rows included, pass through;
     labels, lang and source are no inputs. An empty table gives no rows.
     """
