@@ -336,6 +336,24 @@ def test_toxicity_counts_every_word(spark):
     assert skipped > 0
 
 
+def test_toxicity_zero_point_of_a_bounded_sample(spark):
+    """The mean score is the share of toxic labels, also where the sample holds as many of each class."""
+    rng = np.random.default_rng(1)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(300)]
+    rows = []
+    for n in range(2000):
+        toxic = int(n % 10 == 0)
+        words = list(rng.choice(vocab, 40))
+        if rng.random() < (0.7 if toxic else 0.01):
+            words[20:20] = ["scoundrelish", "blockheaded"]
+        rows.append((n, " ".join(words), toxic))
+    docs, labels = (spark.createDataFrame(rows, "doc_id long, text string, toxic int").select("doc_id", c) for c in ("text", "toxic"))
+    for bound in (100, 4000):
+        learned = toxicity.score_toxicity(docs, labels, bound).filter("not held_out").join(labels, "doc_id")
+        mean, share = learned.selectExpr("avg(score)", "avg(toxic)").first()
+        assert mean == pytest.approx(share, abs=0.05), bound
+
+
 def test_toxicity_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(4, 1, 1), (5, 1, 0), (None, 0, 1), (2, None, None)],
                                    "doc_id long, quality int, toxic int")

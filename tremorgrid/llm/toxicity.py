@@ -132,13 +132,15 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
     At most ``sample_rows`` texts of each class are used (equal texts count once), chosen by the hash of their ids;
     their whole texts are read on the executors, and only the dictionaries' words and the features of each sampled row
-    come to the driver. Rows with null labels, ids or texts teach nothing. If a class has no rows the scores are 0.
+    come to the driver. The intercept is corrected from the sample's ratio of classes to that of all learnable labels, so
+    a score of 0.5 means the same whether the bound bites or not. Rows with null labels, ids or texts teach nothing. If a class has no rows the scores are 0.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     thin = texts.select("doc_id", F.xxhash64(F.lower("text")).alias("same"))
-    known = (thin.join(marks.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))), "doc_id")
-             .groupBy("same", "toxic").agg(F.min("doc_id").alias("doc_id")))
+    known = cut(thin.join(marks.filter("toxic in (0, 1)").filter(~held_out(F.col("doc_id"))), "doc_id")
+                .groupBy("same", "toxic").agg(F.min("doc_id").alias("doc_id")).select("doc_id", "toxic").distinct())
+    learnable = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     chosen = None
     for kind in (0, 1):
         own = known.filter(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
@@ -169,7 +171,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     model = Model(base + _filled(rest, OWN_BYTES), base + _filled(toxic, OWN_BYTES) if toxic else base + _filled(
         rest, OWN_BYTES), " ".join(shared[:9]).encode())
     rows = sample.select("toxic", _features(model)("text").alias("f")).collect()
-    model.weights = calibrated(np.array([r["f"] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float))
+    weights = calibrated(np.array([r["f"] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float))
+    model.weights = (weights[0] + float(np.log(learnable[1] / learnable[0] * n0 / n1)), *weights[1:])
     return model
 
 
