@@ -12,6 +12,9 @@ from tremorgrid.plans.registry import query
 from tremorgrid.session import cut
 
 CLASSES = 3
+#: Folds, draws of each family, trials and hidden layers of the model queries, as in the reference.
+FOLDS, DRAWS, TRIALS = 5, 30, 15
+HIDDEN = {"time": [64], "spec": [64], "hybrid": [128]}
 
 # Metrics over prediction tables.
 
@@ -175,7 +178,7 @@ def feature_table(spark, sf_dir, label: str = "y3"):
                     *[F.col("samples")[n].alias(f"f{n}") for n in range(64)])
 
 
-def folded_table(spark, sf_dir, label: str = "y3", folds: int = 3):
+def folded_table(spark, sf_dir, label: str = "y3", folds: int = FOLDS):
     def build():
         return cut(splits.group_kfold(feature_table(spark, sf_dir, label), folds))
     return fx.stored(spark, sf_dir, f"folded_{label}_{folds}", build)
@@ -237,26 +240,33 @@ def silhouette(spark, sf_dir):
 
 @query("ml5_boosted_baseline", f"WITH {fx.SQL_VECTORS} SELECT window_index, y3 AS y_true, TRUE AS known_class FROM vectors")
 def boosted_baseline(spark, sf_dir):
-    table = splits.stratified_kfold(feature_table(spark, sf_dir), 2, "label_id", ["window_index"])
-    out = models.boosted_baseline(table, USED, CLASSES, folds=2, trees=10, keep=["window_index"])
+    table = splits.stratified_kfold(feature_table(spark, sf_dir), FOLDS, "label_id", ["window_index"])
+    out = models.boosted_baseline(table, USED, CLASSES, keep=["window_index"])
     return out.select("window_index", "y_true", F.col("y_pred").between(0, CLASSES - 1).alias("known_class"))
 
 
 @query("ml6_random_search_cv")
 def random_search_cv(spark, sf_dir):
-    space = {**models.SEARCH_SPACES["rf"], "numTrees": [10, 20, 30], "maxDepth": [5, 10]}
-    draws = models.sample_params(space, 3, seed=42)
-    _, _, trials = models.random_search_cv(
-        folded_table(spark, sf_dir), USED,
-        lambda **p: RandomForestClassifier(featuresCol="scaled", labelCol="label_id", seed=42, **p), draws, 3)
-    return trials
+    """Trials of both families; ``winner`` marks the one best of all."""
+    builders = {
+        "gbc": lambda **p: models.gradient_boosting(CLASSES, **p),
+        "rf": lambda **p: RandomForestClassifier(featuresCol="scaled", labelCol="label_id", seed=42, **p),
+    }
+    trials = None
+    for family, build in builders.items():
+        draws = models.sample_params(models.SEARCH_SPACES[family], DRAWS, seed=42)
+        _, _, part = models.random_search_cv(folded_table(spark, sf_dir), USED, build, draws, FOLDS)
+        part = part.withColumn("family", F.lit(family))
+        trials = part if trials is None else trials.unionByName(part)
+    best = trials.orderBy(F.desc("best_score"), "family", "model_order").first()  # one row per draw
+    won = (F.col("family") == best["family"]) & (F.col("model_order") == best["model_order"])
+    return trials.withColumn("winner", won)
 
 
 @query("ml7_cross_val_predict", f"WITH {fx.SQL_VECTORS} SELECT window_index, y3 AS y_true FROM vectors")
 def cross_val_predict(spark, sf_dir):
-    forest = RandomForestClassifier(featuresCol="scaled", labelCol="label_id", numTrees=20, seed=42)
     out = models.cross_val_predict(
-        folded_table(spark, sf_dir), models.scaled_pipeline(USED, forest), 3, ["window_index"])
+        folded_table(spark, sf_dir), models.scaled_pipeline(USED, models.top20_forest()), FOLDS, ["window_index"])
     return out.select("window_index", "y_true")
 
 
@@ -265,20 +275,20 @@ def top20_table(spark, sf_dir):
     def build():
         windows = fx.wide_windows(spark, sf_dir).select("file", "window_index", "ay", "az", "wy")
         table = features.top20_features(windows, fx.RATE, "ay", "az", "wy").drop("ay", "az", "wy")
-        return cut(splits.group_kfold(table.withColumn("label_id", (F.col("file") % 2).cast("int")), 3))
+        return cut(splits.group_kfold(table.withColumn("label_id", (F.col("file") % 2).cast("int")), FOLDS))
     return fx.stored(spark, sf_dir, "top20_table", build)
 
 
 def top20_model(spark, sf_dir):
     def build():
-        pipeline = models.scaled_pipeline(list(features.TOP20), models.top20_forest(20, 8))
+        pipeline = models.scaled_pipeline(list(features.TOP20), models.top20_forest())
         return pipeline.fit(top20_table(spark, sf_dir))
     return fx.stored(spark, sf_dir, "top20_model", build)
 
 
 @query("ml8_train_top20_forest")
 def train_top20_forest(spark, sf_dir):
-    _, predictions = models.train_top20_forest(top20_table(spark, sf_dir), 3, trees=20, depth=8)
+    _, predictions = models.train_top20_forest(top20_table(spark, sf_dir))
     return metrics.classification_report(metrics.confusion_matrix(predictions))
 
 
@@ -289,8 +299,8 @@ def top_features(spark, sf_dir):
 
 @query("ml9_compare_classifiers")
 def compare_classifiers(spark, sf_dir):
-    table = models.power_transform(folded_table(spark, sf_dir, folds=2), USED)
-    return models.compare_classifiers(table, USED, CLASSES, 2)
+    table = models.power_transform(folded_table(spark, sf_dir), USED)
+    return models.compare_classifiers(table, USED, CLASSES, FOLDS)
 
 
 GRID = [-1.0, 0.0, 0.5, 1.0, 2.0]
@@ -334,21 +344,21 @@ def network_table(spark, sf_dir):
     def build():
         v = fx.vectors(spark, sf_dir).select("file", "window_index", "samples", F.col("y3").alias("label_id"))
         spectra = signals.stft_spectrogram(v, ["samples"], 16, 0.5)
-        return cut(splits.group_holdout(splits.group_kfold(spectra, 2), 0.2))
+        return cut(splits.group_holdout(splits.group_kfold(spectra, FOLDS), 0.2))
     return fx.stored(spark, sf_dir, "network_table", build)
 
 
 @query("ml12_neural")
 def neural(spark, sf_dir):
-    parts = [models.neural_cv(network_table(spark, sf_dir), kind, CLASSES, 2, [16], ["samples"], maxIter=20)
-             for kind in ("time", "spec", "hybrid")]
+    parts = [models.neural_cv(network_table(spark, sf_dir), kind, CLASSES, FOLDS, hidden, ["samples"])
+             for kind, hidden in HIDDEN.items()]
     return metrics.fold_summary(metrics.fold_metrics(parts[0].unionByName(parts[1]).unionByName(parts[2])))
 
 
 @query("ml13_tune_neural")
 def tune_neural(spark, sf_dir):
     table = network_table(spark, sf_dir)
-    model, _, _ = models.tune_neural(table, "time", CLASSES, 2, 2, ["samples"], max_iter=20)
+    model, _, _ = models.tune_neural(table, "time", CLASSES, FOLDS, TRIALS, ["samples"])
     held = models.flatten_windows(table.where("holdout"), "time", ["samples"])
     scored = model.transform(held).select(F.col("label_id").alias("y_true"), F.col("prediction").cast("int").alias("y_pred"))
     return metrics.classification_report(metrics.confusion_matrix(scored))
