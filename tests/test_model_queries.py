@@ -66,3 +66,21 @@ def test_search_families(monkeypatch, spark):
     for (draws, _, _), family in zip(seen, ("gbc", "rf")):
         assert draws == models.sample_params(models.SEARCH_SPACES[family], 30, 42)
     assert [(r["family"], r["model_order"]) for r in trials if r["winner"]] == [("rf", 29)]
+
+
+def test_boosted_predictions(monkeypatch, spark):
+    """The query returns every prediction, and those of a planted class beat the majority class."""
+    whole = models.boosted_baseline
+
+    def few_trees(df, columns, classes, **kwargs):
+        planted = df.withColumn("f0", df["label_id"].cast("double"))
+        return whole(planted, ["f0", "f1"], classes, folds=5, trees=2, depth=2, keep=kwargs["keep"])
+
+    monkeypatch.setattr(models, "boosted_baseline", few_trees)
+    monkeypatch.setattr(catalog_models.fx, "_STORED", {})
+    rows = catalog_models.boosted_predictions(spark, SMALL).collect()
+    assert {r["fold"] for r in rows} == set(range(5))
+    assert len(rows) == len({r["window_index"] for r in rows}) == catalog_models.feature_table(spark, SMALL).count()
+    truth = [r["y_true"] for r in rows]
+    accuracy = sum(r["y_true"] == r["y_pred"] for r in rows) / len(rows)
+    assert accuracy > max(truth.count(k) for k in set(truth)) / len(rows)

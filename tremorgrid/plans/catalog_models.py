@@ -240,9 +240,17 @@ def silhouette(spark, sf_dir):
 
 @query("ml5_boosted_baseline", f"WITH {fx.SQL_VECTORS} SELECT window_index, y3 AS y_true, TRUE AS known_class FROM vectors")
 def boosted_baseline(spark, sf_dir):
-    table = splits.stratified_kfold(feature_table(spark, sf_dir), FOLDS, "label_id", ["window_index"])
-    out = models.boosted_baseline(table, USED, CLASSES, keep=["window_index"])
-    return out.select("window_index", "y_true", F.col("y_pred").between(0, CLASSES - 1).alias("known_class"))
+    return boosted_predictions(spark, sf_dir).select("window_index", "y_true", F.col("y_pred").between(0, CLASSES - 1).alias("known_class"))
+
+
+@query("ml5_boosted_predictions")
+def boosted_predictions(spark, sf_dir):
+    """The trained predictions themselves: window, fold, true and predicted class."""
+    def build():
+        table = splits.stratified_kfold(feature_table(spark, sf_dir), FOLDS, "label_id", ["window_index"])
+        out = models.boosted_baseline(table, USED, CLASSES, keep=["window_index"])
+        return cut(out.select("window_index", "fold", "y_true", "y_pred"))
+    return fx.stored(spark, sf_dir, "boosted_predictions", build)
 
 
 @query("ml6_random_search_cv")
