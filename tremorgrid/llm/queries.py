@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tremorgrid.llm import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing
-from tremorgrid.llm import token_counts, token_files, topk_search, toxicity
+from tremorgrid.llm import token_counts, token_files, topk_search, toxicity, vector_codes
 from tremorgrid.llm.common import ORACLES, QUERIES, query, table
-from tremorgrid.session import shared_dir, ship_package
+from tremorgrid.session import cut, shared_dir, ship_package
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -132,3 +132,41 @@ FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"))
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """The rounds one after another: parts in long form, distances by component, floored means."""
+    steps = [f"""
+v AS MATERIALIZED (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id, embedding) AS n,
+         list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+       FROM embeddings WHERE embedding IS NOT NULL
+         AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT n, p, e[p * len(e) // {parts} + 1 : (p + 1) * len(e) // {parts}] AS a
+       FROM v, range({parts}) AS r(p)),
+book0 AS MATERIALIZED (SELECT p, n - 1 AS entry, a FROM parts WHERE n <= {entries})"""]
+    near = ("SELECT n, p, a, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT x.n, x.p, x.a, b.entry, "
+            "list_sum(list_transform(list_zip(x.a, b.a), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d "
+            "FROM parts x JOIN book{0} b ON x.p = b.p) GROUP BY n, p, a")
+    for r in range(rounds):
+        steps.append(f"near{r} AS MATERIALIZED ({near.format(r)})")
+        steps.append(f"""book{r + 1} AS MATERIALIZED (
+  SELECT b.p, b.entry, coalesce(m.a, b.a) AS a FROM book{r} b LEFT JOIN (
+    SELECT p, entry, list(CAST(floor(total / many) AS BIGINT) ORDER BY i) AS a FROM (
+      SELECT p, entry, i, sum(a[i]) AS total, count(*) AS many FROM near{r}, range(1, len(a) + 1) AS s(i)
+      GROUP BY p, entry, i) GROUP BY p, entry) m ON b.p = m.p AND b.entry = m.entry)""")
+    steps.append(f"last AS MATERIALIZED ({near.format(rounds)})")
+    steps.append("""coded AS (SELECT n, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error
+       FROM last GROUP BY n)""")
+    return "WITH " + ",".join(steps) + f"""
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(a, ','), ',' ORDER BY p, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN v USING (n)"""
+
+
+@query("op13_vector_codes", _codes_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    codes, books = vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
+    numbers = ",".join(str(x) for book in books for entry in book for x in entry)
+    return vector_codes.with_group_error(cut(codes)).select(
+        "vec_id", "code", "error", "label_error", F.sha2(F.lit(numbers), 256).alias("codebooks_sha256"))
