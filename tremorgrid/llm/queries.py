@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tremorgrid.llm import chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing
-from tremorgrid.llm import token_counts, token_files, topk_search, toxicity, vector_codes
+from tremorgrid.llm import sketches, source_audit, token_counts, token_files, topk_search, toxicity, vector_codes
 from tremorgrid.llm.common import ORACLES, QUERIES, query, table
 from tremorgrid.session import cut, shared_dir, ship_package
 
@@ -134,6 +134,46 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_source_audit", r"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS n, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+w AS MATERIALIZED (SELECT n, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+vocab AS MATERIALIZED (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT n) >= 3),
+langs AS (SELECT lang, sum(total)::HUGEINT AS total, count(*) AS terms FROM vocab GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN vocab USING (lang, term) GROUP BY lang, source, term),
+g AS MATERIALIZED (SELECT lang, source, coalesce((SELECT sum(c) FROM c WHERE c.lang = x.lang AND c.source = x.source), 0)::HUGEINT
+         AS total FROM (SELECT DISTINCT lang, source FROM d) x),
+grid AS MATERIALIZED (
+  SELECT g.lang, g.source, v.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 1)) // (g.total + l.terms) AS p,
+         1 + (1000000000::HUGEINT * (v.total + 1)) // (l.total + l.terms) AS q
+  FROM g JOIN vocab v ON v.lang = g.lang JOIN langs l ON l.lang = g.lang
+    LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(s.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+    SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // y.p) AS value
+    FROM grid x JOIN grid y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source
+    GROUP BY x.lang, x.source, y.source) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+marked AS (SELECT lang, source, term AS item, ((p - q) * (p - q)) // q AS value FROM grid WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT lang, source, 'pair' AS part, item, value,
+         row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+  UNION ALL
+  SELECT lang, source, 'term', item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)
+  FROM marked) WHERE part = 'pair' OR rank <= 200
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return source_audit.audit_sources(table(spark, sf_dir, "documents"))
+
+
+@query("op12_fingerprints")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return sketches.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
     """The rounds one after another: parts in long form, distances by component, floored means."""
     steps = [f"""
