@@ -112,7 +112,7 @@ def _blocks(batches, column: str):
 
 def _matrix(column, dims: int) -> np.ndarray:
     flat = pc.list_flatten(column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column)
-    return flat.to_numpy(zero_copy_only=False).reshape(-1, dims)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), dims)
 
 
 def _tries(scale: int, dims: int, bounds):
@@ -250,7 +250,8 @@ def code_vectors(
         return spark.createDataFrame([], result), []
     dims = len(first[0]["vector"])
     bounds = part_bounds(dims, parts)
-    start = scaled(np.array([r["vector"] for r in first if len(r["vector"]) == dims], dtype=float).reshape(-1, dims), scale)
+    same = [r["vector"] for r in first if len(r["vector"]) == dims]
+    start = scaled(np.array(same, dtype=float).reshape(len(same), dims), scale)
     codebooks = [start[:, low:high] for low, high in bounds]
     if dims:
         fitting = rows.where(F.size("vector") == dims).select("vector")
