@@ -143,7 +143,8 @@ def plain_pairs(df):
     return [(*r, rows[(n + 1) % len(rows)][1]) for n, r in enumerate(rows)]
 
 
-def test_neighbours(spark, small):
+def test_neighbours(spark, small, monkeypatch):
+    monkeypatch.setattr(sketches, "RANGE_BYTES", 50_000)  # many ranges
     want = {}
     for number, text, following in plain_pairs(small):
         third = len(text) // 3
@@ -172,7 +173,8 @@ def test_neighbours_of_odd_rows(spark, odd, none):
     assert row["near_next"] == 1 and row["edited_sha256"] == hashlib.sha256(b"a b c d a b").hexdigest()
 
 
-def test_repeated_rows_are_neighbours(spark):
+def test_repeated_rows_are_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(sketches, "RANGE_BYTES", 2_000)  # the repeated rows lie in several ranges
     rows = spark.createDataFrame([(7, "one two three four five six")] * 500 + [(8, "x")], "doc_id long, text string")
     got = sketches.compare_neighbours(rows.repartition(4)).collect()
     assert Counter(r["doc_id"] for r in got) == {7: 500, 8: 1}

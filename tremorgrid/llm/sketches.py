@@ -200,79 +200,87 @@ def _compare(sketcher: Sketcher, text: str, own: np.ndarray, following: str, ahe
             sketcher.likeness(own, changed), sketcher.likeness(own, ahead))
 
 
+#: Bytes of text that a range of neighbouring documents holds on average.
+RANGE_BYTES = 16 << 20
+
+
+def _range_starts(thin: DataFrame, count: int) -> list[tuple]:
+    """Keys (no id, falling id, tie, row) of the first rows of at most ``count`` ranges of about equal number of rows."""
+    key = F.struct("none", "falling", "tie", "row")
+    ranged = thin.repartitionByRange(count, "none", "falling", "tie", "row")
+    firsts = ranged.groupBy(F.spark_partition_id().alias("range_no")).agg(F.min(key).alias("first"))
+    return sorted(tuple(r["first"]) for r in firsts.collect())  # one key per range
+
+
 def compare_neighbours(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against its edited text and its successor: ``doc_id``, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
 
-    Successors go by descending ``doc_id`` (null last, equal ids by text) and the last document's is the first. Texts
-    are sorted by ranges once, with repeated rows spread over tasks, and each task looks one row ahead. A task cannot
-    see the row after its last: it passes its first and last text on, and these few rows, two per task, meet in a
-    second step that is dealt by task number. Null texts are empty, repeated rows are documents of their own, one
+    Successors go by descending ``doc_id``, an integer (null last, equal ids by a hash of the text), and the last
+    document's is the first. A thin table of keys gives the first document of every range of neighbours; texts are then
+    dealt out by range once, and the first document of a range goes to the range before it as well, so that every
+    task sees the successor of its last document. Repeated rows are documents of their own and spread over ranges by
+    their place in the input, which must be the same on two reads, as it is for a table. Null texts are empty, one
     document is its own successor, an empty table gives an empty result, and further columns of ``df`` are not read.
     """
-    spark = df.sparkSession
-    id_type = df.schema[doc_id].dataType
-    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("_tie", F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
-    keys = [F.desc_nulls_last("doc_id"), F.asc("_tie"), F.asc("_row")]
-    inside = [F.desc_nulls_last("doc_id"), F.asc("_tie"), F.asc("text"), F.asc("_row")]
-    ranged = rows.repartitionByRange(*keys).sortWithinPartitions(*inside).select("doc_id", "text")
-
-    schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(n, t) for n, t in _MEASURED],
-                           T.StructField("first_text", T.StringType()), T.StructField("last_text", T.StringType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType), *[T.StructField(n, t) for n, t in _MEASURED]])
     names = [f.name for f in schema.fields]
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).select(
+        "*", F.col("doc_id").isNull().alias("none"), (-F.coalesce("doc_id", F.lit(0)).cast("decimal(20,0)")).alias("falling"),
+        F.xxhash64("text").alias("tie"), F.monotonically_increasing_id().alias("row"))
+    thin = cut(rows.select("none", "falling", "tie", "row", F.octet_length("text").alias("size")))
+    count = (thin.agg(F.sum("size")).first()[0] or 0) // RANGE_BYTES + 1
+    starts = _range_starts(thin, count)
+    if not starts:
+        return df.sparkSession.createDataFrame([], schema)
+    last = len(starts) - 1
+
+    @F.pandas_udf("array<int>")
+    def places(none, falling, tie, row):
+        """The range of a row; for the first row of a range also, as -1 - range, the range before it."""
+        from bisect import bisect_right
+
+        import pandas as pd
+
+        out = []
+        for key in zip(none.tolist(), falling.tolist(), tie.tolist(), row.tolist()):
+            at = bisect_right(starts, key) - 1
+            out.append([at, -1 - (at - 1 if at else last)] if key == starts[at] else [at])
+        return pd.Series(out)
+
+    placed = rows.select("*", F.explode(places("none", "falling", "tie", "row")).alias("at")).select(
+        F.when(F.col("at") < 0, -1 - F.col("at")).otherwise(F.col("at")).alias("range_no"), (F.col("at") < 0).alias("ahead"),
+        "none", "falling", "tie", "row", "doc_id", "text")
+    dealt = placed.repartition(last + 1, "range_no").sortWithinPartitions(
+        "range_no", "ahead", "none", "falling", "tie", "row").select("range_no", "ahead", "doc_id", "text")
 
     def look_ahead(batches):
         import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
 
         arrow, sketcher = to_arrow_schema(schema), _sketcher()
-        held, first, out, size = None, None, [], 0
+        held, out, size = None, [], 0
 
         def batch():
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[n] for r in out], t.type) for n, t in enumerate(arrow)], names=names)
 
         for incoming in batches:
-            for number, body in zip(incoming.column(0).to_pylist(), incoming.column(1).to_pylist()):
+            for range_no, ahead, number, body in zip(*(c.to_pylist() for c in incoming.columns)):
                 sketch = sketcher.sketch(body)
-                if held is None:
-                    first = body
-                else:
-                    before, text_before, own = held
-                    out.append((before, *_compare(sketcher, text_before, own, body, sketch), None, None))
+                if held is not None:
+                    if held[0] != range_no:
+                        raise RuntimeError("the rows lie in other places than when their ranges were found")
+                    out.append((held[1], *_compare(sketcher, *held[2:], body, sketch)))
                     size += len(out[-1][3]) + len(out[-1][4])
-                held = number, body, sketch
+                held = None if ahead else (range_no, number, body, sketch)
                 if size > 4_000_000:
                     yield batch()
                     out, size = [], 0
         if held is not None:
-            out.append((held[0], *[None] * len(_MEASURED), first, held[1]))
+            raise RuntimeError("the rows lie in other places than when their ranges were found")
         if out:
             yield batch()
 
-    measured = cut(ranged.mapInArrow(look_ahead, schema).withColumn("range_no", F.spark_partition_id()))
-    edges = cut(measured.where("first_text is not null").select("range_no", "doc_id", "first_text", "last_text"))
-    # One row per task: the numbers of the tasks with rows come to the driver, not their texts.
-    numbers = sorted(r[0] for r in edges.select("range_no").collect())
-    inner = measured.where("first_text is null").select(*names[:-2])
-    if not numbers:
-        return inner
-    follows = spark.createDataFrame(list(zip(numbers, numbers[1:] + numbers[:1])), "range_no int, _next int")
-    ahead = edges.select(F.col("range_no").alias("_next"), F.col("first_text").alias("following"))
-    pairs = edges.select("range_no", "doc_id", "last_text").join(F.broadcast(follows), "range_no").join(
-        ahead.hint("merge"), "_next").select("doc_id", "last_text", "following")
-    final = T.StructType(schema.fields[:-2])
-
-    def close(batches):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow, sketcher = to_arrow_schema(final), _sketcher()
-        for incoming in batches:
-            for n in range(incoming.num_rows):
-                number, body, following = (incoming.column(c)[n].as_py() for c in range(3))
-                row = number, *_compare(sketcher, body, sketcher.sketch(body), following, sketcher.sketch(following))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip(row, arrow)], names=names[:-2])
-
-    return inner.unionByName(pairs.mapInArrow(close, final))
+    return dealt.mapInArrow(look_ahead, schema)
