@@ -28,6 +28,7 @@ def asked(monkeypatch, spark, query, operator):
 
     with monkeypatch.context() as patch:
         patch.setattr(models, operator, record)
+        patch.setattr(catalog_models.fx, "_STORED", {})  # nothing that an earlier test has stored
         with pytest.raises(Called) as called:
             query(spark, SMALL)
     return called.value.args[0]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tremorgrid.operators.greedy import select_spaced
 from tremorgrid.operators.ordered import (
-    carry_last, dense_index, exact_median, previous, reindex, running_sum,
+    carry_last, dense_index, exact_median, ordered_bits, previous, reindex, running_sum,
 )
 from tremorgrid.session import cut
 
@@ -91,7 +91,7 @@ def test_previous_and_reindex_across_pieces(table, rows):
     assert kept == expected
 
 
-@pytest.mark.parametrize("options", [{}, {"slots": 4, "ranked": 3}, {"slots": 2, "ranked": 1}])
+@pytest.mark.parametrize("options", [{}, {"width": 11}, {"width": 32}])
 def test_median_of_every_key(table, rows, options):
     got = {row.k: row.median for row in exact_median(table, ["k"], "x", **options).collect()}
     for key in ("hot", "warm", None):
@@ -109,10 +109,19 @@ INF = float("inf")
     [INF, *[n / 7 for n in range(200)]], [1e300, 1e150, *[n / 7 for n in range(200)]]])
 def test_median_of_awkward_values(spark, values):
     df = spark.createDataFrame([(1, v) for v in values], "k int, x double")
-    for options in ({}, {"slots": 4, "ranked": 3}):
+    for options in ({}, {"width": 24}):
         assert exact_median(df, ["k"], "x", **options).first()["median"] == statistics.median(values)
 
 
+def test_bits_sort_like_the_values(spark):
+    values = [-INF, -1e308, -3.5, -1e-300, -5e-324, 0.0, 5e-324, 1e-300, 1.0, 1.0000000000000002, 1e308, INF]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select(ordered_bits(F.col("x")).alias("b"))
+    bits = [r.b for r in df.collect()]
+    assert bits == sorted(bits) and len(set(bits)) == len(bits)
+    same = spark.createDataFrame([(1, v) for v in (0.0, -0.0, -0.0, 0.0, 7.0)], "k int, x double")
+    assert exact_median(same, ["k"], "x").first()["median"] == 0.0
+
+
 def test_columns_with_the_names_of_steps_stay(spark):
     names = ["_pos", "_lo", "_rows", "_part", "_shift", "_key", "_chunk", "_v_y", "_c_y", "_l_y"]
     df = spark.createDataFrame([("a", n, *[n + k for k in range(len(names))]) for n in range(9)],

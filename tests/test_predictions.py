@@ -65,8 +65,9 @@ def frame(kind, values, good=True):
     return body + bytes([(sum(body) + (0 if good else 1)) & 0xFF])
 
 
-def test_frames_in_a_dirty_stream(spark):
-    rng = random.Random(5)
+def dirty_stream(seed):
+    """A byte stream with garbage between frames, cut into chunks at random, and its frames."""
+    rng = random.Random(seed)
     stream = b""
     for n in range(60):
         stream += bytes(rng.choice([0x55, 0x00, 0xAA, 0x51]) for _ in range(rng.choice([0, 0, 1, 3])))
@@ -83,6 +84,11 @@ def test_frames_in_a_dirty_stream(spark):
             break
         expected.append((len(expected), at, stream[at:at + 11]))
         at += 11
+    return chunks, expected
+
+
+def test_frames_in_a_dirty_stream(spark):
+    chunks, expected = dirty_stream(5)
     df = spark.createDataFrame(chunks, "device_id bigint, seq bigint, chunk binary")
     got = frame_chunks(df).orderBy("frame_no").collect()
     assert [(r.frame_no, r.offset, bytes(r.frame)) for r in got] == expected

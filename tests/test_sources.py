@@ -89,3 +89,45 @@ def test_text_and_json_reports(spark, tmp_path):
     assert "".join(p.read_text() for p in (tmp_path / "t").glob("part*")) == "# a\n\nb\n"
     recordings.write_json_report(spark.createDataFrame([(1, None)], "n int, x double"), str(tmp_path / "j"))
     assert json.loads("".join(p.read_text() for p in (tmp_path / "j").glob("part*"))) == {"n": 1, "x": None}
+
+
+def test_each_file_has_its_own_header(spark, tmp_path):
+    """Other orders, extra columns, quoted cells, blank lines and another encoding give the same rows."""
+    plain, mixed = tmp_path / "plain", tmp_path / "mixed"
+    plain.mkdir(), mixed.mkdir()
+    rows = [[f"2024-01-01 00:00:{n / 10:06.3f}", *[f"{n * 7 + c}" for c in range(len(CHANNELS))]] for n in range(400)]
+    names = [TIMESTAMP_COLUMN, *CHANNELS]
+    orders = [list(range(7)), [6, 5, 4, 3, 2, 1, 0], [3, 0, 6, 1, 5, 2, 4]]
+    for number, order in enumerate(orders):
+        own = rows[number * 100:]
+        write_csv(plain, f"bad {number}.csv", [",".join(r) for r in own], ",".join(names))
+        lines = [",".join([f'"note, {k}"', *[r[c] for c in order], "more"]) for k, r in enumerate(own)]
+        lines.insert(5, "")
+        write_csv(mixed, f"bad {number}.csv", lines, ",".join(["Extra", *[names[c] for c in order], "Last"]))
+    want = sorted(map(tuple, recordings.read_recordings(spark, str(plain)).collect()))
+    assert len(want) == 400 + 300 + 200
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")  # several splits to a file
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = recordings.read_recordings(spark, str(mixed))
+        assert sorted(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    write_csv(mixed, "good.csv", ["1,2"], f"{TIMESTAMP_COLUMN},{CHANNELS[0]}")
+    with pytest.raises(ValueError, match="good.csv is missing"):
+        recordings.read_recordings(spark, str(mixed))
+
+
+def test_times_that_cannot_be_read(spark, tmp_path):
+    write_csv(tmp_path, "good.csv", [line(0), line(0.1)])
+    write_csv(tmp_path, "bad.csv", ["never,dev,1,2,3,4,5,6", "nor,dev,1,2,3,4,5,6"])
+    with pytest.raises(Exception, match="no readable time in bad.csv"):
+        recordings.read_recordings(spark, str(tmp_path)).collect()
+    lenient = recordings.read_recordings(spark, str(tmp_path), require_times=False)
+    assert lenient.count() == 4
+    from tremorgrid.operators import quality
+
+    with pytest.raises(Exception, match="no readable time in bad.csv"):
+        quality.sampling_metrics(lenient).collect()

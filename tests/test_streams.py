@@ -122,3 +122,92 @@ def test_recent_rows_of_several_batches(spark, packets, tmp_path):
     got = sp.latest_version(written)
     assert {(r.device_id, r.seq, r.recency) for r in got.collect()} == {
         (d, 119 - n, n + 1) for d in range(2) for n in range(7)}
+
+
+def test_frames_across_batches_equal_the_batch(spark, tmp_path):
+    """Chunks cut at random over five micro-batches, for several devices, one of which sends no chunk in the first."""
+    from tests.test_predictions import dirty_stream
+    from tremorgrid.operators.frames import frame_chunks
+    from tremorgrid.streaming.frames import stream_frames
+
+    rows, expected = [], {}
+    for device in (1, 2, 3):
+        chunks, expected[device] = dirty_stream(device)
+        late = len(chunks) // 2 if device == 3 else 0
+        rows += [(device, START + timedelta(seconds=late + seq), seq, chunk) for _, seq, chunk in chunks]
+    df = spark.createDataFrame(rows, "device_id bigint, ts timestamp, seq bigint, chunk binary")
+    got = finish(spark, stream_frames(stream_of(spark, df, tmp_path / "in", 5)), tmp_path)
+    for device in expected:
+        mine = got.where(F.col("device_id") == device).orderBy("frame_no").collect()
+        assert [(r.frame_no, r.offset, bytes(r.frame)) for r in mine] == expected[device]
+    batch = {tuple(map(repr, r)) for r in frame_chunks(df.drop("ts")).collect()}
+    assert {tuple(map(repr, r)) for r in got.collect()} == batch
+
+
+@pytest.fixture(scope="module")
+def networks(spark):
+    """Three fitted pipelines and their numbers, by what they read."""
+    from tremorgrid.operators import models, signals
+
+    rows = [(n, [float((n * 7 + k * k) % 11) for k in range(8)], [float((n * 3 + k) % 5) for k in range(8)], n % 3) for n in range(60)]
+    table = signals.stft_spectrogram(spark.createDataFrame(
+        rows, "seq int, a_v0 array<double>, w_v0 array<double>, label_id int"), ["a_v0", "w_v0"], 4, 0.5)
+    out = {}
+    for kind in ("time", "spec", "hybrid"):
+        ready = models.flatten_windows(table, kind, ["a_v0", "w_v0"])
+        fitted = models.neural_network(models.vector_size(ready), [5], 3, maxIter=15).fit(ready)
+        out[kind] = fitted, models.network_of(fitted), ready
+    return out
+
+
+@pytest.mark.parametrize("kind", ["time", "spec", "hybrid"])
+def test_network_numbers_equal_the_pipeline(networks, kind):
+    from pyspark.ml.functions import vector_to_array
+
+    from tremorgrid.operators.models import network_probabilities
+
+    fitted, network, ready = networks[kind]
+    both = fitted.transform(ready).select(
+        vector_to_array("probability").alias("p"), network_probabilities(network)(vector_to_array("features")).alias("q"))
+    for row in both.collect():
+        assert row.q == pytest.approx(row.p, abs=1e-9)
+
+
+def test_models_on_one_stream_equal_the_batch(spark, packets, networks, tmp_path):
+    """Throttled windows over four micro-batches, three networks and one that cannot take these windows."""
+    values, names = ["v0"], ["a_v0", "w_v0"]
+    used = {kind: (kind, networks[kind][1]) for kind in networks}
+    odd = packets.withColumn("v0", F.when(F.col("seq") == 52, float("nan")).otherwise(F.col("v0")))
+    windows = sw.stream_windows(stream_of(spark, odd, tmp_path / "in", 4), values, size=8, every_seconds=9.0)
+    live = finish(spark, sw.multi_model_inference(windows, {**used, "broken": ("time", networks["spec"][1])}, names, 4), tmp_path)
+    pairs = reindex(joins.pair_carry_forward(odd, values), ["device_id"], "i", F.lit(True), "j")
+    full = votes.throttle(votes.rolling_buffer(pairs, names, 8, index="j"), 9.0, index="j")
+    table = full.select("device_id", "ts", "seq", *[F.col(f"buffer.{n}").alias(n) for n in names])
+    batch = sw.multi_model_inference(table, used, names, 4)
+    read = lambda df: {(r.device_id, r.seq): r.predictions for r in df.collect()}
+    got, want = read(live), read(batch)
+    assert got.keys() == want.keys() and len(got) > 10
+    for key, models in want.items():
+        assert models.keys() == got[key].keys() == set(used)
+        for name, result in models.items():
+            assert got[key][name].label == result.label in ("Good", "Faulty", "Unknown")
+            assert got[key][name].probs == pytest.approx(result.probs, abs=1e-12)
+            assert result.confidence == max(result.probs)
+    assert table.count() > len(want)  # windows with a missing value have no prediction
+
+
+def test_only_changed_totals_are_written(spark, tmp_path):
+    rows = [(d, START + timedelta(seconds=n), n, "gyro") for n in range(40) for d in ((0, 1, 2) if n < 10 else (n % 2,))]
+    df = spark.createDataFrame(rows, "device_id bigint, ts timestamp, seq bigint, type string")
+    counts = sp.stream_packet_counts(stream_of(spark, df, tmp_path / "in", 4))
+    sp.write_changes(counts, str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
+    changes = spark.read.parquet(str(tmp_path / "o"))
+    per_batch = {r["version"]: r["count"] for r in changes.groupBy("version").count().collect()}
+    assert max(per_batch.values()) == 3 and per_batch[max(per_batch)] == 2
+    latest = sp.latest_totals(changes, ["device_id"])
+    want = {d: sum(r[0] == d for r in rows) for d in range(3)}
+    assert {r.device_id: r.raw_packets for r in latest.collect()} == want
+    again = changes.where("version = 1").drop("version").collect()  # a repeated batch replaces its own rows
+    spark.createDataFrame(again, counts.schema).write.mode("overwrite").parquet(str(tmp_path / "o" / "version=1"))
+    assert {r.device_id: r.raw_packets for r in sp.latest_totals(
+        spark.read.parquet(str(tmp_path / "o")), ["device_id"]).collect()} == want

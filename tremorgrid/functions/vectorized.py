@@ -81,23 +81,33 @@ def serving_udf(fs: float):
 
 
 def spectrogram_udf(n_fft: int, overlap: float):
-    """Takes the channel windows as arguments; gives decibels as frequency-major nested arrays."""
+    """Takes the channel windows as arguments; gives decibels as frequency-major nested arrays.
+
+    Windows of one length are transformed together, whatever else their Arrow batch holds. A row with a null or
+    empty channel, or with channels of different lengths, has no spectrogram (null).
+    """
     @F.arrow_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
     def run(*columns: pa.Array) -> pa.Array:
         count = len(columns[0])
-        lengths = columns[0].value_lengths().to_numpy(zero_copy_only=False)
-        stacked = [column.flatten().to_numpy(zero_copy_only=False) for column in columns]
-        if count == 0:
-            return pa.array([], type=pa.list_(pa.list_(pa.float64())))
-        if not (lengths == lengths[0]).all():
-            raise ValueError("windows of one batch must have one length")
-        batch = np.stack([values.reshape(count, -1) for values in stacked], axis=1)
-        db = kernels.spectrogram_db(batch, n_fft, overlap)
-        bins, frames = db.shape[1:]
+        lengths = np.stack([c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in columns])
+        size = np.where((lengths == lengths[0]).all(axis=0), lengths[0], 0)
+        bins, frames = np.zeros(count, dtype=np.int64), np.zeros(count, dtype=np.int64)
+        blocks = []
+        for length in np.unique(size[size > 0]):
+            rows = np.flatnonzero(size == length)
+            at = pa.array(rows)
+            batch = np.stack([c.take(at).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1) for c in columns], axis=1)
+            db = kernels.spectrogram_db(batch, n_fft, overlap)
+            bins[rows], frames[rows] = db.shape[1:]
+            blocks.append((rows, db.reshape(len(rows), -1)))
+        starts = np.concatenate([[0], np.cumsum(bins * frames)])
+        flat = np.empty(starts[-1])
+        for rows, db in blocks:
+            flat[starts[rows][:, None] + np.arange(db.shape[1])] = db
         inner = pa.ListArray.from_arrays(
-            np.arange(0, frames * bins * count + 1, frames, dtype=np.int32), db.ravel()
-        )
-        return pa.ListArray.from_arrays(np.arange(0, bins * count + 1, bins, dtype=np.int32), inner)
+            pa.array(np.concatenate([[0], np.cumsum(np.repeat(frames, bins))]).astype(np.int32)), pa.array(flat))
+        outer = pa.array(np.concatenate([[0], np.cumsum(bins)]).astype(np.int32))
+        return pa.ListArray.from_arrays(outer, inner, mask=pa.array(size == 0))
     return run
 
 

@@ -10,7 +10,10 @@ import random
 import time
 from collections.abc import Callable, Iterable
 from multiprocessing.pool import ThreadPool
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
@@ -21,8 +24,9 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.util import inheritable_thread_target
 
 from tremorgrid.functions.expressions import predicted_class, top_class
@@ -31,6 +35,13 @@ from tremorgrid.operators.features import TOP20
 from tremorgrid.session import cut
 
 
+#: Labelled rows that forests and boosted trees are fitted on, partitions they are gathered in, and memory for the statistics of a level.
+FOREST_ROWS = 4_000
+BOOSTING_ROWS = 4_000
+FIT_PARTITIONS = 4
+LEVEL_MB = 1024
+
+
 def standard_scale(df: DataFrame, columns: list[str]) -> DataFrame:
     """z-scores with the population deviation; a constant column becomes 0."""
     stats = df.agg(*[F.avg(c).alias(f"m{n}") for n, c in enumerate(columns)],
@@ -88,18 +99,41 @@ def scaled_pipeline(columns: list[str], classifier: Estimator) -> Pipeline:
     ])
 
 
+def training_rows(df: DataFrame, columns: list[str], fit_rows: int | None, seed: int = 42) -> DataFrame:
+    """``fit_rows`` rows of ``df`` to fit a model on, all of them where there are no more or without a bound.
+
+    The rows with the smallest hashes of the feature columns are taken, so a rerun fits on the same rows and repeated
+    rows cannot break the bound. They lie in few partitions: an iterative fit over a bounded table costs its rounds
+    of tasks, not its rows.
+    """
+    if fit_rows is None:
+        return df
+    return df.orderBy(F.xxhash64(*columns, F.lit(seed))).limit(fit_rows).repartition(FIT_PARTITIONS)
+
+
 def cross_val_predict(
     df: DataFrame, estimator: Estimator, folds: int, keep: list[str], fold: str = "fold", parallelism: int = 4,
+    columns: list[str] | None = None, fit_rows: int | None = None, stored: bool = False,
+    fit_fold: Callable[[DataFrame, int], Model] | None = None,
 ) -> DataFrame:
     """Out-of-fold prediction of every row: ``keep``, fold, ``y_true``, ``y_pred`` and ``probs`` if known.
 
     One fit per fold on the stored table, up to ``parallelism`` at a time as in ``CrossValidator``;
-    predictions are unioned, never gathered.
+    predictions are unioned, never gathered. With ``fit_rows``, each fit sees at most so many rows, chosen by
+    ``columns``; every row is predicted all the same. A table that the caller has ``stored`` is not written again.
+    ``fit_fold`` fits in place of ``estimator``; it gets the training rows and the fold that they leave out.
     """
-    table = cut(df)
+    table = df if stored else cut(df)
+
+    def fit(held):
+        chosen = training_rows(table.where(F.col(fold) != held), columns or [], fit_rows).persist()
+        try:
+            return fit_fold(chosen, held) if fit_fold else estimator.fit(chosen)
+        finally:
+            chosen.unpersist()
+
     with ThreadPool(min(parallelism, folds)) as pool:
-        fitted = pool.map(inheritable_thread_target(
-            lambda held: estimator.fit(table.where(F.col(fold) != held))), range(folds))
+        fitted = pool.map(inheritable_thread_target(fit), range(folds))
     out = None
     for held, model in enumerate(fitted):
         scored = model.transform(table.where(F.col(fold) == held))
@@ -112,26 +146,45 @@ def cross_val_predict(
 
 def boosted_baseline(
     df: DataFrame, columns: list[str], classes: int, folds: int = 5, trees: int = 300, depth: int = 5,
-    rate: float = 0.05, subsample: float = 0.8, keep: list[str] | None = None,
+    rate: float = 0.05, subsample: float = 0.8, keep: list[str] | None = None, fit_rows: int = BOOSTING_ROWS,
+    patience: int | None = 20,
 ) -> DataFrame:
-    """Out-of-fold predictions of scaled boosted trees; ``df`` carries stratified folds in ``fold``."""
-    booster = gradient_boosting(classes, maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample)
-    return cross_val_predict(df, scaled_pipeline(columns, booster), folds, keep or [])
+    """Out-of-fold predictions of boosted trees; ``df`` carries stratified folds in ``fold``.
+
+    Each fit sees at most ``fit_rows`` rows and ends ``patience`` rounds after its least validation loss, or after
+    ``trees`` rounds. Trees ask only for the order of values, so features need no scaling.
+    """
+    from tremorgrid.operators.boosting import boosted_cross_val
+
+    return boosted_cross_val(df, columns, classes, folds, keep, fit_rows, rounds=trees, depth=depth, rate=rate,
+                             subsample=subsample, patience=patience)
 
 
 def top20_forest(trees: int = 389, depth: int = 30, seed: int = 42) -> RandomForestClassifier:
+    """A deep forest. Each row's node is kept between levels, so a level ships its splits and not the trees, and there
+    is memory for the statistics of a whole level at once."""
     return RandomForestClassifier(
         featuresCol="scaled", labelCol="label_id", numTrees=trees, maxDepth=depth, featureSubsetStrategy="log2",
-        minInstancesPerNode=1, seed=seed)
+        minInstancesPerNode=1, cacheNodeIds=True, maxMemoryInMB=LEVEL_MB, seed=seed)
 
 
 def train_top20_forest(
     df: DataFrame, folds: int = 5, trees: int = 389, depth: int = 30, keep: list[str] | None = None, columns=TOP20,
+    fit_rows: int | None = FOREST_ROWS,
 ) -> tuple[PipelineModel, DataFrame]:
-    """The serving forest fitted on all rows, and its out-of-fold predictions by group fold."""
-    pipeline = scaled_pipeline(list(columns), top20_forest(trees, depth))
-    predictions = cross_val_predict(df, pipeline, folds, keep or [])
-    return pipeline.fit(df), predictions
+    """The serving forest and its out-of-fold predictions by group fold; each fit sees at most ``fit_rows`` rows."""
+    pipeline, table = scaled_pipeline(list(columns), top20_forest(trees, depth)), cut(df)
+    predictions = cross_val_predict(
+        table, pipeline, folds, keep or [], columns=list(columns), fit_rows=fit_rows, stored=True)
+    return fit_bounded(table, pipeline, list(columns), fit_rows), predictions
+
+
+def fit_bounded(df: DataFrame, pipeline: Pipeline, columns: list[str], fit_rows: int | None) -> PipelineModel:
+    chosen = training_rows(df, columns, fit_rows).persist()
+    try:
+        return pipeline.fit(chosen)
+    finally:
+        chosen.unpersist()
 
 
 def top_features(model: PipelineModel, names: Iterable[str], spark: SparkSession, keep: int = 20) -> DataFrame:
@@ -221,10 +274,11 @@ def classifier_kinds(classes: int, inputs: int) -> dict[str, Estimator]:
 def compare_classifiers(df: DataFrame, columns: list[str], classes: int, folds: int, kinds: dict[str, Estimator] | None = None) -> DataFrame:
     """Leaderboard of the model kinds by out-of-fold predictions, with fitting time."""
     kinds = kinds or classifier_kinds(classes, len(columns))
-    everything, times = None, []
+    everything, times, table = None, [], cut(df)  # one table for all kinds
     for name, classifier in kinds.items():
         begun = time.perf_counter()
-        part = cut(cross_val_predict(df, scaled_pipeline(columns, classifier), folds, []).withColumn("model", F.lit(name)))
+        scored = cross_val_predict(table, scaled_pipeline(columns, classifier), folds, [], stored=True)
+        part = cut(scored.withColumn("model", F.lit(name)))
         times.append((name, round(time.perf_counter() - begun, 3)))
         everything = part if everything is None else everything.unionByName(part)
     board = metrics.cv_leaderboard(everything, classes, "probs")
@@ -286,15 +340,114 @@ def neural_network(inputs: int, hidden: list[int], classes: int, seed: int = 42,
     ])
 
 
+class Network(NamedTuple):
+    """A fitted network as plain numbers: input means and deviations, and per layer a weight matrix with bias row."""
+
+    mean: list[float]
+    deviation: list[float]
+    layers: list[list[list[float]]]
+
+
+def network_of(model: PipelineModel) -> Network:
+    """The numbers of a pipeline fitted by ``neural_network``: a scaler and a perceptron."""
+    scaler, perceptron = model.stages[-2:]
+    flat, sizes, at, layers = perceptron.weights.toArray(), perceptron.getOrDefault("layers"), 0, []
+    for size, out in zip(sizes, sizes[1:]):
+        weights = flat[at:at + size * out].reshape(out, size, order="F").T  # Spark stores them column by column
+        at += size * out
+        layers.append([*weights.tolist(), flat[at:at + out].tolist()])
+        at += out
+    return Network(scaler.mean.toArray().tolist(), scaler.std.toArray().tolist(), layers)
+
+
+def network_probabilities(network: Network) -> Callable[[Column], Column]:
+    """Class probabilities of an input array; null where the network cannot take it.
+
+    Sigmoid hidden layers and a softmax at the end, as Spark's perceptron has them. The numbers of the network travel
+    with the function, so a model can be applied to a stream without a transformer's column names in its way.
+    """
+    mean, deviation = np.array(network.mean), np.array(network.deviation)
+    scale = np.divide(1.0, deviation, out=np.zeros_like(deviation), where=deviation > 0)
+    layers = [np.array(layer) for layer in network.layers]
+    size, classes = len(mean), layers[-1].shape[1]
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(column: pa.Array) -> pa.Array:
+        lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        rows = np.flatnonzero(lengths == size)
+        taken = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        values = taken.astype(np.float64).reshape(len(rows), size)
+        usable = np.isfinite(values).all(axis=1)
+        rows, values = rows[usable], (values[usable] - mean) * scale
+        for n, layer in enumerate(layers):
+            values = values @ layer[:-1] + layer[-1]
+            if n < len(layers) - 1:
+                values = 1.0 / (1.0 + np.exp(-values))
+        values = np.exp(values - values.max(axis=1, keepdims=True)) if len(values) else values
+        values = values / values.sum(axis=1, keepdims=True)
+        there = np.zeros(len(column), dtype=bool)
+        there[rows] = True
+        ends = np.concatenate([[0], np.cumsum(there * classes)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.ravel()), mask=pa.array(~there))
+
+    return run
+
+
+def fit_with_patience(
+    train: DataFrame, valid: DataFrame, hidden: list[int], classes: int, max_iter: int = 60, step: int = 10,
+    patience: int = 2, seed: int = 42, **params,
+) -> tuple[PipelineModel, list[float]]:
+    """A network fitted in short runs of ``step`` iterations, each continued from the weights of the one before it.
+
+    After each run the log loss on ``valid`` (rows of other groups) is taken; after ``patience`` runs without a better
+    one, or ``max_iter`` iterations, the weights with the least loss are returned, and the losses of all runs.
+    """
+    scaler = StandardScaler(inputCol="features", outputCol="scaled", withMean=True, withStd=True).fit(train)
+    ready, held = scaler.transform(train).persist(), scaler.transform(valid).persist()
+    measure = MulticlassClassificationEvaluator(labelCol="label_id", probabilityCol="probability", metricName="logLoss")
+    layers, weights, best, losses = [vector_size(train), *hidden, classes], None, None, []
+    try:
+        for done in range(0, max_iter, step):
+            network = MultilayerPerceptronClassifier(
+                layers=layers, featuresCol="scaled", labelCol="label_id", seed=seed,
+                **{"maxIter": min(step, max_iter - done), "tol": 1e-5, **params})
+            if weights is not None:
+                network.setInitialWeights(weights)
+            fitted = network.fit(ready)
+            weights = fitted.weights
+            losses.append(float(measure.evaluate(fitted.transform(held))))
+            if best is None or losses[-1] < min(losses[:-1]):
+                best = fitted
+            if len(losses) - 1 - losses.index(min(losses)) >= patience:
+                break
+    finally:
+        ready.unpersist()
+        held.unpersist()
+    return PipelineModel(stages=[scaler, best]), losses
+
+
 def vector_size(df: DataFrame, column: str = "features") -> int:
     return df.select(F.size(vector_to_array(column))).first()[0]
 
 
-def neural_cv(df: DataFrame, kind: str, classes: int, folds: int, hidden: list[int], channels=None, keep=None, **params) -> DataFrame:
-    """Out-of-fold predictions of a network on one kind of input, with group folds in ``fold``."""
-    ready = flatten_windows(df, kind, channels)
-    network = neural_network(vector_size(ready), hidden, classes, **params)
-    return cross_val_predict(ready, network, folds, keep or []).withColumn("model", F.lit(f"neural_{kind}"))
+def neural_cv(
+    df: DataFrame, kind: str, classes: int, folds: int, hidden: list[int], channels=None, keep=None,
+    max_iter: int = 60, patience: int | None = 2, **params,
+) -> DataFrame:
+    """Out-of-fold predictions of a network on one kind of input, with group folds in ``fold``.
+
+    With ``patience``, the fold after the one left out is held back from the fit and ends it early
+    (``fit_with_patience``), so the predicted rows decide nothing.
+    """
+    ready = cut(flatten_windows(df, kind, channels))
+    network = neural_network(vector_size(ready), hidden, classes, maxIter=max_iter, **params)
+
+    def early(train: DataFrame, held: int) -> Model:
+        judge = F.col("fold") == (held + 1) % folds
+        return fit_with_patience(train.where(~judge), train.where(judge), hidden, classes, max_iter, patience=patience, **params)[0]
+
+    scored = cross_val_predict(ready, network, folds, keep or [], stored=True, fit_fold=early if patience else None)
+    return scored.withColumn("model", F.lit(f"neural_{kind}"))
 
 
 # Search ranges of the network.
@@ -313,7 +466,7 @@ def tune_neural(
     for number, draw in enumerate(sample_params(NETWORK_SPACE, trials, seed)):
         hidden = [width for width in (draw["first"], draw["second"]) if width]
         network = neural_network(inputs, hidden, classes, stepSize=draw["stepSize"], maxIter=max_iter)
-        scored = cross_val_predict(ready, network, folds, []).withColumn("model", F.lit(kind))
+        scored = cross_val_predict(ready, network, folds, [], stored=True).withColumn("model", F.lit(kind))
         accuracy = metrics.fold_summary(metrics.fold_metrics(scored, None)).first()["accuracy"]
         study.append((number, json.dumps(draw), float(accuracy)))
     best = max(study, key=lambda row: (row[2], -row[0]))

@@ -20,9 +20,9 @@ from pyspark.sql import functions as F
 from tremorgrid.session import cut
 
 CHUNK_ROWS = 1 << 18
-#: Parts that the values of a key are cut into to narrow its median, and distinct values that one task ranks.
-MEDIAN_SLOTS = 64
-RANKED_ROWS = 1 << 20
+#: Bits of a value that one pass of the median decides.
+MEDIAN_BITS = 16
+_ALL_BUT_SIGN = (1 << 63) - 1
 
 
 def key_of(keys: list[str]) -> Column:
@@ -197,44 +197,58 @@ def median_of_sorted(array: Column | str) -> Column:
     return F.when(n > 0, (F.get(array, low) + F.get(array, high)) / 2)
 
 
+def ordered_bits(value: Column) -> Column:
+    """A double as a 64-bit integer that sorts like it: the sign bit is flipped, or all other bits if it is set."""
+    bits = F.call_function("reflect", F.lit("java.lang.Double"), F.lit("doubleToLongBits"), value).cast("bigint")
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit(_ALL_BUT_SIGN))).otherwise(bits)
+
+
 def exact_median(
-    df: DataFrame, keys: list[str], value: str, name: str = "median", slots: int = MEDIAN_SLOTS,
-    ranked: int = RANKED_ROWS,
+    df: DataFrame, keys: list[str], value: str, name: str = "median", width: int = MEDIAN_BITS,
 ) -> DataFrame:
     """Exact median of the non-null values of each key, as one row per key.
 
-    A mergeable quantile sketch cuts the values of each key into ``slots`` parts of about equal size; the
-    counts of the parts show which ones hold the two middle ranks, and only the distinct values in these
-    go on, with their counts. That is repeated until no key has more than ``ranked`` of them, which are
-    then ranked. Counts are combined on the map side, so no row of a hot key is shuffled. Order alone
-    decides, so infinities and outliers narrow like anything else, and the sketch's error costs only
-    narrowing, never exactness.
+    A radix selection: values become order-preserving 64-bit integers, and each pass counts the values that share
+    what is known of a middle one by their next ``width`` bits, for all keys at once. The counts show which slot
+    holds each of the two middle ranks; after 64 bits the values are known. The number of passes does not depend on
+    the data, each is a map-side aggregation to at most 2^width counts for a key and rank, and no row is shuffled.
     """
-    left = df.select(key_of(keys).alias("_key"), F.col(value).cast("double").alias("_x")).where(
-        "_x is not null and not isnan(_x)").withColumn("_c", F.lit(1).cast("bigint"))
-    state = cut(left.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).withColumn("_below", F.lit(0).cast("bigint")))
-    edges = F.lit([n / slots for n in range(1, slots)])
-    while True:
-        grid = cut(left.groupBy("_key").agg(F.percentile_approx("_x", edges, 32 * slots).alias("_q")))
-        slot = F.size(F.filter("_q", lambda e: e < F.col("_x")))
-        slotted = left.join(grid, "_key").select("_key", "_x", "_c", slot.alias("_slot"))
-        upto = Window.partitionBy("_key").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
-        counted = slotted.groupBy("_key", "_slot").agg(F.sum("_c").alias("_c")).join(state, "_key").withColumn(
-            "_end", F.sum("_c").over(upto) + F.col("_below"))
-        state = cut(_holding_middle(counted).groupBy("_key").agg(
-            F.first("_n").alias("_n"), F.min(F.col("_end") - F.col("_c")).alias("_below"),
-            F.min("_slot").alias("_first"), F.max("_slot").alias("_last")))
-        near = slotted.join(state.select("_key", "_first", "_last"), "_key").where("_slot between _first and _last")
-        left = cut(near.groupBy("_key", "_x").agg(F.sum("_c").alias("_c")))
-        state = state.select("_key", "_n", "_below")
-        if (left.groupBy("_key").count().agg(F.max("count")).first()[0] or 0) <= ranked:
-            break
-    upto = Window.partitionBy("_key").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    ended = left.join(state, "_key").withColumn("_end", F.sum("_c").over(upto) + F.col("_below"))
-    middle = _holding_middle(ended).groupBy("_key").agg(F.avg("_x").alias(name))
+    x = F.when(F.col(value).cast("double") == 0, F.lit(0.0)).otherwise(F.col(value).cast("double"))  # -0.0 equals 0.0
+    rows = df.select(key_of(keys).alias("_key"), x.alias("_x")).where("_x is not null and not isnan(_x)").select(
+        "_key", "_x", ordered_bits(F.col("_x")).alias("_bits"))
+    state, known = None, 0
+    while known < 64:
+        step = min(width, 64 - known)
+        after = 64 - known - step
+        slot = F.shiftright("_bits", after)  # the known bits and the next ones
+        if state is None:
+            near = rows.select("_key", "_x", slot.alias("_slot"))
+        else:
+            met = state.select(F.col("_key").alias("_r_key"), F.col("_slot").alias("_r_slot")).distinct()
+            near = rows.join(met, (F.col("_key") == F.col("_r_key")) & (
+                F.shiftright("_bits", 64 - known) == F.col("_r_slot"))).select("_key", "_x", slot.alias("_slot"))
+        counted = near.groupBy("_key", "_slot").agg(F.count(F.lit(1)).alias("_c"), F.max("_x").alias("_x"))
+        state = cut(_next_slots(counted, state, step))
+        known += step
+    low, high = F.min("_x"), F.max("_x")
+    middle = state.groupBy("_key").agg(F.when(low == high, low).otherwise((low + high) / 2).alias(name))
     return middle.select(*[F.col(f"_key.{key}").alias(key) for key in keys], name)
 
 
-def _holding_middle(counted: DataFrame) -> DataFrame:
-    """The rows whose ranks [_end - _c, _end) take in one of the two middle ranks of ``_n``."""
-    return counted.where("(_n - 1) div 2 between _end - _c and _end - 1 or _n div 2 between _end - _c and _end - 1")
+def _next_slots(counted: DataFrame, state: DataFrame | None, step: int) -> DataFrame:
+    """For each key and middle rank (0 lower, 1 upper): the slot that holds it, its place there and a value of it."""
+    columns = ["_key", "_side", "_slot", "_place", "_x"]
+    if state is None:
+        every = Window.partitionBy("_key")
+        upto = every.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+        ended = counted.withColumn("_end", F.sum("_c").over(upto)).withColumn("_n", F.sum("_c").over(every))
+        sides = F.explode(F.array(*[F.struct(F.lit(n).alias("_side"), F.expr(rank).alias("_rank"))
+                                    for n, rank in enumerate(("(_n - 1) div 2", "_n div 2"))]))
+        placed = ended.select("*", sides.alias("_s")).select("*", "_s._side", "_s._rank")
+    else:
+        held = state.select("_key", "_side", F.col("_slot").alias("_before"), F.col("_place").alias("_rank"))
+        upto = Window.partitionBy("_key", "_side").orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counted.withColumn("_before", F.shiftright("_slot", step)).join(held, ["_key", "_before"]).withColumn(
+            "_end", F.sum("_c").over(upto))
+    inside = placed.where("_rank >= _end - _c and _rank < _end")
+    return inside.withColumn("_place", F.col("_rank") - (F.col("_end") - F.col("_c"))).select(*columns)

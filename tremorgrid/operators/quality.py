@@ -32,20 +32,21 @@ def sample_deltas(df: DataFrame) -> DataFrame:
 
 
 def sampling_metrics(df: DataFrame, strict: bool = True) -> DataFrame:
-    """Rate statistics of each recording. A recording without a positive step is an error if strict."""
+    """Rate statistics of each recording. One without a readable time or a positive step is an error if strict."""
     steps = cut(sample_deltas(df).withColumn("fs", 1.0 / F.col("dt")))
     spread = steps.groupBy("file").agg(
         F.avg("dt").alias("dt_mean"), F.stddev_pop("dt").alias("dt_std"),
         F.avg("fs").alias("fs_mean"), F.stddev_pop("fs").alias("fs_std"),
     )
     extent = df.groupBy("file").agg(
-        F.count(F.lit(1)).alias("samples"),
+        F.count(F.lit(1)).alias("samples"), F.count("ts").alias("_times"),
         seconds_between(F.max_by("ts", "i"), F.min_by("ts", "i")).alias("duration_seconds"),
     )
     joined = null_safe_join(null_safe_join(extent, spread, ["file"], "left"),
                             exact_median(steps, ["file"], "fs", "fs_median"), ["file"], "left")
     if strict:
-        failure = F.raise_error(F.concat(F.lit("no positive sampling step in "), F.col("file").cast("string")))
+        problem = F.when(F.col("_times") == 0, "no readable time in ").otherwise("no positive sampling step in ")
+        failure = F.raise_error(F.concat(problem, F.coalesce(F.col("file").cast("string"), F.lit("null"))))
         joined = joined.withColumn(
             "dt_mean", F.when(F.col("dt_mean").isNull(), failure.cast("double")).otherwise(F.col("dt_mean"))
         )

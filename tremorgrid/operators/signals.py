@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorgrid.functions import kernels
-from tremorgrid.operators.ordered import dense_index, spread, with_halo
+from tremorgrid.operators.ordered import dense_index, null_safe_join, spread, with_halo
 from tremorgrid.operators.quality import seconds_between
 from tremorgrid.session import cut
 
@@ -31,11 +31,10 @@ def dedupe_samples(long: DataFrame) -> DataFrame:
 def _extent(valid: DataFrame, start: DataFrame) -> DataFrame:
     """Per channel: the last time in seconds, failing where there are fewer than 4 distinct times."""
     enough = F.count(F.lit(1)) >= 4
-    message = F.concat(F.lit("not enough samples to interpolate in "), F.col("file").cast("string"))
+    message = F.concat(F.lit("not enough samples to interpolate in "), F.coalesce(F.col("file").cast("string"), F.lit("null")))
+    ends = valid.groupBy("file", "channel").agg(F.max("ts").alias("_end"), enough.alias("_enough"))
     return cut(
-        valid.groupBy("file", "channel")
-        .agg(F.max("ts").alias("_end"), enough.alias("_enough"))
-        .join(start, "file")
+        null_safe_join(ends, start, ["file"])
         .select("file", "channel", "_start",
                 F.when(F.col("_enough"), seconds_between(F.col("_end"), F.col("_start")))
                 .otherwise(F.raise_error(message).cast("double")).alias("_seconds"))
@@ -79,7 +78,8 @@ def resample_cubic(long: DataFrame, fs: float, rows: int = PIECE_ROWS) -> DataFr
     keys = ["file", "channel"]
     valid = cut(dedupe_samples(long).select(*keys, "ts", "x"))
     extent = _extent(valid, start)
-    timed = dense_index(valid, keys, ["ts"], "_n").join(extent, keys).withColumn("_t", seconds_between(F.col("ts"), F.col("_start")))
+    numbered = dense_index(valid, keys, ["ts"], "_n")
+    timed = null_safe_join(numbered, extent, keys).withColumn("_t", seconds_between(F.col("ts"), F.col("_start")))
     pieces = with_halo(timed, "_n", before=SPLINE_HALO, after=SPLINE_HALO, rows=rows)
     pieces = pieces.withColumn("_size", grid_size(F.col("_seconds"), fs))
     types = {field.name: field.dataType.simpleString() for field in long.schema.fields}
@@ -106,7 +106,7 @@ def resample_cubic(long: DataFrame, fs: float, rows: int = PIECE_ROWS) -> DataFr
         interpolate, f"file {types['file']}, channel string, k bigint, x double"
     )
     micros = F.unix_micros("_start") + F.round(F.col("k") * F.lit(1e6 / fs)).cast("bigint")
-    return spline.join(start, "file").select("file", "channel", "k", F.timestamp_micros(micros).alias("ts"), "x")
+    return null_safe_join(spline, start, ["file"]).select("file", "channel", "k", F.timestamp_micros(micros).alias("ts"), "x")
 
 
 def _grid_from(seconds: float, fs: float) -> int:

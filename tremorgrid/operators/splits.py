@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorgrid.operators.ordered import dense_index
+from tremorgrid.operators.ordered import dense_index, null_safe_join
 from tremorgrid.session import cut
 
 
@@ -60,7 +60,7 @@ def group_kfold(df: DataFrame, folds: int = 5, group: str = "file") -> DataFrame
         _quotas(folds), "n bigint, _bounds array<bigint>"))
     ranked = dense_index(sizes, ["n"], [group], "_rank").join(quotas, "n")
     assigned = cut(ranked.select(group, F.expr("size(filter(_bounds, b -> b <= _rank))").alias("fold")))
-    return df.join(assigned, group)
+    return null_safe_join(df, assigned, [group])
 
 
 def group_holdout(df: DataFrame, fraction: float, seed: int = 42, group: str = "file") -> DataFrame:
@@ -68,7 +68,7 @@ def group_holdout(df: DataFrame, fraction: float, seed: int = 42, group: str = "
     groups = cut(df.select(group).distinct().withColumn("_hash", hashed([group], seed)))
     held = math.ceil(fraction * groups.count())
     ranked = cut(dense_index(groups, [], ["_hash", group], "_rank"))
-    return df.join(ranked.select(group, (F.col("_rank") < held).alias("holdout")), group)
+    return null_safe_join(df, ranked.select(group, (F.col("_rank") < held).alias("holdout")), [group])
 
 
 def stratified_kfold(df: DataFrame, folds: int, label: str, row_id: list[str], seed: int = 42) -> DataFrame:

@@ -290,7 +290,7 @@ def top20_table(spark, sf_dir):
 def top20_model(spark, sf_dir):
     def build():
         pipeline = models.scaled_pipeline(list(features.TOP20), models.top20_forest())
-        return pipeline.fit(top20_table(spark, sf_dir))
+        return models.fit_bounded(top20_table(spark, sf_dir), pipeline, list(features.TOP20), models.FOREST_ROWS)
     return fx.stored(spark, sf_dir, "top20_model", build)
 
 

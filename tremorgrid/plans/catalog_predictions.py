@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tremorgrid.functions import expressions as ex
 from tremorgrid.operators import features, joins, metrics, votes
 from tremorgrid.operators.frames import frame_chunks
-from tremorgrid.operators.ordered import reindex
+from tremorgrid.operators.ordered import previous, reindex
 from tremorgrid.plans import fixtures as fx
 from tremorgrid.plans import reports
 from tremorgrid.plans.registry import query
@@ -119,9 +119,26 @@ def frame_chunks_query(spark, sf_dir):
     chunks = whole.select("device_id", F.explode(F.array(
         F.struct((F.col("i") * 2).alias("seq"), F.substring("_run", 1, 4).alias("chunk")),
         F.struct((F.col("i") * 2 + 1).alias("seq"), F.expr("substring(_run, 5)").alias("chunk")))).alias("_c"))
-    framed = frame_chunks(chunks.select("device_id", "_c.seq", "_c.chunk"))
-    out = ex.decode_frames(framed)
-    return _decoded(out).select("device_id", "frame_no", "offset", "type", "x", "y", "z")
+    return decoded_frames(frame_chunks(chunks.select("device_id", "_c.seq", "_c.chunk")))
+
+
+def decoded_frames(framed):
+    return _decoded(ex.decode_frames(framed)).select("device_id", "frame_no", "offset", "type", "x", "y", "z")
+
+
+SQL_STREAM_FRAMES = f"""WITH {SQL_FRAMES},
+placed AS (SELECT device_id, i AS frame_no, seq, sum(11 + seq % 3) OVER (PARTITION BY device_id ORDER BY i) - 11 AS "offset",
+                  max(i) OVER (PARTITION BY device_id) AS last FROM frames)
+SELECT p.device_id, p.frame_no, CAST(p."offset" AS BIGINT) AS "offset", type, x, y, z FROM placed p JOIN decoded d USING (device_id, seq)
+WHERE p.frame_no < last"""
+
+
+def shifted_chunks(spark, sf_dir):
+    """One chunk per event: the end of the frame before, up to two stray bytes, and the first four of this one."""
+    junk = F.unhex(F.repeat(F.lit("AA"), (F.col("seq") % 3).cast("int")))
+    head = F.concat(junk, F.substring("frame", 1, 4))
+    placed = previous(_frames(spark, sf_dir), ["device_id"], "i", {"_before": F.expr("substring(frame, 5)")})
+    return placed.select("device_id", "ts", "seq", F.concat(F.coalesce("_before", F.unhex(F.lit(""))), head).alias("chunk"))
 
 
 @query("exp7_filter_packets", f"WITH {fx.SQL_PACKETS} SELECT device_id, seq, type FROM packets WHERE type IN ('accel', 'gyro')")
@@ -403,14 +420,15 @@ def running_fault_rate(spark, sf_dir):
 
 # Reports.
 
-@query("agg1_report_summary", f"""WITH {fx.SQL_DL}, {fx.SQL_ML},
-l AS (SELECT count(*) AS total_predictions, CAST(count(*) FILTER (faults > 1.5) AS BIGINT) AS fault_count,
+SQL_SUMMARY = """l AS (SELECT count(*) AS total_predictions, CAST(count(*) FILTER (faults > 1.5) AS BIGINT) AS fault_count,
     round(count(*) FILTER (faults > 1.5) / count(*) * 100, 2) AS fault_rate, count(*) FILTER (faults <= 1.5) AS good_count,
     round(count(*) FILTER (cnn1d_label IS NOT DISTINCT FROM lstm_label AND lstm_label IS NOT DISTINCT FROM cnn2d_label) / count(*) * 100, 2) AS agreement_rate,
     round(avg(cnn1d_confidence), 3) AS cnn1d_avg_confidence, round(avg(lstm_confidence), 3) AS lstm_avg_confidence,
     round(avg(cnn2d_confidence), 3) AS cnn2d_avg_confidence FROM votes),
-r AS (SELECT count(*) AS ml_total_predictions, round(avg(confidence), 3) AS ml_avg_confidence, round(avg(total_time_ms), 2) AS ml_avg_time_ms FROM ml)
-SELECT * FROM l, r""")
+r AS (SELECT count(*) AS ml_total_predictions, round(avg(confidence), 3) AS ml_avg_confidence, round(avg(total_time_ms), 2) AS ml_avg_time_ms FROM ml)"""
+
+
+@query("agg1_report_summary", f"WITH {fx.SQL_DL}, {fx.SQL_ML}, {SQL_SUMMARY} SELECT * FROM l, r")
 def report_summary(spark, sf_dir):
     return reports.report_summary(fx.dl_log(spark, sf_dir), fx.ml(spark, sf_dir))
 
@@ -426,15 +444,39 @@ def recent_faults(spark, sf_dir):
     return out.select(us(), "seq", "cnn1d_label", "lstm_label", "cnn2d_label", "ml_label")
 
 
-@query("exp14_report_text", f"""WITH {SQL_FAULTS},
+SQL_FAULT_TEXTS = f"""{SQL_FAULTS},
 lines AS (SELECT row_number() OVER (ORDER BY ts DESC, seq DESC) AS r, * FROM recent),
 texts AS (SELECT r, concat(chr(10), '**', r, '. ', strftime(ts, '%Y-%m-%d %H:%M:%S'), '**', chr(10), '  - CNN1D: ', cnn1d_label, chr(10),
     '  - LSTM: ', coalesce(lstm_label, 'None'), chr(10), '  - CNN2D: ', cnn2d_label, chr(10),
-    CASE WHEN ml_label = 'N/A' THEN '' ELSE concat('  - ML (RF-20): ', ml_label, chr(10)) END) AS t FROM lines)
-SELECT string_agg(t, '' ORDER BY r) AS faults FROM texts""")
+    CASE WHEN ml_label = 'N/A' THEN '' ELSE concat('  - ML (RF-20): ', ml_label, chr(10)) END) AS t FROM lines)"""
+
+
+@query("exp14_report_text", f"WITH {SQL_FAULT_TEXTS} SELECT string_agg(t, '' ORDER BY r) AS faults FROM texts")
 def report_text(spark, sf_dir):
     dl, ml = fx.dl_log(spark, sf_dir), fx.ml_repeated(spark, sf_dir)
     text = reports.report_text(reports.report_summary(dl, ml), reports.recent_faults(dl, ml), "start", "end", 24)
-    return text.select(F.substring_index("value", "## Recent Fault Detections\n\n", -1).alias("faults"))
+    listed = F.substring_index(F.substring_index("value", "## Recent Fault Detections\n\n", -1), reports.FOOTER, 1)
+    return text.select(listed.alias("faults"))
+
+
+@query("exp14_report_whole", f"""WITH {SQL_FAULT_TEXTS}, {SQL_SUMMARY}
+SELECT concat('# Condition Report', chr(10), chr(10), '**Report Period**: start to end', chr(10), '**Duration**: 24 hours', chr(10), chr(10),
+  '---', chr(10), chr(10), '## Summary Statistics', chr(10), chr(10), '- **Total Predictions**: ', total_predictions, chr(10),
+  '- **Fault Detections**: ', fault_count, ' (', fault_rate, '%)', chr(10),
+  '- **Good Detections**: ', good_count, printf(' (%.2f%%)', 100 - fault_rate), chr(10),
+  '- **Model Agreement Rate**: ', agreement_rate, '%', chr(10), chr(10), '---', chr(10), chr(10),
+  '## Model Performance', chr(10), chr(10), '### Deep Learning Models', chr(10), '| Model | Avg Confidence |', chr(10),
+  '|-------|----------------|', chr(10), printf('| CNN1D | %.1f%% |', cnn1d_avg_confidence * 100), chr(10),
+  printf('| LSTM  | %.1f%% |', lstm_avg_confidence * 100), chr(10), printf('| CNN2D | %.1f%% |', cnn2d_avg_confidence * 100), chr(10), chr(10),
+  '### Machine Learning Model (RF-20)', chr(10), '- **Total Predictions**: ', ml_total_predictions, chr(10),
+  printf('- **Avg Confidence**: %.1f%%', ml_avg_confidence * 100), chr(10), printf('- **Avg Inference Time**: %.2fms', ml_avg_time_ms),
+  chr(10), chr(10), '---', chr(10), chr(10), '## Recent Fault Detections', chr(10), chr(10),
+  (SELECT string_agg(t, '' ORDER BY r) FROM texts), chr(10), '---', chr(10), chr(10), '*Generated by tremorgrid*') AS report FROM l, r""")
+def report_whole(spark, sf_dir):
+    """The whole rendered report."""
+    dl = fx.dl_log(spark, sf_dir)
+    faults = reports.recent_faults(dl, fx.ml_repeated(spark, sf_dir))
+    summary = reports.report_summary(dl, fx.ml(spark, sf_dir))
+    return reports.report_text(summary, faults, "start", "end", 24).select(F.col("value").alias("report"))
 
 

@@ -10,8 +10,10 @@ from tremorgrid.operators import features, metrics, models, quality, signals
 from tremorgrid.plans import catalog_models, catalog_predictions, catalog_quality, catalog_signals
 from tremorgrid.plans import fixtures as fx
 from tremorgrid.plans.registry import query
+from tremorgrid.session import cut
 from tremorgrid.settings import CHANNELS, TIMESTAMP_COLUMN
 from tremorgrid.sources import logs, recordings
+from tremorgrid.streaming import frames
 from tremorgrid.streaming import predictions as sp
 from tremorgrid.streaming import windows as sw
 
@@ -52,20 +54,11 @@ def finish(spark, stream):
 
 
 def totals(spark, stream):
-    """Run an aggregating stream over everything available and return its final table.
-
-    Each micro-batch writes the totals so far as a table of its own, so a repeated batch replaces itself.
-    """
-    path, written = fx.scratch(spark), []
-
-    def write(batch, number):
-        batch.write.mode("overwrite").parquet(f"{path}/{number}")
-        written.append(number)
-
-    run = stream.writeStream.foreachBatch(write).outputMode("complete").option(
-        "checkpointLocation", fx.scratch(spark)).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/{max(written)}")
+    """Run an aggregating stream over everything available, writing changes only, and return its final table."""
+    path = fx.scratch(spark)
+    sp.write_changes(stream, path, fx.scratch(spark)).awaitTermination()
+    changes = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("version", T.LongType())])).parquet(path)
+    return sp.latest_totals(changes, ["device_id"])
 
 
 # Sources and sinks.
@@ -194,9 +187,9 @@ def rejected_messages(spark, sf_dir):
 
 @query("src10_write_prediction_stream", f"WITH {fx.SQL_ML} SELECT us, label, round(confidence, 6) AS confidence FROM ml")
 def write_prediction_stream(spark, sf_dir):
-    table = fx.ml(spark, sf_dir).select(F.date_format("ts", MESSAGE_TIME).alias("timestamp"), "label", "confidence")
-    path = fx.scratch(spark)
-    logs.write_prediction_stream(as_stream(spark, table), table.columns, path, fx.scratch(spark)).awaitTermination()
+    columns, path = ["timestamp", "label", "confidence"], fx.scratch(spark)
+    stream = as_stream(spark, fx.ml(spark, sf_dir)).withColumn("timestamp", F.date_format("ts", MESSAGE_TIME))
+    logs.write_prediction_stream(stream, columns, path, fx.scratch(spark)).awaitTermination()
     back = logs.parse_messages(spark.read.text(path), logs.ML_SCHEMA)
     return back.select(F.unix_micros("ts").alias("us"), "label", F.round("confidence", 6).alias("confidence"))
 
@@ -403,3 +396,62 @@ def stream_recent(spark, sf_dir):
     stream = ex.filter_packets(packet_stream(spark, sf_dir), ("accel",))
     recent = finish(spark, sp.stream_recent(stream, ["v0"], 10))
     return sp.latest_version(recent).select("device_id", "seq", "v0", "recency")
+
+
+# Several models on one stream, and frames of byte streams.
+
+def batch_windows(spark, sf_dir):
+    """Every window by the batch operators: pairs, then rolling buffers turned into one array per channel."""
+    names = [f"{side}_{v}" for side in "aw" for v in VALUES]
+    rolled = catalog_predictions.rolling_pairs(spark, sf_dir)
+    return rolled.select("device_id", "ts", "seq", *[
+        F.col(f"buffer.{n}").alias(n) for n in names])
+
+
+def networks(spark, sf_dir, size: int = 16):
+    """Three networks by the names of the stream's models, fitted on the windows of the first devices' days."""
+    def build():
+        names = [f"{side}_{v}" for side in "aw" for v in VALUES]
+        windows = finish(spark, sw.stream_windows(packet_stream(spark, sf_dir), VALUES, every_seconds=86_400))
+        labelled = cut(signals.stft_spectrogram(
+            windows.withColumn("label_id", (F.col("device_id") % 2).cast("int")), names, size, 0.5))
+        out = {}
+        for name, kind in (("cnn1d", "time"), ("lstm", "hybrid"), ("cnn2d", "spec")):
+            ready = models.flatten_windows(labelled, kind, names)
+            fitted = models.neural_network(models.vector_size(ready), [8], 2, maxIter=20).fit(ready)
+            out[name] = kind, models.network_of(fitted)
+        return out
+    return fx.stored(spark, sf_dir, "stream_networks", build)
+
+
+@query("str2_stream_models", f"""WITH RECURSIVE {SQL_STREAM_WINDOWS}, candidates AS (SELECT device_id, us FROM rolled WHERE j >= 19),
+{catalog_predictions._greedy_sql(catalog_predictions.THROTTLE_SECONDS * 1_000_000 + 1)}
+SELECT device_id, us, model, TRUE AS same, round(a, 6) AS a, round(w, 6) AS w
+FROM taken JOIN rolled USING (device_id, us), (VALUES ('cnn1d'), ('lstm'), ('cnn2d')) m(model)""")
+def stream_models(spark, sf_dir):
+    """Every throttled window's prediction by each of three networks is what the same network gives its window in a
+    table; a fourth one, fitted for longer windows, fails for every window and is in no map."""
+    fitted = networks(spark, sf_dir)
+    broken = {"long": ("time", fitted["cnn2d"][1])}
+    names = [f"{side}_{v}" for side in "aw" for v in VALUES]
+    windows = sw.stream_windows(packet_stream(spark, sf_dir), VALUES, every_seconds=catalog_predictions.THROTTLE_SECONDS)
+    live = finish(spark, sw.multi_model_inference(windows, {**fitted, **broken}, names, 16))
+    batch = sw.multi_model_inference(batch_windows(spark, sf_dir), fitted, names, 16)
+    near = F.aggregate(F.zip_with("a.value.probs", "b.value.probs", lambda p, q: F.abs(p - q)), F.lit(0.0),
+                       lambda s, d: F.greatest(s, d)) < 1e-9
+    long = lambda df, alias: df.select("device_id", "ts", "a_v0", "w_v2", F.explode("predictions").alias(
+        "model", "value")).alias(alias)
+    joined = long(live, "a").join(long(batch, "b"), ["device_id", "ts", "model"], "left")
+    total = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda s, v: s + v), 6)
+    return joined.select("device_id", F.unix_micros("ts").alias("us"), "model", F.coalesce(
+        (F.col("a.value.label") == F.col("b.value.label")) & near, F.lit(False)).alias("same"),
+        total("b.a_v0").alias("a"), total("b.w_v2").alias("w"))
+
+
+@query("exp6_stream_frames", catalog_predictions.SQL_STREAM_FRAMES)
+def stream_frames(spark, sf_dir):
+    """Chunks that end four bytes into a frame, so that every frame is finished by the chunk of the next event and, at
+    the borders of the four micro-batches, by another batch; the last frame of a device stays unfinished."""
+    chunks = catalog_predictions.shifted_chunks(spark, sf_dir)
+    framed = finish(spark, frames.stream_frames(as_stream(spark, chunks)))
+    return catalog_predictions.decoded_frames(framed)

@@ -9,6 +9,7 @@ from tremorgrid.functions.expressions import encode_label
 from tremorgrid.operators import quality
 from tremorgrid.operators.features import clean_features, describe_windows
 from tremorgrid.operators.joins import group_ids
+from tremorgrid.operators.ordered import null_safe_join
 from tremorgrid.operators.signals import (
     bandpass_filter, resample_recordings, stft_spectrogram, window_signal,
 )
@@ -45,7 +46,7 @@ def window_features(recordings: DataFrame, config: SignalConfig, channels=CHANNE
     features = describe_windows(
         windows.drop("window_offset"), config.target_sampling_rate_hz, channels, config.stft_window_size,
         keep=["file", "window_index"])
-    return clean_features(features.join(labels, "file"))
+    return clean_features(null_safe_join(features, labels, ["file"]))
 
 
 def window_dataset(
@@ -67,5 +68,5 @@ def window_dataset(
     with_spectrum = stft_spectrogram(
         windows, list(channels), n_fft or config.stft_window_size,
         config.stft_overlap if overlap is None else overlap)
-    coded = with_spectrum.join(labels, "file").withColumn("y", encode_label(F.col("label"), binary, lenient))
+    coded = null_safe_join(with_spectrum, labels, ["file"]).withColumn("y", encode_label(F.col("label"), binary, lenient))
     return group_ids(coded)

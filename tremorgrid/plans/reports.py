@@ -52,6 +52,10 @@ def recent_faults(dl: DataFrame, ml: DataFrame, keep: int = 10) -> DataFrame:
     return ml_label_by_timestamp(newest, matching)
 
 
+#: The closing rule and footer of a report.
+FOOTER = "\n---\n\n*Generated by tremorgrid*"
+
+
 def report_text(summary: DataFrame, faults: DataFrame, start: str, end: str, hours: int) -> DataFrame:
     """The report as one row of Markdown; ``faults`` are at most a handful of rows."""
     def line(label: str, column: str):
@@ -73,20 +77,19 @@ def report_text(summary: DataFrame, faults: DataFrame, start: str, end: str, hou
     def percent(column):
         return F.format_string("%.1f%%", F.col(column) * 100)
 
-    # Fixed text: the layout of the report.
     return one.select(F.concat(
         F.lit(f"# Condition Report\n\n**Report Period**: {start} to {end}\n**Duration**: {hours} hours\n\n---\n\n"
               "## Summary Statistics\n\n- **Total Predictions**: "), F.col("total_predictions").cast("string"),
         F.lit("\n- **Fault Detections**: "), F.format_string("%d (%s%%)", "fault_count", F.col("fault_rate").cast("string")),
         F.lit("\n- **Good Detections**: "), F.format_string("%d (%.2f%%)", F.col("good_count"), 100 - F.col("fault_rate")),
         F.lit("\n- **Model Agreement Rate**: "), F.col("agreement_rate").cast("string"), F.lit("%\n\n---\n\n"),
-        F.lit("## Model Performance\n\n| Model | Avg Confidence |\n|-------|----------------|\n| CNN1D | "),
+        F.lit("## Model Performance\n\n### Deep Learning Models\n| Model | Avg Confidence |\n|-------|----------------|\n| CNN1D | "),
         percent("cnn1d_avg_confidence"), F.lit(" |\n| LSTM  | "), percent("lstm_avg_confidence"),
         F.lit(" |\n| CNN2D | "), percent("cnn2d_avg_confidence"),
         F.lit(" |\n\n### Machine Learning Model (RF-20)\n- **Total Predictions**: "),
         F.col("ml_total_predictions").cast("string"), F.lit("\n- **Avg Confidence**: "), percent("ml_avg_confidence"),
         F.lit("\n- **Avg Inference Time**: "), F.format_string("%.2fms", "ml_avg_time_ms"),
-        F.lit("\n\n---\n\n## Recent Fault Detections\n\n"), F.col("faults"),
+        F.lit("\n\n---\n\n## Recent Fault Detections\n\n"), F.col("faults"), F.lit(FOOTER),
     ).alias("value"))
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorgrid.functions.expressions import coerce_number, encode_label, label_from_name, parse_time
+from tremorgrid.functions.expressions import (
+    coerce_number, encode_label, label_from_name, parse_time, require_some_time,
+)
 from tremorgrid.operators import quality
 from tremorgrid.operators.ordered import indexed_table
+from tremorgrid.session import cut
 from tremorgrid.settings import CHANNELS, CONFIG_SCHEMA, TIMESTAMP_COLUMN, SignalConfig
 
 
@@ -34,30 +39,65 @@ def coerce_channels(df: DataFrame, channels=CHANNELS) -> DataFrame:
     )
 
 
+def _cells(line: Column, count: int, separator: str) -> Column:
+    """The first ``count`` cells of a CSV line as an array; nulls where the line is shorter."""
+    schema = ", ".join(f"c{n} string" for n in range(count))
+    parsed = F.from_csv(line, F.lit(schema), {"sep": separator, "ignoreLeadingWhiteSpace": "true"})
+    return F.array(*[parsed[f"c{n}"] for n in range(count)])
+
+
+def _positions(headers: DataFrame, names: list[str], separator: str) -> DataFrame:
+    """One thin row per file: its number of columns and where in its lines each named column stands.
+
+    A file without one of the columns is an error that names the file and what it lacks.
+    """
+    widest = headers.agg(F.max(F.size(F.split("value", F.lit(re.escape(separator)))))).first()[0] or 1  # one number
+    clean = F.regexp_replace("value", F.lit("^\\uFEFF"), F.lit(""))
+    cells = headers.select("file", F.transform(_cells(clean, widest, separator), lambda c: F.rtrim(c)).alias("_names"))
+    place = {name: F.array_position("_names", F.lit(name)) for name in names}
+    absent = F.array_compact(F.array(*[F.when(place[n] == 0, F.lit(n)) for n in names]))
+    found = cut(cells.select("file", F.lit(widest).alias("_width"), F.array(*place.values()).alias("_at"), absent.alias("_absent")))
+    lacking = found.where(F.size("_absent") > 0).orderBy("file").limit(1).collect()  # at most one row
+    if lacking:
+        raise ValueError(f"{lacking[0]['file']} is missing required columns: {lacking[0]['_absent']}")
+    return found.select("file", "_width", "_at")
+
+
 def read_recordings(
-    spark: SparkSession, directory: str, pattern: str = "*.csv", channels=CHANNELS, encoding: str = "UTF-8"
+    spark: SparkSession, directory: str, pattern: str = "*.csv", channels=CHANNELS, encoding: str = "UTF-8",
+    separator: str = ",", require_times: bool = True,
 ) -> DataFrame:
     """All recordings of a folder as one table: ``file, label, i, ts`` and the channels.
 
-    ``i`` is the position of the sample in its file. Cells are read as text and cast, so a bad cell is
-    a null and not a lost row. Files must share one header; a file with another one is an error.
+    ``i`` is the position of the sample in its file. Every file has its own header: columns are picked by their names
+    in that file, whatever their order and whatever else it holds, also where a large file is read in several splits.
+    Lines are read once, as text, and numbered; the first of each file is its header, and the headers become a thin
+    table of positions that is joined to the lines. Cells are cast one by one, so a bad cell is a null and not a lost
+    row. Blank lines are skipped; a quoted cell may hold the separator but no line break. A file without a required
+    column is an error that names it, and with ``require_times`` so is one in which no time can be read.
     """
-    reader = (
-        spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True)
-        .option("enforceSchema", False).option("encoding", encoding).option("pathGlobFilter", pattern)
-    )
     try:
-        raw = reader.csv(directory)
+        raw = spark.read.option("pathGlobFilter", pattern).text(directory)
+        if not raw.inputFiles():
+            raise FileNotFoundError(f"no files match '{pattern}' in {directory}")
     except AnalysisException as error:
         raise FileNotFoundError(f"no files match '{pattern}' in {directory}") from error
-    if not raw.columns:
-        raise FileNotFoundError(f"no files match '{pattern}' in {directory}")
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
-    placed = raw.select("*", name.alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-                        F.monotonically_increasing_id().alias("_line"))
-    typed = coerce_channels(require_channels(placed, channels), channels)
-    indexed = indexed_table(typed, ["file"], ["_block", "_line"])
-    return indexed.select("file", label_from_name(F.col("file")).alias("label"), "i", "ts", *channels)
+    text = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
+    lines = raw.select(name.alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+                       F.monotonically_increasing_id().alias("_line"), text.alias("value")).where("trim(value) <> ''")
+    numbered = indexed_table(lines, ["file"], ["_block", "_line"])
+    names = [TIMESTAMP_COLUMN, *channels]
+    positions = _positions(numbered.where("i = 0").select("file", "value"), names, separator)
+    width = positions.agg(F.max("_width")).first()[0]
+    placed = numbered.where("i > 0").join(positions, "file").select("file", (F.col("i") - 1).alias("i"), _cells(
+        F.col("value"), width or 1, separator).alias("_cells"), "_at")
+    picked = placed.select("file", "i", *[
+        F.get("_cells", (F.get("_at", F.lit(n)) - 1).cast("int")).alias(c) for n, c in enumerate(names)])
+    typed = coerce_channels(picked, channels)
+    if require_times:
+        typed = typed.join(require_some_time(typed), "file").where("readable > 0").drop("readable")  # the guard is evaluated
+    return typed.select("file", label_from_name(F.col("file")).alias("label"), "i", "ts", *channels)
 
 
 def read_config(spark: SparkSession, path: str) -> SignalConfig:

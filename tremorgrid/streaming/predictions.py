@@ -141,6 +141,26 @@ def stream_fault_totals(voted: DataFrame, fault: str = "is_fault") -> DataFrame:
         (faults / F.count(F.lit(1)) * 100).alias("fault_rate"))
 
 
+def write_changes(totals: DataFrame, path: str, checkpoint: str):
+    """Start a query that keeps running totals as a table of changes: what each micro-batch changed, with its number.
+
+    Rows written grow with the devices a micro-batch touches and not with all devices there are. A batch that is
+    repeated replaces its own rows and changes nothing else. ``latest_totals`` reads the totals back.
+    """
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/version={number}")
+
+    return totals.writeStream.foreachBatch(write).outputMode("update").option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_totals(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the rows that ``write_changes`` wrote, each key's last; combined on the map side."""
+    others = [c for c in changes.columns if c not in (*keys, "version")]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*others), "version").alias("_last"))
+    return last.select(*keys, *[F.col(f"_last.{c}").alias(c) for c in others])
+
+
 def latest_version(recent: DataFrame) -> DataFrame:
     """Of the rows that ``stream_recent`` wrote, those of each device's last micro-batch."""
     last = recent.groupBy("device_id").agg(F.max("version").alias("_last"))

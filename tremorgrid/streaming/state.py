@@ -42,9 +42,12 @@ def stateful(
         out = step(memory, rows, rows["_us"].to_numpy())
         state.update((json.dumps(memory),))
         if out is not None and len(out):
-            yield out.assign(**{key: keys[0]})
+            yield out.assign(**{key: keys[0], "_spare": 0})
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    # The spare column is dropped by a projection, without which rows of this operator cannot enter an Arrow function.
+    out = df.groupBy(key).applyInPandasWithState(
+        run, f"{schema}, _spare int", STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    return out.drop("_spare")
 
 
 def walk(micros: np.ndarray, last: int | None, gap: int) -> tuple[list[int], int | None]:

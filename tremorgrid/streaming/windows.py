@@ -8,8 +8,10 @@ from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tremorgrid.functions.expressions import top_class
 from tremorgrid.operators.features import top20_features
-from tremorgrid.operators.models import score_windows
+from tremorgrid.operators.models import Network, network_probabilities, score_windows
+from tremorgrid.operators.signals import stft_spectrogram
 from tremorgrid.streaming.state import stateful, walk
 
 
@@ -95,3 +97,33 @@ def stream_inference(windows: DataFrame, model: Model, fs: float, ay: str, az: s
     )
 
 
+def multi_model_inference(
+    windows: DataFrame, networks: dict[str, tuple[str, Network]], channels: list[str], n_fft: int = 1024,
+    overlap: float = 0.5,
+) -> DataFrame:
+    """Windows, batch or streaming, scored by several networks in one pass: ``predictions`` is a map by model name of
+    label, confidence and class probabilities.
+
+    ``networks`` names for each model what it reads ("time": the samples channel after channel, "spec": the decibel
+    spectrogram averaged over channels, "hybrid": both) and its network. All are columns of one plan, so the stream is
+    read once and the spectrogram computed once. A model that cannot take a window (another input size, a value that
+    is missing or not finite) is left out of that window's map and does not stop the others; a window that no
+    model can take gives no row. Throttling is a matter of the windows (``every_seconds`` of ``stream_windows``).
+    """
+    kinds = {kind for kind, _ in networks.values()}
+    samples = F.concat(*[F.col(f"`{c}`") for c in channels])
+    cells = F.flatten("_spectrum")
+    inputs = {"time": samples, "spec": cells, "hybrid": F.concat(samples, cells)}
+    ready = stft_spectrogram(windows, channels, n_fft, overlap, "_spectrum") if kinds - {"time"} else windows
+    ready = ready.withColumns({f"_in_{kind}": inputs[kind] for kind in sorted(kinds)})
+    ready = ready.withColumns({
+        f"_p_{name}": network_probabilities(network)(F.col(f"_in_{kind}")) for name, (kind, network) in networks.items()})
+    entries = []
+    for name in networks:
+        probs = F.col(f"_p_{name}")
+        best = top_class(probs)
+        result = F.struct(best["label"].alias("label"), best["confidence"].alias("confidence"), probs.alias("probs"))
+        entries.append(F.when(probs.isNotNull(), F.struct(F.lit(name).alias("key"), result.alias("value"))))
+    present = F.array_compact(F.array(*entries))
+    return ready.withColumn("predictions", F.map_from_entries(present)).where(F.size("predictions") > 0).select(
+        *windows.columns, "predictions")
