@@ -212,6 +212,17 @@ def _range_starts(thin: DataFrame, count: int) -> list[tuple]:
     return sorted(tuple(r["first"]) for r in firsts.collect())  # one key per range
 
 
+def _labels(spark, count: int) -> list[int]:
+    """A number for each of ``count`` ranges such that hash partitioning gives every range a task of its own."""
+    wanted, tried = {}, 20 * count + 100
+    while len(wanted) < count:
+        number = F.col("id").cast("int")
+        rows = spark.range(tried).select(number.alias("label"), F.pmod(F.hash(number), F.lit(count)).alias("task"))
+        wanted = {r["task"]: r["label"] for r in rows.groupBy("task").agg(F.min("label").alias("label")).collect()}
+        tried *= 2
+    return [wanted[n] for n in range(count)]
+
+
 def compare_neighbours(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each document against its edited text and its successor: ``doc_id``, n_chars, edited_sha256, fingerprint,
     edited_fingerprint, near_edited, near_next.
@@ -235,11 +246,11 @@ def compare_neighbours(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     starts = _range_starts(thin, count)
     if not starts:
         return df.sparkSession.createDataFrame([], schema)
-    last = len(starts) - 1
+    last, labels = len(starts) - 1, _labels(df.sparkSession, len(starts))
 
     @F.pandas_udf("array<int>")
     def places(none, falling, tie, row):
-        """The range of a row; for the first row of a range also, as -1 - range, the range before it."""
+        """The label of a row's range; for the first row of a range also, as -1 - label, that of the range before it."""
         from bisect import bisect_right
 
         import pandas as pd
@@ -247,7 +258,7 @@ def compare_neighbours(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
         out = []
         for key in zip(none.tolist(), falling.tolist(), tie.tolist(), row.tolist()):
             at = bisect_right(starts, key) - 1
-            out.append([at, -1 - (at - 1 if at else last)] if key == starts[at] else [at])
+            out.append([labels[at], -1 - labels[at - 1 if at else last]] if key == starts[at] else [labels[at]])
         return pd.Series(out)
 
     placed = rows.select("*", F.explode(places("none", "falling", "tie", "row")).alias("at")).select(
