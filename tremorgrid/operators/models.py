@@ -36,9 +36,9 @@ from tremorgrid.session import cut
 
 
 #: Labelled rows that forests and boosted trees are fitted on, partitions they are gathered in, and memory for the statistics of a level.
-FOREST_ROWS = 4_000
+FOREST_ROWS = 2_000
 BOOSTING_ROWS = 4_000
-FIT_PARTITIONS = 4
+FIT_PARTITIONS = 8
 LEVEL_MB = 1024
 
 
