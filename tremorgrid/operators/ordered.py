@@ -203,6 +203,12 @@ def ordered_bits(value: Column) -> Column:
     return F.when(bits < 0, bits.bitwiseXOR(F.lit(_ALL_BUT_SIGN))).otherwise(bits)
 
 
+def value_of_bits(ordered: Column) -> Column:
+    """The double that ``ordered_bits`` made the integer of."""
+    bits = F.when(ordered < 0, ordered.bitwiseXOR(F.lit(_ALL_BUT_SIGN))).otherwise(ordered)
+    return F.call_function("reflect", F.lit("java.lang.Double"), F.lit("longBitsToDouble"), bits).cast("double")
+
+
 def exact_median(
     df: DataFrame, keys: list[str], value: str, name: str = "median", width: int = MEDIAN_BITS,
 ) -> DataFrame:
@@ -211,33 +217,34 @@ def exact_median(
     A radix selection: values become order-preserving 64-bit integers, and each pass counts the values that share
     what is known of a middle one by their next ``width`` bits, for all keys at once. The counts show which slot
     holds each of the two middle ranks; after 64 bits the values are known. The number of passes does not depend on
-    the data, each is a map-side aggregation to at most 2^width counts for a key and rank, and no row is shuffled.
+    the data, each is a map-side aggregation to at most 2^width counts for a key and rank, and no row is shuffled. The integers are
+    stored once, so that the passes read them and do not make them again.
     """
     x = F.when(F.col(value).cast("double") == 0, F.lit(0.0)).otherwise(F.col(value).cast("double"))  # -0.0 equals 0.0
-    rows = df.select(key_of(keys).alias("_key"), x.alias("_x")).where("_x is not null and not isnan(_x)").select(
-        "_key", "_x", ordered_bits(F.col("_x")).alias("_bits"))
+    rows = cut(df.select(key_of(keys).alias("_key"), x.alias("_x")).where("_x is not null and not isnan(_x)").select(
+        "_key", ordered_bits(F.col("_x")).alias("_bits")))
     state, known = None, 0
     while known < 64:
         step = min(width, 64 - known)
         after = 64 - known - step
         slot = F.shiftright("_bits", after)  # the known bits and the next ones
         if state is None:
-            near = rows.select("_key", "_x", slot.alias("_slot"))
+            near = rows.select("_key", slot.alias("_slot"))
         else:
             met = state.select(F.col("_key").alias("_r_key"), F.col("_slot").alias("_r_slot")).distinct()
             near = rows.join(met, (F.col("_key") == F.col("_r_key")) & (
-                F.shiftright("_bits", 64 - known) == F.col("_r_slot"))).select("_key", "_x", slot.alias("_slot"))
-        counted = near.groupBy("_key", "_slot").agg(F.count(F.lit(1)).alias("_c"), F.max("_x").alias("_x"))
+                F.shiftright("_bits", 64 - known) == F.col("_r_slot"))).select("_key", slot.alias("_slot"))
+        counted = near.groupBy("_key", "_slot").agg(F.count(F.lit(1)).alias("_c"))
         state = cut(_next_slots(counted, state, step))
         known += step
     low, high = F.min("_x"), F.max("_x")
-    middle = state.groupBy("_key").agg(F.when(low == high, low).otherwise((low + high) / 2).alias(name))
+    middle = state.select("_key", value_of_bits(F.col("_slot")).alias("_x")).groupBy("_key").agg(F.when(low == high, low).otherwise((low + high) / 2).alias(name))
     return middle.select(*[F.col(f"_key.{key}").alias(key) for key in keys], name)
 
 
 def _next_slots(counted: DataFrame, state: DataFrame | None, step: int) -> DataFrame:
-    """For each key and middle rank (0 lower, 1 upper): the slot that holds it, its place there and a value of it."""
-    columns = ["_key", "_side", "_slot", "_place", "_x"]
+    """For each key and middle rank (0 lower, 1 upper): the slot that holds it and its place there."""
+    columns = ["_key", "_side", "_slot", "_place"]
     if state is None:
         every = Window.partitionBy("_key")
         upto = every.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0)
