@@ -241,6 +241,34 @@ def test_compression_round_trip():
         assert (shard.document(i, len(d) // 3, 7) == d[len(d) // 3:len(d) // 3 + 7]).all()
 
 
+def test_grammar_is_finished():
+    """Runs of one id and many copies shrink to a few symbols, and no pair is left that pays for its rule."""
+    rng = np.random.default_rng(3)
+    copies = np.tile(rng.integers(3, 5000, 200), 2000)
+    for ids, most in ((np.full(65_536, 7), 8), (copies, 40), (rng.integers(3, 30, 20_000), 20_000)):
+        symbols, rules, lengths = token_files.compress(ids.astype("<u4"), 5000, 2)
+        assert len(symbols) <= most and lengths[symbols].sum() == len(ids)
+        counts, last = Counter(), None
+        for n, pair in enumerate(zip(symbols[:-1].tolist(), symbols[1:].tolist())):
+            if pair[0] != pair[1] or last != (pair, n - 1):
+                counts[pair], last = counts[pair] + 1, (pair, n)
+        assert max(counts.values()) < token_files.LEAST_COUNT
+        data = token_files.pack_shard([1, 2], [ids.astype("<u4").tobytes(), np.array([2], "<u4").tobytes()], 4, 5000, 2)
+        shard = token_files.Shard(data)
+        assert (shard.decode() == np.append(ids, 2)).all() and (shard.document(0, 17, 90) == ids[17:107]).all()
+
+
+def test_byte_encoder(library, monkeypatch):
+    """Ids are the library's for words of every kind, also when kept words are dropped all the time."""
+    path = vocabulary("byte_bpe_50k.json")
+    texts = ["", "One two,\nThree's  four.", "a.\nB,\nC x\u00e9\u00df\u00fc$$$ don't", "x <|endoftext|> y<|endoftext|>z", " \n", "a_b c1d \u4e2d\u6587 \U0001f600!",
+             "caf\u00e9.\n\nTwo\tthree\u00a0four \u00bd\u00b2", "un \u00e9t\u00e9\nL\u00e0 ", "w.\n", "q-\nr's"] * 2
+    for kept in (500_000, 2):
+        monkeypatch.setattr(token_files.ByteLevelEncoder, "KEPT", kept)
+        found = token_files.ByteLevelEncoder(path, 4).encode(texts)
+        assert [np.frombuffer(x, "<u4").tolist() for x in found] == [ids_of(library["byte_bpe_50k.json"], x) for x in texts]
+
+
 def test_token_files(spark, small, odd, none, library, tmp_path):
     tokenizer = library["byte_bpe_50k.json"]
     for name, df in (("small", small), ("odd", odd), ("none", none)):

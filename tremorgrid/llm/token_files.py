@@ -2,71 +2,203 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorgrid.llm.common import id_width, range_starts, text_batches, word_encoder
+from tremorgrid.llm.common import id_width, range_starts, text_batches
 from tremorgrid.llm.packing import END_ID
 
 SHARD_IDS = 1 << 20
-ROUNDS, LEAST_COUNT, RULES_A_ROUND = 4, 24, 2048
+#: A rule is stored in twelve bytes and saves four at each place, so it pays from four places on.
+LEAST_COUNT = 4
 _MAGIC = b"TGRP0001"
 
 
-def compress(ids: np.ndarray, vocabulary: int, barrier: int, rounds: int = ROUNDS,
-             least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and rules (pairs of symbols; rule r is the symbol ``vocabulary + r``) that expand to ``ids``.
+class ByteLevelEncoder:
+    """Ids of whole texts by a byte-level vocabulary, as the tokenizers library gives them, packed as ``width`` bytes each.
+
+    Such a vocabulary cuts texts before a blank, so each distinct word with its blank is encoded once and kept. Words of
+    letters, marks behind them and single line feeds between are put together from the ids of their letters and marks;
+    other words go to the library. A text with white space behind a blank is encoded by the library as a whole. Words
+    live in two generations of ``KEPT`` words: one that comes back is carried on, the others go; no result depends on it.
+    """
+
+    KEPT = 500_000
+    _ALONE = re.compile(r" \s")
+    #: Letters of the Latin blocks, and ASCII marks but for the apostrophe, which begins contractions.
+    _SEGMENT = "([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([!-&(-/:-@\\[-`{-~]*)"
+    _PLAIN, _BROKEN = re.compile(_SEGMENT), re.compile(f"{_SEGMENT}(?:\n{_SEGMENT})+")
+
+    class _Words(dict):
+        def __init__(self, make):
+            super().__init__()
+            self.make = make
+
+        def __missing__(self, key):
+            ids = self[key] = self.make(key)
+            return ids
+
+    def __init__(self, path: str, width: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.tokenize = self.library.model.tokenize
+        self.packed = [i.to_bytes(width, "little") for i in range(self.library.get_vocab_size())]
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [x for x in range(256) if x not in shown]
+        #: The character that stands for each byte: itself where it can be seen, else the next one from 256 on.
+        self.characters = {x: x for x in shown} | {x: 256 + i for i, x in enumerate(hidden)}
+        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.words, self.older = self._Words(self._word), {}
+        self.marks = self._Words(self._pieces)
+        self.line_feed = self._pieces("\n")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for text in texts:
+            if self._ALONE.search(text):
+                out.append(self._whole(text))
+                continue
+            if len(self.words) > self.KEPT:
+                self.older, self.words = self.words, self._Words(self._word)
+                self.marks.clear()
+            first, *rest = text.split(" ")
+            out.append(self._whole(first) + b"".join(map(self.words.__getitem__, rest)))
+        return out
+
+    def _whole(self, text: str) -> bytes:
+        packed = self.packed
+        return b"".join([packed[i] for i in self.library.encode(text, add_special_tokens=False).ids]) if text else b""
+
+    def _pieces(self, text: str) -> bytes:
+        packed = self.packed
+        shown = text.encode().decode("latin-1").translate(self.characters)  # a character for each byte
+        return b"".join([packed[x.id] for x in self.tokenize(shown)])
+
+    def _word(self, word: str) -> bytes:
+        known = self.older.get(word)
+        if known is not None:
+            return known
+        if not any(x in word for x in self.special):
+            plain = self._PLAIN.fullmatch(word)
+            if plain:
+                letters, marks = plain.groups()
+                return self.words[letters] + self.marks[marks] if marks else self._pieces(" " + letters)
+            if "\n" in word and self._BROKEN.fullmatch(word):
+                first, *others = word.split("\n")
+                ids = [self.words[first]]
+                for other in others:
+                    letters, marks = self._PLAIN.fullmatch(other).groups()
+                    ids += [self.line_feed, self.marks[letters], self.marks[marks] if marks else b""]
+                return b"".join(ids)
+        return self._whole(" " + word)
+
 
-    Each round counts all adjacent pairs of the shard and replaces the most frequent ones that cannot overlap each
-    other (no symbol ends one pair and begins another), at most ``RULES_A_ROUND``; it ends when no pair occurs
-    ``least`` times or after ``rounds`` rounds. No pair goes on after ``barrier``, so a document behind it starts at a
-    symbol of its own.
+_ENCODERS: dict[tuple[str, int], ByteLevelEncoder] = {}
+
+
+def byte_encoder(path: str, width: int) -> ByteLevelEncoder:
+    """The encoder of this Python process for one vocabulary file."""
+    if (path, width) not in _ENCODERS:
+        _ENCODERS[path, width] = ByteLevelEncoder(path, width)
+    return _ENCODERS[path, width]
+
+
+def _overlapping(symbols: np.ndarray) -> np.ndarray:
+    """Places of equal neighbours that overlap an earlier such pair: every second one of a run."""
+    equal = np.flatnonzero(symbols[:-1] == symbols[1:])
+    starts = np.append(True, np.diff(equal) > 1)[:len(equal)]
+    return equal[(equal - equal[starts][np.cumsum(starts) - 1]) % 2 == 1]
+
+
+def _by_pair(lefts: np.ndarray, rights: np.ndarray, at: np.ndarray, size: int,
+             places: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs as numbers in ascending order, each with its place; sorted as one number where pair and place fit into it."""
+    bits, of_place = size.bit_length(), places.bit_length()
+    if 2 * bits + of_place < 64:
+        packed = np.sort((lefts << bits | rights) << of_place | at)
+        pairs, at = packed >> of_place, packed & ((1 << of_place) - 1)
+        return (pairs >> bits) << 32 | pairs & ((1 << bits) - 1), at
+    pairs = lefts << 32 | rights
+    order = np.argsort(pairs, kind="stable")
+    return pairs[order], at[order]
+
+
+def _compatible(lefts: np.ndarray, rights: np.ndarray, size: int) -> np.ndarray:
+    """Which of the pairs, most frequent first, can be replaced at once: none may share a place with another.
+
+    Each symbol is a left, a right or a twin (pair with itself) as in the first pair that has it; a pair is taken if
+    both its symbols have their parts. The first pair always is.
+    """
+    rank = np.arange(len(lefts))
+    part = np.full((3, size), len(lefts))
+    twin = lefts == rights
+    for row, symbols, which in ((0, lefts, ~twin), (1, rights, ~twin), (2, lefts, twin)):
+        part[row][symbols[which][::-1]] = rank[which][::-1]
+    as_left, as_right, as_twin = part
+    return np.where(twin, as_twin[lefts] < np.minimum(as_left[lefts], as_right[lefts]),
+                    (as_left[lefts] < np.minimum(as_right[lefts], as_twin[lefts]))
+                    & (as_right[rights] < np.minimum(as_left[rights], as_twin[rights])))
+
+
+def compress(ids: np.ndarray, vocabulary: int, barrier: int,
+             least: int = LEAST_COUNT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules (pairs of symbols; rule r is the symbol ``vocabulary + r``) and symbol lengths that expand to ``ids``.
+
+    Re-Pair, many pairs a round: each round replaces the frequent adjacent pairs that share no place, the most frequent
+    first (see ``_compatible``), runs of one symbol from left to right, and rounds go on until no pair occurs ``least`` times. A
+    pair can only become rarer, so a place is counted again only while its pair is frequent, or when one of its symbols
+    is new. No pair goes on after ``barrier``, so a document behind it starts at a symbol of its own.
     """
     symbols = ids.astype(np.int64)
-    rules: list[tuple[int, int]] = []
-    closing = {barrier}
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    rules, lengths = [], np.ones(vocabulary, np.int64)
+    closing = np.zeros(vocabulary, bool)
+    closing[barrier] = True
+    alive = np.ones(max(len(symbols) - 1, 0), bool)
+    while True:
+        alive &= ~closing[symbols[:-1]]
+        usable = alive.copy()
+        usable[_overlapping(symbols)] = False
+        at = np.flatnonzero(usable)
+        if not len(at):
             break
-        keys = symbols[:-1] << 32 | symbols[1:]
-        ordered = np.sort(keys)
-        edges = np.flatnonzero(np.diff(ordered)) + 1
-        begins = np.concatenate(([0], edges))
-        counts = np.diff(np.append(begins, len(ordered)))
-        many = counts >= least
-        pairs, counts = ordered[begins[many]], counts[many]
-        best = pairs[np.lexsort((pairs, -counts))][:4 * RULES_A_ROUND]
-        lefts, rights, chosen = set(), set(), []
-        for key in best.tolist():
-            a, b = key >> 32, key & 0xFFFFFFFF
-            if a == b or a in closing or a in rights or b in lefts:
-                continue
-            lefts.add(a)
-            rights.add(b)
-            chosen.append(key)
-            if len(chosen) == RULES_A_ROUND:
-                break
-        if not chosen:
+        keys, at = _by_pair(symbols[at], symbols[at + 1], at, len(lengths), len(symbols))
+        begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        counts = np.diff(np.append(begins, len(keys)))
+        rare = np.repeat(counts < least, counts)
+        alive[at[rare]] = False
+        if counts.max() < least:
             break
-        found = np.sort(np.array(chosen))
-        size = vocabulary + len(rules)
-        begin, end = np.zeros(size, bool), np.zeros(size, bool)
-        begin[found >> 32] = True
-        end[found & 0xFFFFFFFF] = True
-        maybe = np.flatnonzero(begin[symbols[:-1]] & end[symbols[1:]])
-        slot = np.searchsorted(found, keys[maybe])
-        hit = found[np.minimum(slot, len(found) - 1)] == keys[maybe]
-        at, slot = maybe[hit], slot[hit]
-        symbols[at] = size + slot
+        many = np.flatnonzero(counts >= least)
+        many = many[np.argsort(-counts[many], kind="stable")]
+        lefts, rights = keys[begins[many]] >> 32, keys[begins[many]] & 0xFFFFFFFF
+        size = len(lengths)
+        taken = np.sort(many[_compatible(lefts, rights, size)])
+        number = np.full(len(counts), -1)
+        number[taken] = np.arange(size, size + len(taken))
+        number = np.repeat(number, counts)
+        hit = number >= 0
+        pairs = keys[begins[taken]]
+        lefts, rights = pairs >> 32, pairs & 0xFFFFFFFF
+        rules.append(np.column_stack((lefts, rights)))
+        lengths = np.append(lengths, lengths[lefts] + lengths[rights])
+        closing = np.append(closing, closing[rights])
+        symbols[at[hit]] = number[hit]
         keep = np.ones(len(symbols), bool)
-        keep[at + 1] = False
-        symbols = symbols[keep]
-        for r, key in enumerate(found.tolist()):
-            rules.append((key >> 32, key & 0xFFFFFFFF))
-            if key & 0xFFFFFFFF in closing:
-                closing.add(size + r)
-    return symbols.astype("<u4"), np.array(rules, dtype="<u4").reshape(-1, 2)
+        keep[at[hit] + 1] = False
+        fresh = np.zeros(len(symbols), bool)
+        fresh[at[hit]] = True
+        # A place stands for the pair that begins there; behind a replaced pair it is a new one.
+        alive = np.append(alive, False)[keep]
+        symbols, fresh = symbols[keep], fresh[keep]
+        alive = (alive | fresh)[:-1] | fresh[1:]
+    found = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
+    return symbols.astype("<u4"), found.astype("<u4"), lengths
 
 
 class Shard:
@@ -87,38 +219,29 @@ class Shard:
         self.doc_ids = np.frombuffer(data, "<u8", n_docs, at)
         self.begins = np.frombuffer(data, "<u8", n_docs, at + 8 * n_docs).astype(np.int64)
         self.sizes = np.frombuffer(data, "<u8", n_docs, at + 16 * n_docs).astype(np.int64)
-        self._flat: np.ndarray | None = None
-
-    def _expansions(self):
-        """All rules written out one after another, behind the vocabulary itself, and where each begins."""
-        if self._flat is None:
-            sizes = np.concatenate((np.ones(self.vocabulary, np.int64), self.lengths.astype(np.int64)))
-            starts = np.cumsum(sizes) - sizes
-            flat = np.zeros(int(sizes.sum()), "<u4")
-            flat[:self.vocabulary] = np.arange(self.vocabulary)
-            for r, (a, b) in enumerate(self.rules.tolist()):
-                s = starts[self.vocabulary + r]
-                flat[s:s + sizes[a]] = flat[starts[a]:starts[a] + sizes[a]]
-                flat[s + sizes[a]:s + sizes[a] + sizes[b]] = flat[starts[b]:starts[b] + sizes[b]]
-            self._flat, self._starts, self._sizes = flat, starts, sizes
-        return self._flat, self._starts, self._sizes
+        self.spans = np.concatenate((np.ones(vocabulary, np.int64), self.lengths.astype(np.int64)))
 
     def decode(self, first: int = 0, last: int | None = None) -> np.ndarray:
-        """Ids of the symbols [first, last)."""
-        flat, starts, sizes = self._expansions()
-        part = self.symbols[first:last]
-        lengths = sizes[part]
-        shift = np.repeat(starts[part] - (np.cumsum(lengths) - lengths), lengths)
-        return flat[shift + np.arange(len(shift))]
+        """Ids of the symbols [first, last): all symbols are opened once a level, each at its own place."""
+        part = self.symbols[first:last].astype(np.int64)
+        spans = self.spans[part]
+        out = np.zeros(int(spans.sum()), "<u4")
+        places = np.cumsum(spans) - spans
+        while len(part):
+            plain = part < self.vocabulary
+            out[places[plain]] = part[plain]
+            opened, places = self.rules[part[~plain] - self.vocabulary].astype(np.int64), places[~plain]
+            places = np.concatenate((places, places + self.spans[opened[:, 0]]))
+            part = np.concatenate((opened[:, 0], opened[:, 1]))
+        return out
 
     def document(self, position: int, start: int = 0, length: int | None = None) -> np.ndarray:
         """Ids [start, start + length) of one document; only the symbols that cover them are expanded."""
-        _, _, sizes = self._expansions()
         size = int(self.sizes[position])
         stop = size if length is None else min(size, start + length)
         begin = int(self.begins[position])
         end = int(self.begins[position + 1]) if position + 1 < len(self.begins) else len(self.symbols)
-        ends = np.cumsum(sizes[self.symbols[begin:end]])
+        ends = np.cumsum(self.spans[self.symbols[begin:end]])
         one, two = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
         before = int(ends[one - 1]) if one else 0
         return self.decode(begin + one, begin + min(two, end - begin))[start - before:stop - before]
@@ -130,10 +253,7 @@ def pack_shard(doc_ids: list[int | None], documents: list[bytes], width: int, vo
     ``documents`` are ids of ``width`` bytes each; a null id is stored as 0 and named beside the shard.
     """
     ids = np.frombuffer(b"".join(documents), f"<u{width}")
-    symbols, rules = compress(ids, vocabulary, barrier)
-    lengths = np.ones(vocabulary + len(rules), np.int64)
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[vocabulary + r] = lengths[a] + lengths[b]
+    symbols, rules, lengths = compress(ids, vocabulary, barrier)
     sizes = np.array([len(x) // width for x in documents], dtype=np.int64)
     ends = np.cumsum(lengths[symbols])
     begins = np.searchsorted(ends, np.cumsum(sizes) - sizes, "right")
@@ -149,7 +269,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
 
     Texts (null: empty) are dealt out by ranges of doc_id, then encoded and cut into shards of about ``shard_ids`` ids
     inside each range; a document is never split. Files are Parquet files under ``path``/shards with one shard per row,
-    so Spark's committer answers for lost executors; ``path``/ranges has the ids before each range.
+    so Spark's committer answers for lost executors; ``path``/ranges has the ids before each range. An empty table
+    makes no shards and reads back as no rows; a very long text is one document of one longer shard.
     """
     spark = docs.sparkSession
     width = id_width(tokenizer, end_id)
@@ -160,7 +281,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     def run(batches):
         import pyarrow as pa
 
-        encoder = word_encoder(tokenizer, True, width)
+        encoder = byte_encoder(tokenizer, width)
         vocabulary = max(encoder.library.get_vocab_size(), end_id + 1)
         names: list[int | None] = []
         parts: list[bytes] = []
