@@ -16,6 +16,7 @@ os.environ["TOKENIZERS_PARALLELISM"] = "false"
 from tremorgrid.llm import (  # noqa: E402
     chat_format, exact_dedup, jaccard_join, line_dedup, mixing, packing, token_counts, token_files, topk_search, toxicity)
 from tremorgrid.llm.queries import ORACLES, QUERIES, vocabulary  # noqa: E402
+from tremorgrid.session import cut  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
@@ -327,6 +328,21 @@ def test_mixing(small, odd, none, monkeypatch):
     assert mixing.mix_sources(none).count() == 0
 
 
+def test_mixing_one_key_beyond_a_block(spark):
+    """Rows that share id and text are cut into blocks like others, and the mix still comes near its targets."""
+    rows = [(1, "one two three", "a")] * 300 + [(n, "w " * (n % 7 + 1), "b") for n in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    thin = docs.selectExpr("source", "monotonically_increasing_id() AS row_tag", "3L AS size", "7L AS order_key", "0.5D AS chance")
+    blocks = mixing.numbered_blocks(cut(thin), 16).groupBy("source", "block").count().collect()
+    assert sum(r["count"] for r in blocks) == 500 and max(r["count"] for r in blocks) <= 16
+    mixed = mixing.mix_sources(docs, block_rows=16).cache()
+    again = mixing.mix_sources(docs.repartition(5), block_rows=16)
+    assert sorted((r["doc_id"], r["taken"]) for r in mixed.collect()) == sorted((r["doc_id"], r["taken"]) for r in again.collect())
+    for size in (900, sum(n % 7 + 1 for n in range(200))):
+        own = mixed.filter(f"source_size = {size}").selectExpr("sum(taken)", "max(target)").first()
+        assert abs(own[0] - own[1]) <= 14
+
+
 def test_flight_keeps_totals():
     rng = np.random.default_rng(2)
     p, s = rng.random(300), rng.integers(1, 90, 300).astype(float)

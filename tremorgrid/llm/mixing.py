@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tremorgrid.llm.common import running_start
 from tremorgrid.session import cut
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE, CAP = 1.5, 2.0
-#: Rows that one block of a source holds; a source has as many blocks as it needs.
+#: Most rows of a block; a source has as many blocks as it needs.
 BLOCK_ROWS = 50_000
 _NEAR_ZERO = 1e-9
 
@@ -87,6 +88,16 @@ def flight(chance: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.array(p, dtype=np.float64)
 
 
+def numbered_blocks(rows: DataFrame, block_rows: int) -> DataFrame:
+    """``rows`` with ``block``: open rows numbered by (source, order_key, size, row_tag) and cut every ``block_rows`` rows.
+
+    Rows of one source and block are never more than that, also where many rows share id and text. ``rows`` must come
+    from a written table. Rows that only differ in their tag are alike, so a rerun makes the same mix.
+    """
+    placed = running_start(rows.withColumn("one", F.lit(1).cast("long")), ["source", "order_key", "size", "row_tag"], "one")
+    return placed.withColumn("block", F.floor(F.col("start") / block_rows)).drop("one", "start")
+
+
 def _fly(pdf):
     pdf = pdf.sort_values(["order_key", "size", "row_tag"], kind="stable").reset_index(drop=True)
     pdf["chance"] = flight(pdf["chance"].to_numpy(), pdf["size"].to_numpy(dtype=np.float64))
@@ -115,7 +126,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
 
     A source with target / size = c + f (f below 1) takes every document c times and once more with probability f. These
     extra copies are chosen by the cube method, balanced on the number of documents and of words: each source is split
-    into blocks by a hash of the id (a hot source has many), each block flies until at most two documents are open,
+    into blocks of consecutive rows by hash (a hot source or key has many), each block flies until at most two documents are open,
     the open ones of all blocks fly again source by source in blocks, and at most two documents per source are left to
     land, where the nearest of four choices is taken. Nothing depends on the partitioning: reruns agree.
 
@@ -128,20 +139,18 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
                            F.col(source_column).cast("string").alias("source"),
                            word_count(F.col(text_column)).alias("size"),
                            F.xxhash64(F.col(id_column), F.col(text_column)).alias("order_key")))
-    sources = thin.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
-    targets = cut(source_targets(sources.select("source", "source_size"), weights, share, cap)
-                  .join(sources.select(F.col("source").alias("s"), "n"), F.expr("source <=> s")).drop("s")
+    sources = thin.groupBy("source").agg(F.sum("size").alias("source_size"))
+    targets = cut(source_targets(sources, weights, share, cap)
                   .withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size"))
                               .otherwise(0.0)))
     near = F.floor(F.col("rate") + 1e-12)
     rows = thin.join(targets.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s").select(
         "row_tag", "doc_id", "source", "size", "order_key", "source_size", "target", near.alias("base"),
-        F.greatest(F.col("rate") - near, F.lit(0.0)).alias("chance"),
-        F.pmod("order_key", F.ceil(F.col("n") / block_rows)).alias("block"))
+        F.greatest(F.col("rate") - near, F.lit(0.0)).alias("chance"))
     rows = cut(rows)
     thin_kind = "source string, block long, row_tag long, size long, order_key long, chance double"
-    open_rows = rows.filter("chance > 0 and size > 0").select("source", "block", "row_tag", "size", "order_key", "chance")
-    flown = cut(open_rows.groupBy("source", "block").applyInPandas(_fly, thin_kind))
+    open_rows = rows.filter("chance > 0 and size > 0").select("source", "row_tag", "size", "order_key", "chance")
+    flown = cut(numbered_blocks(open_rows, block_rows).groupBy("source", "block").applyInPandas(_fly, thin_kind))
     still = f"chance > {_NEAR_ZERO} and chance < {1 - _NEAR_ZERO}"
     left = flown.filter(still)
     while True:
@@ -149,8 +158,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
         counts = cut(left.groupBy("source").count())
         if counts.filter(F.col("count") > block_rows).limit(1).count() == 0:
             break
-        blocks = left.join(counts.withColumnRenamed("source", "s"), F.expr("source <=> s")).drop("s").withColumn(
-            "block", F.pmod(F.xxhash64("order_key"), F.ceil(F.col("count") / block_rows))).drop("count")
+        blocks = numbered_blocks(left.drop("block"), block_rows)
         again = cut(blocks.groupBy("source", "block").applyInPandas(_fly, thin_kind))
         flown = flown.filter(f"not ({still})").unionByName(again.filter(f"not ({still})"))
         left = again.filter(still)
