@@ -85,3 +85,17 @@ def test_boosted_predictions(monkeypatch, spark):
     truth = [r["y_true"] for r in rows]
     accuracy = sum(r["y_true"] == r["y_pred"] for r in rows) / len(rows)
     assert accuracy > max(truth.count(k) for k in set(truth)) / len(rows)
+
+
+def test_clusters_settle(spark):
+    """Rows that take more than 100 rounds: no row is nearer to the mean of another cluster than to that of its own."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    columns = [f"c{n}" for n in range(8)]
+    table = spark.range(0, 8000, 1, 2).select("id", *[F.randn(seed=n).alias(c) for n, c in enumerate(columns)])
+    found = models.kmeans_cluster(table, columns).select("cluster", *columns).toPandas()
+    rows, cluster = found[columns].to_numpy(), found["cluster"].to_numpy()
+    means = np.stack([rows[cluster == n].mean(axis=0) for n in range(3)])
+    away = ((rows[:, None] - means) ** 2).sum(axis=2)
+    assert (away.argmin(axis=1) == cluster).all()
