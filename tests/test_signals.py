@@ -32,6 +32,36 @@ def test_resampling_in_pieces_equals_one_piece(spark, jitter):
     assert max(abs(whole[k] - pieces[k]) for k in whole) < 1e-10
 
 
+@pytest.mark.parametrize("long_run", [False, True])
+def test_wide_resampling_equals_each_channel_on_its_own(spark, long_run):
+    """Scattered holes, repeated times, channels that end early, a file without one channel, a null file; with
+    ``long_run``, a channel without values for longer than pieces share rows."""
+    names = [("Good 1.csv", 900, 1.0), ("Bad 2.csv", 40, 0.0), (None, 700, 1.0)]
+    df = None
+    for n, (name, count, jitter) in enumerate(names):
+        part = recording(spark, count, jitter=jitter, name=name or "none", seed=n).withColumn("file", F.lit(name))
+        df = part if df is None else df.unionByName(part)
+    i = F.col("i")
+    df = df.withColumn("a", F.when(i % 13 == 5, None).when(i % 17 == 4, float("nan")).otherwise(F.col("a")))
+    df = df.withColumn("b", F.when((i % 11 == 3) | (i > 850), None).when(i == 20, float("inf")).otherwise(F.col("b")))
+    if long_run:
+        df = df.withColumn("b", F.when(F.col("file").eqNullSafe("Good 1.csv") & i.between(200, 620), None).otherwise(F.col("b")))
+    again = df.where("i % 7 = 0").withColumn("i", i + 10_000).withColumn("a", F.lit(99.0))  # later at the same time
+    none = recording(spark, 50, name="Moderate 3.csv").withColumn("b", F.lit(None).cast("double"))
+    df = df.unionByName(again).unionByName(none)
+    apart = signals.resample_recordings(quality.unpivot_channels(df, ["a", "b"]), 12.5, ["a", "b"]).na.drop("any", subset=["a", "b"])
+    want = {(r.file, r.i): r for r in apart.collect()}
+    got = {(r.file, r.i): r for r in signals.resample_wide(df, 12.5, ["a", "b"], rows=300).collect()}
+    assert want.keys() == got.keys() and len(want) > 1500
+    assert all(want[k].ts == got[k].ts for k in want)
+    assert max(abs(want[k][c] - got[k][c]) for k in want for c in "ab") < 1e-9
+
+
+def test_wide_resampling_needs_four_samples(spark):
+    with pytest.raises(Exception, match="not enough samples"):
+        signals.resample_wide(recording(spark, 3), 10.0, ["a"]).collect()
+
+
 def test_resampling_needs_four_samples(spark):
     long = quality.unpivot_channels(recording(spark, 3), ["a"])
     with pytest.raises(Exception, match="not enough samples"):

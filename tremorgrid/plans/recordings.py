@@ -11,7 +11,7 @@ from tremorgrid.operators.features import clean_features, describe_windows
 from tremorgrid.operators.joins import group_ids
 from tremorgrid.operators.ordered import null_safe_join
 from tremorgrid.operators.signals import (
-    bandpass_filter, resample_recordings, stft_spectrogram, window_signal,
+    bandpass_filter, resample_wide, stft_spectrogram, window_signal,
 )
 from tremorgrid.session import cut
 from tremorgrid.settings import CHANNELS, QualityThresholds, SignalConfig
@@ -33,9 +33,7 @@ def verify_recordings(
 
 def resampled(recordings: DataFrame, config: SignalConfig, channels=CHANNELS) -> DataFrame:
     """Recordings on the even grid; a sample some channel cannot give is left out with all channels."""
-    long = quality.unpivot_channels(recordings, channels)
-    wide = resample_recordings(long, config.target_sampling_rate_hz, list(channels))
-    return wide.na.drop("any", subset=list(channels))
+    return resample_wide(recordings, config.target_sampling_rate_hz, list(channels))
 
 
 def window_features(recordings: DataFrame, config: SignalConfig, channels=CHANNELS) -> DataFrame:
