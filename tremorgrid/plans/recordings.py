@@ -62,7 +62,8 @@ def window_dataset(
     filtered = bandpass_filter(
         even, config.target_sampling_rate_hz, list(channels), config.filtering_method, config.filter_cutoff_hz,
         config.filter_order)
-    windows = window_signal(filtered, list(channels), config.window_size_samples, config.window_overlap)
+    # Written once: the group ids and the result both read the windows.
+    windows = cut(window_signal(filtered, list(channels), config.window_size_samples, config.window_overlap))
     with_spectrum = stft_spectrogram(
         windows, list(channels), n_fft or config.stft_window_size,
         config.stft_overlap if overlap is None else overlap)
