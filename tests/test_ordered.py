@@ -147,3 +147,13 @@ def test_spaced_selection(table, rows, gap, pieces):
 def test_spaced_selection_needs_a_gap(table):
     with pytest.raises(ValueError):
         select_spaced(table, ["k"], "i", "p", 0)
+
+
+def test_series_of_one_piece_need_no_summaries(monkeypatch, table, rows):
+    """Summaries are for series of several pieces; the others are walked at once."""
+    from tremorgrid.operators import greedy
+
+    want = collect(select_spaced(table, ["k"], "i", "p", 7, rows=16), "k", "i")
+    monkeypatch.setattr(greedy, "_summarise", None)
+    monkeypatch.setattr(greedy, "_hand_down", None)
+    assert collect(select_spaced(table, ["k"], "i", "p", 7), "k", "i") == want

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -92,18 +93,17 @@ def _hand_down(gap: int):
 
 
 def _walk(gap: int):
-    def build(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_i")
-        positions = pdf["_p"].to_numpy()
+    def build(key: tuple[pa.Scalar, ...], piece: pa.Table) -> pa.Table:
+        piece = piece.sort_by("_i")
+        positions = piece["_p"].to_numpy()
         follow = np.searchsorted(positions, positions + gap, side="left")
-        at = int(np.searchsorted(positions, int(pdf["_allowed"].iloc[0]), side="left"))
+        at = int(np.searchsorted(positions, piece["_allowed"][0].as_py(), side="left"))
         taken = []
         while at < len(positions):
             taken.append(at)
             at = int(follow[at])
-        if not taken:
-            return pd.DataFrame()
-        return _rows(key[:-1], {"_i": pdf["_i"].to_numpy()[taken]})
+        columns = {f"_k{n}": pa.repeat(value, len(taken)) for n, value in enumerate(key[:-1])}
+        return pa.table({**columns, "_i": piece["_i"].take(pa.array(taken, pa.int64()))})
     return build
 
 
@@ -126,8 +126,8 @@ def select_spaced(
     ids = [f"_k{n}" for n in range(len(keys))]
     types = {key: df.schema[key].dataType.simpleString() for key in keys}
     id_schema = "".join(f"_k{n} {types[key]}, " for n, key in enumerate(keys))
-    points = cut(df.select(*named, F.col(index).alias("_i"), F.col(position).alias("_p"),
-                           chunk_of(index, rows).alias("_node")))
+    points = cut(df.select(*named, F.col(index).cast("bigint").alias("_i"), F.col(position).alias("_p"),
+                           chunk_of(index, rows).cast("bigint").alias("_node")))
     summary_schema = id_schema + "_node bigint, _base bigint, _enter bigint, _leave bigint"
     state_schema = id_schema + "_node bigint, _allowed bigint"
 
@@ -137,24 +137,31 @@ def select_spaced(
         out = frame.applyInPandas(function, renamed)
         return out.withColumnRenamed(f"_k{len(keys)}", "_node")
 
-    top = points.agg(F.max("_node")).first()[0] or 0
-    levels = [cut(grouped(_summarise(gap), spread(points, *ids, "_node").groupBy(*ids, "_node"), summary_schema))]
-    while top >= fan_in:
-        parent = F.expr(f"_node div {fan_in}").alias("_parent")
-        levels.append(cut(grouped(
-            _compose(gap), levels[-1].withColumn("_parent", parent).groupBy(*ids, "_parent"), summary_schema
-        )))
-        top //= fan_in
-    state = None
-    for level in reversed(levels):
-        if state is None:
-            entered = level.withColumn("_allowed", F.lit(int(_OPEN))).withColumn("_parent", F.lit(0))
-        else:
-            parents = state.withColumnRenamed("_node", "_parent")
-            entered = null_safe_join(
-                level.withColumn("_parent", F.expr(f"_node div {fan_in}")), parents, [*ids, "_parent"])
-        state = cut(entered.groupBy(*ids, "_parent").applyInPandas(_hand_down(gap), state_schema))
-    ready = null_safe_join(points, state, [*ids, "_node"])
-    taken = spread(ready, *ids, "_node").groupBy(*ids, "_node").applyInPandas(_walk(gap), id_schema + "_i bigint")
+    # A series of one piece enters it open; only longer ones need their pieces summarised.
+    ends = cut(points.groupBy(*ids).agg(F.max("_node").alias("_top")).where("_top > 0"))
+    top = ends.agg(F.max("_top")).first()[0]
+    if top is None:
+        ready = points.withColumn("_allowed", F.lit(int(_OPEN)))
+    else:
+        long = null_safe_join(points, ends, ids, "left_semi") if ids else points
+        levels = [cut(grouped(_summarise(gap), spread(long, *ids, "_node").groupBy(*ids, "_node"), summary_schema))]
+        while top >= fan_in:
+            parent = F.expr(f"_node div {fan_in}").alias("_parent")
+            levels.append(cut(grouped(
+                _compose(gap), levels[-1].withColumn("_parent", parent).groupBy(*ids, "_parent"), summary_schema
+            )))
+            top //= fan_in
+        state = None
+        for level in reversed(levels):
+            if state is None:
+                entered = level.withColumn("_allowed", F.lit(int(_OPEN))).withColumn("_parent", F.lit(0))
+            else:
+                parents = state.withColumnRenamed("_node", "_parent")
+                entered = null_safe_join(
+                    level.withColumn("_parent", F.expr(f"_node div {fan_in}")), parents, [*ids, "_parent"])
+            state = cut(entered.groupBy(*ids, "_parent").applyInPandas(_hand_down(gap), state_schema))
+        ready = null_safe_join(points, state, [*ids, "_node"], "left").withColumn(
+            "_allowed", F.coalesce("_allowed", F.lit(int(_OPEN))))
+    taken = spread(ready, *ids, "_node").groupBy(*ids, "_node").applyInArrow(_walk(gap), id_schema + "_i bigint")
     back = taken.select(*[F.col(f"_k{n}").alias(key) for n, key in enumerate(keys)], F.col("_i").alias(index))
     return null_safe_join(df, back, [*keys, index], "left_semi")
