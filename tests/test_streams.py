@@ -211,3 +211,22 @@ def test_only_changed_totals_are_written(spark, tmp_path):
     spark.createDataFrame(again, counts.schema).write.mode("overwrite").parquet(str(tmp_path / "o" / "version=1"))
     assert {r.device_id: r.raw_packets for r in sp.latest_totals(
         spark.read.parquet(str(tmp_path / "o")), ["device_id"]).collect()} == want
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_many_devices_share_groups(spark, tmp_path, kind):
+    """The state has a row per bucket and not per device; every device, the null one too, keeps its own memory."""
+    from tremorgrid.streaming.state import BUCKETS
+
+    devices = [None, *range(BUCKETS + 200)]
+    rows = [(d, START + timedelta(seconds=n), (1 << 60) + n, ["accel", "gyro"][n % 2], float((d or 0) * 10 + n)) for d in devices for n in range(8)]
+    df = spark.createDataFrame(rows, "device_id bigint, ts timestamp, seq bigint, type string, v0 double")
+    df = df.withColumn("device_id", F.col("device_id").cast(kind))
+    windows = sw.stream_windows(stream_of(spark, df, tmp_path / "in", 2), ["v0"], size=3)
+    run = windows.withColumn("sum", F.aggregate("a_v0", F.lit(0.0), lambda a, x: a + x)).writeStream.format("parquet").option(
+        "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(str(tmp_path / "o"))
+    run.awaitTermination()
+    assert 0 < run.lastProgress["stateOperators"][0]["numRowsTotal"] <= BUCKETS
+    got = {(r.device_id, r.seq - (1 << 60)): r.sum for r in spark.read.parquet(str(tmp_path / "o")).collect()}
+    named = {None: None} | {d: d if kind == "bigint" else str(d) for d in devices[1:]}
+    assert got == {(named[d], n): 3.0 * ((d or 0) * 10) + 3 * (n - 3) for d in devices for n in (5, 7)}

@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import pandas as pd
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tremorgrid.functions.expressions import FRAME_BYTES, HEADER
-
-_STATE = "tail binary, start bigint, frame_no bigint"
+from tremorgrid.streaming.state import Rows, stateful
 
 
 def cut_frames(data: bytes, start: int) -> tuple[list[tuple[int, bytes]], int]:
@@ -31,19 +27,16 @@ def stream_frames(chunks: DataFrame, device: str = "device_id", order: str = "se
 
     The streaming form of ``frame_chunks``, with the same rows for the same bytes. Between micro-batches a device keeps
     the bytes of an unfinished frame (at most one byte less than a frame), their offset in its stream and the number of
-    the next frame, as typed columns. Chunks of a device are taken in ``order`` within a micro-batch and must not
+    the next frame. Chunks of a device are taken in ``order`` within a micro-batch and must not
     arrive in an earlier one than chunks that come before them; null and empty chunks add nothing.
     """
-    def run(keys: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tail, start, number = state.get if state.exists else (b"", 0, 0)
-        rows = pd.concat(list(frames), ignore_index=True).sort_values(order, kind="stable")
-        data = bytes(tail) + b"".join(bytes(c) for c in rows[chunk] if c is not None)
+    def step(memory: dict, rows: Rows) -> dict | None:
+        start, number = memory.get("start", 0), memory.get("frame_no", 0)
+        data = bytes.fromhex(memory.get("tail", "")) + b"".join(bytes(c) for c in rows[chunk] if c is not None)
         found, used = cut_frames(data, start)
-        state.update((data[used:], start + used, number + len(found)))
-        if found:
-            yield pd.DataFrame({device: [keys[0]] * len(found), "frame_no": range(number, number + len(found)),
-                                "offset": [at for at, _ in found], "frame": [frame for _, frame in found]})
-
-    schema = f"{device} {chunks.schema[device].dataType.simpleString()}, frame_no bigint, offset bigint, frame binary"
-    return chunks.select(device, order, F.col(chunk)).groupBy(device).applyInPandasWithState(
-        run, schema, _STATE, "append", GroupStateTimeout.NoTimeout)
+        memory.update(tail=data[used:].hex(), start=start + used, frame_no=number + len(found))
+        return {"frame_no": np.arange(number, number + len(found)), "offset": [at for at, _ in found],
+                "frame": [frame for _, frame in found]}
+
+    return stateful(chunks.select(device, order, F.col(chunk)), step, "frame_no bigint, offset bigint, frame binary",
+                    key=device, order=(order,))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,16 +11,12 @@ from tremorgrid.operators.metrics import stream_counts
 from tremorgrid.operators.ordered import null_safe_join
 from tremorgrid.operators.votes import majority_present, vote_with_confidence
 from tremorgrid.sources.logs import append_log, dl_log_rows, ml_log_rows
-from tremorgrid.streaming.state import stateful, walk
+from tremorgrid.streaming.state import Rows, stateful, walk
 
 _WIDE = [f"{m}_{part}" for m in MODELS for part in ("label", "confidence")]
 _WIDE_SCHEMA = ", ".join(f"{c} {'string' if c.endswith('label') else 'double'}" for c in _WIDE)
 
 
-def _device_type(df: DataFrame) -> str:
-    return df.schema["device_id"].dataType.simpleString()
-
-
 def stream_vote(dl: DataFrame, ml: DataFrame, seconds: float = 2.0) -> DataFrame:
     """Vote on each multi-model prediction together with the latest single-model one if recent.
 
@@ -34,28 +29,24 @@ def stream_vote(dl: DataFrame, ml: DataFrame, seconds: float = 2.0) -> DataFrame
                       *[F.lit(None).cast("string" if c.endswith("label") else "double").alias(c) for c in _WIDE],
                       "label", "confidence")
 
-    def step(memory: dict, rows: pd.DataFrame, micros: np.ndarray) -> pd.DataFrame | None:
-        is_ml = (rows["_side"] == 0).to_numpy()
-        at = np.maximum.accumulate(np.where(is_ml, np.arange(len(rows)), -1))
+    def step(memory: dict, rows: Rows) -> dict | None:
+        micros, is_ml = rows["_us"], rows["_side"] == 0
+        at = np.maximum.accumulate(np.where(is_ml, np.arange(len(is_ml)), -1))
         old = memory.get("ml") or [None, None, None]
         mine = np.flatnonzero(~is_ml)
         source = at[mine]
         times = np.where(source >= 0, micros[np.maximum(source, 0)], old[0] if old[0] is not None else -(1 << 60))
         recent = micros[mine] - times < seconds * 1e6
-        label, confidence = rows["label"].to_numpy(dtype=object), rows["confidence"].to_numpy()
+        label, confidence = rows["label"], rows["confidence"]
         if at[-1] >= 0:
             memory["ml"] = [int(micros[at[-1]]), label[at[-1]], float(confidence[at[-1]])]
-        if not len(mine):
-            return None
-        out = rows.loc[mine, ["ts", "seq", *_WIDE]].reset_index(drop=True)
-        out["ml_label"] = [
-            (label[s] if s >= 0 else old[1]) if ok else None for s, ok in zip(source, recent)]
-        out["ml_confidence"] = np.array(
-            [(confidence[s] if s >= 0 else old[2]) if ok else np.nan for s, ok in zip(source, recent)], dtype=float)
-        return out
+        return {**{c: rows[c][mine] for c in ("ts", "seq", *_WIDE)}, "ml_label": [
+            (label[s] if s >= 0 else old[1]) if ok else None for s, ok in zip(source, recent)],
+            "ml_confidence": np.array(
+                [(confidence[s] if s >= 0 else old[2]) if ok else np.nan for s, ok in zip(source, recent)], dtype=float)}
 
-    schema = f"device_id {_device_type(dl)}, ts timestamp, seq bigint, {_WIDE_SCHEMA}, ml_label string, ml_confidence double"
-    joined = predictions_map(stateful(left.unionByName(right), step, schema, tie="_side"))
+    schema = f"ts timestamp, seq bigint, {_WIDE_SCHEMA}, ml_label string, ml_confidence double"
+    joined = predictions_map(stateful(left.unionByName(right), step, schema, order=("_us", "_side", "seq")))
     ml_confidence = F.when(F.col("ml_label").isNotNull(), F.col("ml_confidence"))
     return joined.withColumn("ml_confidence", ml_confidence).withColumn(
         "is_fault", vote_with_confidence(F.col("predictions"), F.col("ml_label"), ml_confidence))
@@ -84,17 +75,18 @@ def stream_alerts(
             *[F.lit(None).cast("string" if c.endswith("label") else "double").alias(c) for c in _WIDE],
             *[F.col(c.removeprefix("ml_")).alias(c) for c in _ML]))
 
-    def step(memory: dict, rows: pd.DataFrame, micros: np.ndarray) -> pd.DataFrame | None:
-        is_ml = (rows["_side"] == 0).to_numpy()
-        at = np.maximum.accumulate(np.where(is_ml, np.arange(len(rows)), -1))
-        told, old = rows[list(_ML)].to_numpy(dtype=object), memory.get("ml")
+    def step(memory: dict, rows: Rows) -> dict | None:
+        micros, is_ml = rows["_us"], rows["_side"] == 0
+        at = np.maximum.accumulate(np.where(is_ml, np.arange(len(is_ml)), -1))
+        old = memory.get("ml")
+        told = lambda n: [rows[c][n] for c in _ML]
         if at[-1] >= 0:
-            label, *numbers = told[at[-1]]
+            label, *numbers = told(at[-1])
             memory["ml"] = [int(micros[at[-1]]), label, *map(float, numbers)]
         mine = np.flatnonzero(~is_ml)
         if not len(mine):
             return None
-        fault = rows["is_fault"].to_numpy(dtype=bool)[mine]
+        fault = rows["is_fault"][mine].astype(bool)
         n = np.arange(len(fault))
         broken = np.maximum.accumulate(np.where(fault, -1, n))
         streak = np.where(broken >= 0, n - broken, n + 1 + memory.get("streak", 0))
@@ -104,17 +96,16 @@ def stream_alerts(
         if not taken:
             return None
         chosen = candidates[taken]
-        out = rows.loc[chosen, ["ts", "seq", *_WIDE]].reset_index(drop=True)
-        latest = [(int(micros[at[c]]), *told[at[c]]) if at[c] >= 0 else old for c in chosen]
+        latest = [(int(micros[at[c]]), *told(at[c])) if at[c] >= 0 else old for c in chosen]
         recent = [m[1:] if m and micros[c] - m[0] < ml_seconds * 1e6 else (None, None, None) for m, c in zip(latest, chosen)]
+        out = {c: rows[c][chosen] for c in ("ts", "seq", *_WIDE)}
         for k, (name, kind) in enumerate(_ML.items()):
             values = [m[k] for m in recent]
             out[name] = values if kind == "string" else np.array(values, dtype=float)
         return out
 
-    schema = f"device_id {_device_type(dl)}, ts timestamp, seq bigint, {_WIDE_SCHEMA}, " + ", ".join(
-        f"{c} {t}" for c, t in _ML.items())
-    alerts = predictions_map(stateful(rows, step, schema, tie="_side"))
+    schema = f"ts timestamp, seq bigint, {_WIDE_SCHEMA}, " + ", ".join(f"{c} {t}" for c, t in _ML.items())
+    alerts = predictions_map(stateful(rows, step, schema, order=("_us", "_side", "seq")))
     told = F.when(F.col("ml_label").isNotNull(), F.struct(
         F.col("ml_label").alias("label"), F.col("ml_confidence").alias("confidence"),
         F.col("ml_total_time_ms").alias("total_ms")))
@@ -172,17 +163,14 @@ def stream_recent(rows: DataFrame, values: list[str], keep: int = 200) -> DataFr
 
     ``version`` counts the micro-batches of a device; ``latest_version`` picks the last one.
     """
-    def step(memory: dict, batch: pd.DataFrame, micros: np.ndarray) -> pd.DataFrame:
-        new = [[int(t), int(s), *map(float, v)] for t, s, v in zip(micros, batch["seq"], batch[values].to_numpy())]
+    def step(memory: dict, batch: Rows) -> dict:
+        new = [[int(t), int(s), *map(float, v)] for t, s, *v in zip(batch["_us"], batch["seq"], *(batch[v] for v in values))]
         memory["rows"] = ((memory.get("rows") or []) + new)[-keep:]
-        newest = memory["rows"][::-1]
         memory["batch"] = memory.get("batch", 0) + 1
-        out = pd.DataFrame(newest, columns=["_us", "seq", *values])
-        out["ts"] = pd.to_datetime(out.pop("_us"), unit="us")
-        out["recency"] = np.arange(1, len(out) + 1)
-        out["version"] = memory["batch"]
-        return out[["ts", "seq", *values, "recency", "version"]]
-
-    schema = f"device_id {_device_type(rows)}, ts timestamp, seq bigint, " + \
-        ", ".join(f"{v} double" for v in values) + ", recency bigint, version bigint"
+        times, seqs, *numbers = zip(*memory["rows"][::-1])
+        return {"ts": np.array(times, dtype="datetime64[us]"), "seq": np.array(seqs),
+                **{v: np.array(n, dtype=float) for v, n in zip(values, numbers)},
+                "recency": np.arange(1, len(times) + 1), "version": np.full(len(times), memory["batch"])}
+
+    schema = "ts timestamp, seq bigint, " + ", ".join(f"{v} double" for v in values) + ", recency bigint, version bigint"
     return stateful(rows.select("device_id", "ts", "seq", *values), step, schema)

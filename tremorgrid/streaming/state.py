@@ -4,6 +4,10 @@ A device's rows within a micro-batch are put in (ts, seq) order; micro-batches c
 their arrival, so a row that comes late is processed when it comes and none is dropped. State per device
 is bounded by the buffer sizes, and the rows of a micro-batch by the source's rate limit
 (``maxFilesPerTrigger``, ``maxOffsetsPerTrigger``). State is kept as long as the checkpoint.
+
+Devices are dealt to ``BUCKETS`` buckets by a hash and a bucket is one group of the stateful operator, since a group's
+call, its frames and its state cost milliseconds and a device's step only a fraction of one. A bucket's state holds the
+memories of its devices and is written again when one of them sends rows.
 """
 
 from __future__ import annotations
@@ -14,40 +18,71 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-STATE_SCHEMA = "memory string"
+STATE_SCHEMA = "memories string"
+#: Groups that the devices of a stream are dealt to; fixed for the life of a checkpoint.
+BUCKETS = 1024
+
+Rows = dict[str, np.ndarray]
 
 
 def _micros(column: pd.Series) -> np.ndarray:
     return column.to_numpy().astype("datetime64[us]").astype(np.int64)
 
 
+def _put_together(parts: list[dict], column: str):
+    """One column of several devices' results; arrays stay arrays, so that times and numbers keep their types."""
+    pieces = [part[column] for part in parts]
+    if all(isinstance(piece, np.ndarray) for piece in pieces):
+        return np.concatenate(pieces)
+    return [value for piece in pieces for value in piece]
+
+
 def stateful(
-    df: DataFrame, step: Callable[[dict, pd.DataFrame, np.ndarray], pd.DataFrame], schema: str,
-    key: str = "device_id", tie: str | None = None,
+    df: DataFrame, step: Callable[[dict, Rows], dict | None], schema: str, key: str = "device_id",
+    order: tuple[str, ...] = ("_us", "seq"), buckets: int = BUCKETS,
 ) -> DataFrame:
-    """Run ``step(memory, rows, micros)`` per device and micro-batch on ordered rows.
+    """Run ``step(memory, rows)`` per device and micro-batch on the device's rows in ``order``.
 
-    ``memory`` is a JSON-compatible dict that the step changes in place. ``tie`` names a column that
-    orders rows of equal time before ``seq`` does.
+    ``rows`` holds an array per column of ``df``, and the microseconds of ``ts``, if there is one, as ``_us``. ``memory``
+    is a JSON-compatible dict that the step changes in place; the step returns the columns of ``schema`` or None. The
+    result has ``key`` in front of them. Null keys are one device.
     """
-    order = [name for name in ("_us", tie, "seq") if name]
+    columns = [c for c in df.columns if c != key]
 
     def run(keys: tuple, frames: Iterable[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        memory = json.loads(state.get[0]) if state.exists else {}
+        memories = dict(json.loads(state.get[0])) if state.exists else {}
         rows = pd.concat(list(frames), ignore_index=True)
-        rows["_us"] = _micros(rows["ts"])
-        rows = rows.sort_values(order, ignore_index=True)
-        out = step(memory, rows, rows["_us"].to_numpy())
-        state.update((json.dumps(memory),))
-        if out is not None and len(out):
-            yield out.assign(**{key: keys[0], "_spare": 0})
+        device, names = pd.factorize(rows["_key"])  # -1 stands for the null key
+        rows["_device"] = device
+        if "ts" in columns:
+            rows["_us"] = _micros(rows["ts"])
+        rows = rows.sort_values(["_device", *order], kind="stable", ignore_index=True)
+        device, names = rows["_device"].to_numpy(), names.tolist()
+        arrays = {c: rows[c].to_numpy() for c in rows.columns if c not in ("_key", "_bucket", "_device")}
+        edges = np.flatnonzero(np.diff(device)) + 1
+        owners, parts = [], []
+        for begin, end in zip([0, *edges.tolist()], [*edges.tolist(), len(device)]):
+            name = names[device[begin]] if device[begin] >= 0 else None
+            memory = memories.setdefault(name, {})
+            out = step(memory, {c: values[begin:end] for c, values in arrays.items()})
+            size = 0 if out is None else len(next(iter(out.values())))
+            if size:
+                owners += [name] * size
+                parts.append(out)
+        state.update((json.dumps(list(memories.items())),))
+        if parts:
+            yield pd.DataFrame({"_key": pd.Series(owners, dtype=object), "_spare": 0,
+                                **{c: _put_together(parts, c) for c in parts[0]}})
 
+    dealt = df.select(F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("_bucket"),
+                      F.col(key).cast("string").alias("_key"), *columns)
+    out = dealt.groupBy("_bucket").applyInPandasWithState(
+        run, f"_key string, _spare int, {schema}", STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
     # The spare column is dropped by a projection, without which rows of this operator cannot enter an Arrow function.
-    out = df.groupBy(key).applyInPandasWithState(
-        run, f"{schema}, _spare int", STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
-    return out.drop("_spare")
+    return out.select(F.col("_key").cast(df.schema[key].dataType).alias(key), *out.columns[2:])
 
 
 def walk(micros: np.ndarray, last: int | None, gap: int) -> tuple[list[int], int | None]:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +11,7 @@ from tremorgrid.functions.expressions import top_class
 from tremorgrid.operators.features import top20_features
 from tremorgrid.operators.models import Network, network_probabilities, score_windows
 from tremorgrid.operators.signals import stft_spectrogram
-from tremorgrid.streaming.state import stateful, walk
+from tremorgrid.streaming.state import Rows, stateful, walk
 
 
 def _carry_forward(memory: dict, accel: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +59,9 @@ def stream_windows(
     names = [f"a_{v}" for v in values] + [f"w_{v}" for v in values]
     gap = None if every_seconds is None else round(every_seconds * 1_000_000) + 1
 
-    def step(memory: dict, rows: pd.DataFrame, micros: np.ndarray) -> pd.DataFrame | None:
-        samples, at = pair(memory, (rows["type"] == "accel").to_numpy(), rows[values].to_numpy(dtype=float))
+    def step(memory: dict, rows: Rows) -> dict | None:
+        table = np.column_stack([rows[v].astype(float) for v in values])
+        samples, at = pair(memory, rows["type"] == "accel", table)
         held = memory.get("buffer") or []
         joined = np.vstack([np.array(held).reshape(-1, len(names)), samples])
         memory["buffer"] = joined[-(size - 1):].tolist() if size > 1 else []
@@ -69,19 +69,14 @@ def stream_windows(
             return None
         windows = np.lib.stride_tricks.sliding_window_view(joined, size, axis=0)
         ends = at[len(at) - len(windows):]
-        chosen = np.arange(len(windows))
         if gap is not None:
-            taken, memory["emitted"] = walk(micros[ends], memory.get("emitted"), gap)
+            taken, memory["emitted"] = walk(rows["_us"][ends], memory.get("emitted"), gap)
             chosen = np.array(taken, dtype=int)
-        if not len(chosen):
-            return None
-        out = rows.loc[ends[chosen], ["ts", "seq"]].reset_index(drop=True)
-        for n, name in enumerate(names):
-            out[name] = list(windows[chosen, n])
-        return out
+            windows, ends = windows[chosen], ends[chosen]
+        return {"ts": rows["ts"][ends], "seq": rows["seq"][ends],
+                **{name: list(windows[:, n]) for n, name in enumerate(names)}}
 
-    schema = "device_id {}, ts timestamp, seq bigint, {}".format(
-        packets.schema["device_id"].dataType.simpleString(), ", ".join(f"{n} array<double>" for n in names))
+    schema = "ts timestamp, seq bigint, " + ", ".join(f"{n} array<double>" for n in names)
     sensor = packets.where(F.col("type").isin("accel", "gyro")).select("device_id", "ts", "seq", "type", *values)
     return stateful(sensor, step, schema)
 
