@@ -131,3 +131,26 @@ def test_times_that_cannot_be_read(spark, tmp_path):
 
     with pytest.raises(Exception, match="no readable time in bad.csv"):
         quality.sampling_metrics(lenient).collect()
+
+
+def test_lines_are_written_once(spark, tmp_path):
+    """Several splits to a file, lines numbered through them, and one intermediate copy of the lines."""
+    from tremorgrid import session
+
+    for number in range(2):
+        write_csv(tmp_path, f"good {number}.csv", [line(n / 10) if n % 9 else "" for n in range(300)])
+    before, known = spark.conf.get("spark.sql.files.maxPartitionBytes"), set(session.tables(spark))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = recordings.read_recordings(spark, str(tmp_path)).orderBy("file", "i").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    kept = 300 - len(range(0, 300, 9))
+    assert [(r.file, r.i) for r in got] == [(f"good {f}.csv", i) for f in range(2) for i in range(kept)]
+    for number in range(2):
+        times = [r.ts for r in got if r.file == f"good {number}.csv"]
+        assert times == sorted(times)
+    written = [p for p in session.tables(spark) if p not in known]
+    assert sum("value" in spark.read.parquet(p).columns for p in written) == 1

@@ -5,14 +5,13 @@ from __future__ import annotations
 import re
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremorgrid.functions.expressions import (
     coerce_number, encode_label, label_from_name, parse_time, require_some_time,
 )
 from tremorgrid.operators import quality
-from tremorgrid.operators.ordered import indexed_table
 from tremorgrid.session import cut
 from tremorgrid.settings import CHANNELS, CONFIG_SCHEMA, TIMESTAMP_COLUMN, SignalConfig
 
@@ -63,6 +62,19 @@ def _positions(headers: DataFrame, names: list[str], separator: str) -> DataFram
     return found.select("file", "_width", "_at")
 
 
+def _numbered(lines: DataFrame) -> DataFrame:
+    """Lines with their position ``i`` in their file.
+
+    A split of a file (``_path``, ``_block``) is read by one task in its order, so lines are counted where they are read
+    and written once, without a shuffle; the splits, one thin row each, are put in order and tell where each one begins.
+    """
+    placed = cut(lines.withColumn("_at", F.monotonically_increasing_id()))
+    spans = placed.groupBy("file", "_path", "_block").agg(F.min("_at").alias("_low"), F.count(F.lit(1)).alias("_rows"))
+    before = Window.partitionBy("file").orderBy("_block", "_low").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cut(spans.select("file", "_path", "_block", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_low")).alias("_shift")))
+    return placed.join(starts, ["file", "_path", "_block"]).select("file", (F.col("_at") + F.col("_shift")).alias("i"), "value")
+
+
 def read_recordings(
     spark: SparkSession, directory: str, pattern: str = "*.csv", channels=CHANNELS, encoding: str = "UTF-8",
     separator: str = ",", require_times: bool = True,
@@ -84,9 +96,9 @@ def read_recordings(
         raise FileNotFoundError(f"no files match '{pattern}' in {directory}") from error
     name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     text = F.col("value") if encoding.upper() in ("UTF-8", "UTF8") else F.decode(F.col("value").cast("binary"), encoding)
-    lines = raw.select(name.alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-                       F.monotonically_increasing_id().alias("_line"), text.alias("value")).where("trim(value) <> ''")
-    numbered = indexed_table(lines, ["file"], ["_block", "_line"])
+    numbered = _numbered(raw.select(
+        name.alias("file"), F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"),
+        text.alias("value")).where("trim(value) <> ''"))
     names = [TIMESTAMP_COLUMN, *channels]
     positions = _positions(numbered.where("i = 0").select("file", "value"), names, separator)
     width = positions.agg(F.max("_width")).first()[0]
@@ -96,7 +108,8 @@ def read_recordings(
         F.get("_cells", (F.get("_at", F.lit(n)) - 1).cast("int")).alias(c) for n, c in enumerate(names)])
     typed = coerce_channels(picked, channels)
     if require_times:
-        typed = typed.join(require_some_time(typed), "file").where("readable > 0").drop("readable")  # the guard is evaluated
+        readable = cut(require_some_time(typed))  # one row per file, written: the rows are not shuffled to meet them
+        typed = typed.join(readable, "file").where("readable > 0").drop("readable")
     return typed.select("file", label_from_name(F.col("file")).alias("label"), "i", "ts", *channels)
 
 
