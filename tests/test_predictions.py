@@ -1,4 +1,5 @@
 import random
+import struct
 from datetime import datetime, timedelta
 
 import pytest
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 from tremorgrid.functions import expressions as ex
 from tremorgrid.operators import joins, metrics, splits, votes
 from tremorgrid.operators.frames import frame_chunks
-from tremorgrid.plans import reports
+from tremorgrid.plans import catalog_predictions, reports
 
 START = datetime(2024, 1, 1)
 
@@ -103,6 +104,31 @@ def test_decoding(spark):
     assert (second.type, second.x, second.z, second.temp, second.x_g) == ("gyro", 1000.0, -2000.0, -1.0, None)
 
 
+def test_a_frame_is_taken_apart_once(spark):
+    """Random frames as Python reads them; each is turned into numbers once, not again in every filter and column."""
+    rng = random.Random(4)
+    rows = [(n, bytearray(frame(rng.choice([0x51, 0x52]), [rng.randint(-32768, 32767) for _ in range(4)], good=n % 7 > 0)))
+            for n in range(200)]
+    out = ex.decode_frames(spark.createDataFrame(rows, "seq int, frame binary"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("conv(") == 2
+    got = {r.seq: (r.type, r.x, r.y, r.z, r.temp) for r in out.collect()}
+    for n, data in rows:
+        _, kind, *v, _ = struct.unpack("<BBhhhhB", data)
+        scale = 16 * 9.8 / 32768 if kind == 0x51 else 2000 / 32768
+        assert got.get(n) == ((("accel", "gyro")[kind - 0x51], *[pytest.approx(x * scale, rel=1e-12) for x in v[:3]], v[3] / 100)
+                              if n % 7 else None)
+
+
+def test_decoding_does_not_order_events(spark, tmp_path):
+    rows = [(n, 3 if n % 2 else None, START, "view", None if n == 4 else n / 8, "{}") for n in range(40)]
+    spark.createDataFrame(
+        rows, "event_id bigint, user_id bigint, ts timestamp, event_type string, value double, props string").write.parquet(
+        f"{tmp_path}/events.parquet")
+    out = catalog_predictions.decode_frames(spark, str(tmp_path))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {r.seq for r in out.collect()} == {n for n in range(40) if n % 5 != 4 and n % 17}
+
+
 def prediction(**models):
     return {name: {"label": label, "confidence": c, "probs": None} for name, (label, c) in models.items()}
 

@@ -70,22 +70,25 @@ def parse_chip_time(spark, sf_dir):
     return fx.events(spark, sf_dir).select("seq", F.unix_micros(ex.parse_time(text)).alias("us"))
 
 
-def _hex16(value):
-    raw = F.lpad(F.hex(F.pmod(value, F.lit(65536))), 4, "0")
-    return F.concat(F.substring(raw, 3, 2), F.substring(raw, 1, 2))
+def _swapped(value):
+    """The two low bytes of a number, exchanged."""
+    return F.shiftleft(value.bitwiseAND(255), 8) + F.shiftright(value, 8).bitwiseAND(255)
 
 
-def _frames(spark, sf_dir):
+def _frames(spark, sf_dir, rows=None):
     """Events as 11-byte frames; every 17th has a wrong checksum, every 5th type is neither."""
     n = F.col("seq")
     q = (F.col("value") * 100).cast("int").cast("bigint")
-    kind = F.when(n % 5 == 4, 0x53).when(n % 2 == 0, ex.ACCEL_TYPE).otherwise(ex.GYRO_TYPE)
-    values = (q, F.expr("cast(value * 100 as int) div 2"), -q, F.lit(2500))
-    body = F.concat(F.lit("55"), F.hex(kind.cast("bigint")), *[_hex16(v) for v in values])
-    total = F.aggregate(ex.frame_bytes("_body", 10), F.lit(0), lambda s, v: s + v)
-    check = F.pmod(total + F.when(n % 17 == 0, 1).otherwise(0), F.lit(256))
-    return fx.series(spark, sf_dir).withColumn("_body", F.unhex(body)).withColumn(
-        "frame", F.concat("_body", F.unhex(F.lpad(F.hex(check.cast("bigint")), 2, "0")))).drop("_body")
+    kind = F.when(n % 5 == 4, 0x53).when(n % 2 == 0, ex.ACCEL_TYPE).otherwise(ex.GYRO_TYPE).cast("bigint")
+    values = (q, F.expr("cast(value * 100 as int) div 2"), -q, F.lit(2500).cast("bigint"))
+    named = {f"_v{k}": _swapped(v) for k, v in enumerate(values)}
+    v = [F.col(c) for c in named]
+    total = sum((x.bitwiseAND(255) + F.shiftright(x, 8) for x in v), kind + 0x55)
+    check = (total + F.when(n % 17 == 0, 1).otherwise(0)).bitwiseAND(255)
+    lead = F.shiftleft(F.lit(0x55).cast("bigint"), 40) + F.shiftleft(kind, 32) + F.shiftleft(v[0], 16) + v[1]
+    rest = F.shiftleft(v[2], 24) + F.shiftleft(v[3], 8) + check
+    whole = F.unhex(F.concat(F.hex(lead), F.lpad(F.hex(rest), 10, "0")))
+    return (fx.series(spark, sf_dir) if rows is None else rows).withColumns(named).withColumn("frame", whole).drop(*named)
 
 
 SQL_FRAMES = fx.SQL_SERIES + """, frames AS (
@@ -105,7 +108,8 @@ def _decoded(df):
 
 @query("exp5_decode_frames", f"WITH {SQL_FRAMES} SELECT device_id, seq, type, x, y, z, temp, x_g FROM decoded")
 def decode_frames(spark, sf_dir):
-    out = ex.decode_frames(_frames(spark, sf_dir).select("device_id", "seq", "frame"))
+    """A frame is decoded by itself, so the events are not put in order."""
+    out = ex.decode_frames(_frames(spark, sf_dir, fx.events(spark, sf_dir)).select("device_id", "seq", "frame"))
     return _decoded(out).select("device_id", "seq", "type", "x", "y", "z", "temp", "x_g")
 
 
