@@ -2,6 +2,7 @@
 
 import json
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -101,3 +102,25 @@ def test_boosting_counts_only_drawn_rows():
     slope, weight = np.where(values.T < 60, 1.0, -1.0), (np.arange(64) < 62).astype(float)
     assert boosting._grow(binned, edges, slope, weight, 1, 2)[1][0, 0] == 59
     assert boosting._grow(binned, edges, slope, weight, 1, 3)[1][0, 0] < 59
+
+
+def test_network_trials_run_side_by_side(monkeypatch, spark):
+    """Two trials are under way at once, and the best is the first of those with the highest accuracy."""
+    met, seen = threading.Barrier(2, timeout=60), []
+
+    def crossed(df, estimator, folds, keep, **kwargs):
+        seen.append(estimator.getStages()[-1].getLayers())
+        met.wait()
+        right = 0 if estimator.getStages()[-1].getLayers()[1] == 32 else 1
+        return spark.createDataFrame([(0, 0, 0, [1.0, 0.0]), (1, 1, right, [0.5, 0.5])],
+                                     "fold int, y_true int, y_pred int, probs array<double>")
+
+    rows = [([n / 10, 1 - n / 10], n % 2, n % 2, n % 5 == 0) for n in range(20)]
+    table = spark.createDataFrame(rows, "x array<double>, label_id int, fold int, holdout boolean")
+    monkeypatch.setattr(models, "cross_val_predict", crossed)
+    _, best, study = models.tune_neural(table, "time", 2, 2, 4, ["x"], max_iter=2)
+    draws = models.sample_params(models.NETWORK_SPACE, 4, 42)
+    found = study.orderBy("model_order").collect()
+    assert [json.loads(r["params"]) for r in found] == draws and len(seen) == 4
+    assert [r["best_score"] for r in found] == [0.5 if d["first"] == 32 else 1.0 for d in draws]
+    assert best == next(d for d in draws if d["first"] != 32)
