@@ -52,6 +52,19 @@ def test_whole_jobs(monkeypatch, spark):
     assert (tuned["folds"], tuned["trials"], tuned["max_iter"]) == (5, 15, 60)
 
 
+def test_windows_are_made_once_for_the_serving_table(monkeypatch, spark):
+    """The folds, which read their input twice, are dealt over written rows."""
+    def dealt(df, folds):
+        raise Called({"plan": df._jdf.queryExecution().executedPlan().toString()})
+
+    monkeypatch.setattr(catalog_models.splits, "group_kfold", dealt)
+    monkeypatch.setattr(catalog_models.fx, "_STORED", {})
+    with pytest.raises(Called) as called:
+        catalog_models.top20_table(spark, SMALL)
+    plan = called.value.args[0]["plan"]
+    assert "Scan parquet" in plan and "ArrowEvalPython" not in plan and "Exchange" not in plan
+
+
 def test_search_families(monkeypatch, spark):
     """Both families, 30 draws each from the stated spaces, and one winner."""
     seen = []
