@@ -230,3 +230,37 @@ def test_many_devices_share_groups(spark, tmp_path, kind):
     got = {(r.device_id, r.seq - (1 << 60)): r.sum for r in spark.read.parquet(str(tmp_path / "o")).collect()}
     named = {None: None} | {d: d if kind == "bigint" else str(d) for d in devices[1:]}
     assert got == {(named[d], n): 3.0 * ((d or 0) * 10) + 3 * (n - 3) for d in devices for n in (5, 7)}
+
+
+def test_a_stream_begins_with_few_state_partitions(spark, packets, tmp_path):
+    """A session's 200 partitions would be 200 tasks, each with a process of its own, in every micro-batch."""
+    from tremorgrid.streaming.state import STATE_PARTITIONS, begin
+
+    asked = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        windows = sw.stream_windows(stream_of(spark, packets, tmp_path / "in", 2), ["v0", "v1"], size=6)
+        writer = windows.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True)
+        run = begin(writer, spark, str(tmp_path / "o"))
+        run.awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "200"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", asked)
+    many = run.lastProgress["stateOperators"][0]["numShufflePartitions"]
+    assert many == max(STATE_PARTITIONS, 2 * spark.sparkContext.defaultParallelism)
+    per_device = {r.device_id: r["count"] for r in spark.read.parquet(str(tmp_path / "o")).groupBy("device_id").count().collect()}
+    assert set(per_device) == {0, 1} and min(per_device.values()) > 6
+
+
+def test_files_of_a_micro_batch_grow_with_the_table(spark, packets, monkeypatch):
+    """More files a part, and still one part a micro-batch."""
+    from tremorgrid.plans import catalog_streams as cs
+
+    monkeypatch.setattr(cs, "FILE_ROWS", 40)
+    cuts = cs.time_cuts(packets)
+    rows = cs.finish(spark, cs.as_stream(spark, packets, cuts).withColumn("file", F.col("_metadata.file_path")))
+    ts = F.unix_micros("ts")
+    part = sum(F.when(ts >= c, 1).otherwise(0) for c in cuts)
+    files = {r.part: r.files for r in rows.groupBy(part.alias("part")).agg(F.countDistinct("file").alias("files")).collect()}
+    assert files == dict.fromkeys(range(cs.BATCHES), packets.count() // 40)
+    assert rows.groupBy("file").agg(F.countDistinct(part).alias("n")).where("n > 1").count() == 0

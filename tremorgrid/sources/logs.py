@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tremorgrid.functions.expressions import MODELS, PREDICTION, flatten_predictions
 from tremorgrid.operators.votes import majority_three
+from tremorgrid.streaming.state import begin
 
 PACKET_SCHEMA = T.StructType(
     [T.StructField("type", T.StringType())]
@@ -79,7 +80,7 @@ def write_prediction_stream(df: DataFrame, columns: list[str], path: str, checkp
     """Start a checkpointed query that publishes the columns as one JSON message per row."""
     writer = to_message(df, columns).writeStream.format(fmt).options(**options).option(
         "checkpointLocation", checkpoint).trigger(availableNow=True)
-    return writer.start() if fmt == "kafka" else writer.start(path)
+    return begin(writer, df.sparkSession, None if fmt == "kafka" else path)
 
 
 def dl_log_rows(df: DataFrame, predictions: str = "predictions", created_at: Column | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from tremorgrid.operators.metrics import stream_counts
 from tremorgrid.operators.ordered import null_safe_join
 from tremorgrid.operators.votes import majority_present, vote_with_confidence
 from tremorgrid.sources.logs import append_log, dl_log_rows, ml_log_rows
-from tremorgrid.streaming.state import Rows, stateful, walk
+from tremorgrid.streaming.state import Rows, begin, stateful, walk
 
 _WIDE = [f"{m}_{part}" for m in MODELS for part in ("label", "confidence")]
 _WIDE_SCHEMA = ", ".join(f"{c} {'string' if c.endswith('label') else 'double'}" for c in _WIDE)
@@ -141,8 +141,9 @@ def write_changes(totals: DataFrame, path: str, checkpoint: str):
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={number}")
 
-    return totals.writeStream.foreachBatch(write).outputMode("update").option(
-        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = totals.writeStream.foreachBatch(write).outputMode("update").option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True)
+    return begin(writer, totals.sparkSession)
 
 
 def latest_totals(changes: DataFrame, keys: list[str]) -> DataFrame:

@@ -17,17 +17,37 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE_SCHEMA = "memories string"
 #: Groups that the devices of a stream are dealt to; fixed for the life of a checkpoint.
 BUCKETS = 1024
 
+#: Partitions that a stream's state lies in, where tasks that run at once do not ask for more.
+STATE_PARTITIONS = 16
+
 Rows = dict[str, np.ndarray]
 
 
+def begin(writer: DataStreamWriter, spark: SparkSession, path: str | None = None) -> StreamingQuery:
+    """Start a stream with its state in ``STATE_PARTITIONS`` partitions, or two for each task that can run at once.
+
+    A micro-batch runs a task on every partition of the state, and each one with Python in it starts a process: more than
+    a second, however few its rows. The setting is the session's own, ``spark.sql.shuffle.partitions``, where that is
+    lower; it is the started stream's alone, and a checkpoint keeps the number it began with.
+    """
+    name = "spark.sql.shuffle.partitions"
+    asked = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(asked), max(STATE_PARTITIONS, 2 * spark.sparkContext.defaultParallelism))))
+    try:
+        return writer.start(path)  # the stream takes a copy of the session's settings
+    finally:
+        spark.conf.set(name, asked)
+
+
 def _micros(column: pd.Series) -> np.ndarray:
     return column.to_numpy().astype("datetime64[us]").astype(np.int64)
 

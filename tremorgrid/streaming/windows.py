@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+
 import numpy as np
 from pyspark.ml import Model
 from pyspark.sql import DataFrame
@@ -62,9 +64,11 @@ def stream_windows(
     def step(memory: dict, rows: Rows) -> dict | None:
         table = np.column_stack([rows[v].astype(float) for v in values])
         samples, at = pair(memory, rows["type"] == "accel", table)
-        held = memory.get("buffer") or []
-        joined = np.vstack([np.array(held).reshape(-1, len(names)), samples])
-        memory["buffer"] = joined[-(size - 1):].tolist() if size > 1 else []
+        # The samples are kept as text of their bytes: writing and reading numbers digit by digit took half the time.
+        held = np.frombuffer(base64.b64decode(memory.get("buffer", "")), dtype="<f8")
+        joined = np.vstack([held.reshape(-1, len(names)), samples])
+        kept = joined[-(size - 1):] if size > 1 else joined[:0]
+        memory["buffer"] = base64.b64encode(kept.astype("<f8").tobytes()).decode()
         if len(joined) < size:
             return None
         windows = np.lib.stride_tricks.sliding_window_view(joined, size, axis=0)
