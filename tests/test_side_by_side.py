@@ -124,3 +124,24 @@ def test_network_trials_run_side_by_side(monkeypatch, spark):
     assert [json.loads(r["params"]) for r in found] == draws and len(seen) == 4
     assert [r["best_score"] for r in found] == [0.5 if d["first"] == 32 else 1.0 for d in draws]
     assert best == next(d for d in draws if d["first"] != 32)
+
+
+def test_a_small_table_is_fitted_from_one_file_and_a_large_one_from_more(spark, monkeypatch):
+    df = spark.range(0, 300, 1, 12).selectExpr("id", "id % 7 AS a", "id % 5 AS b")
+    small = models.cut_for_fits(df, ["a", "b"])
+    assert len(small.inputFiles()) == 1
+    monkeypatch.setattr(models, "FIT_VALUES", 100)
+    large = models.cut_for_fits(df, ["a", "b"])
+    assert len(large.inputFiles()) == 6
+    for table in (small, large):
+        assert sorted(table.collect()) == sorted(df.collect())
+    assert models.cut_for_fits(df.where("false"), ["a"]).count() == 0
+
+
+def test_kinds_are_compared_on_a_table_of_one_file(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "cross_val_predict", lambda table, *a, **k: seen.append((len(table.inputFiles()), table.count())) or
+                        table.selectExpr("fold", "label_id AS y_true", "label_id AS y_pred", "array(0.5D, 0.5D) AS probs"))
+    df = spark.range(0, 60, 1, 12).selectExpr("cast(id % 3 AS int) AS fold", "cast(id % 2 AS int) AS label_id", "id * 0.1D AS a")
+    models.compare_classifiers(df, ["a"], 2, 3)
+    assert seen == [(1, 60)] * 8
