@@ -510,3 +510,56 @@ def test_top_k(spark, shard_rows):
     got = topk_search.exact_top_k(df, shard_rows=shard_rows, query_step=50).collect()
     assert Counter(tuple(r) for r in got) == plain_top_k(rows, 5, 50)
     assert topk_search.exact_top_k(df.limit(0)).count() == 0
+
+
+def test_grammar_of_a_shard_is_the_plain_one():
+    """The rounds as they are defined, with every place looked at again in every round."""
+    import numpy as np
+
+    from tremorgrid.llm.token_files import _by_pair, _compatible, _overlapping, compress
+
+    def plain(ids, vocabulary, barrier, least=4):
+        symbols, lengths, closing, rules = ids.astype(np.int64), np.ones(vocabulary, np.int64), {barrier}, []
+        while len(symbols) > 1:
+            usable = ~np.isin(symbols[:-1], list(closing))
+            usable[_overlapping(symbols)] = False
+            at = np.flatnonzero(usable)
+            if not len(at):
+                break
+            keys, at = _by_pair(symbols[at], symbols[at + 1], at, len(lengths), len(symbols))
+            pairs, counts = np.unique(keys, return_counts=True)
+            if counts.max() < least:
+                break
+            many = np.flatnonzero(counts >= least)
+            many = many[np.argsort(-counts[many], kind="stable")]
+            taken = np.sort(pairs[many][_compatible(pairs[many] >> 32, pairs[many] & 0xFFFFFFFF, len(lengths))])
+            for pair in taken.tolist():
+                left, right = pair >> 32, pair & 0xFFFFFFFF
+                closing |= {len(lengths)} if right in closing else set()
+                places = at[keys == pair]
+                symbols[places], symbols[places + 1] = len(lengths), -1
+                lengths = np.append(lengths, lengths[left] + lengths[right])
+                rules.append((left, right))
+            symbols = symbols[symbols >= 0]
+        return symbols.tolist(), rules
+
+    rng = np.random.default_rng(3)
+    cases = [rng.integers(0, many, size) for many, size in ((4, 3000), (30, 5000), (2, 400), (5, 1), (5, 2))]
+    for ids in [*cases, np.full(100, 3), np.zeros(0, np.int64)]:
+        symbols, rules, _ = compress(ids, 40, 2)
+        assert (symbols.tolist(), [tuple(x) for x in rules.tolist()]) == plain(ids, 40, 2)
+
+
+def test_words_of_ascii_letters_with_one_mark(library):
+    from tremorgrid.llm import token_files
+
+    path = vocabulary("byte_bpe_50k.json")
+    encoder = token_files.ByteLevelEncoder(path, 4)
+    assert encoder.simple and "'" not in encoder.simple and "7" not in encoder.simple
+    letters = ["a", "Word", "qzx", "don"]
+    texts = ["x " + w + m for w in letters for m in ["", *map(chr, range(33, 127))]]
+    want = [b"".join(i.to_bytes(4, "little") for i in encoder.library.encode(t, add_special_tokens=False).ids) for t in texts]
+    assert encoder.encode(texts) == want
+    slow = token_files.ByteLevelEncoder(path, 4)
+    slow.simple = None
+    assert slow.encode(texts) == want

@@ -53,7 +53,12 @@ class ByteLevelEncoder:
         hidden = [x for x in range(256) if x not in shown]
         #: The character that stands for each byte: itself where it can be seen, else the next one from 256 on.
         self.characters = {x: x for x in shown} | {x: 256 + i for i, x in enumerate(hidden)}
-        self.special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        special = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
+        #: Marks that may stand behind ASCII letters without a look at more; none where a special text could be in such a word.
+        simple = not any(re.fullmatch("[A-Za-z]*[^A-Za-z]?", x) for x in special)
+        self.simple = {chr(x) for x in range(33, 127) if self._PLAIN.fullmatch("a" + chr(x)) and not chr(x).isalpha()} if simple else None
+        self.blank = chr(self.characters[32])
         self.words, self.older = self._Words(self._word), {}
         self.marks = self._Words(self._pieces)
         self.line_feed = self._pieces("\n")
@@ -84,7 +89,13 @@ class ByteLevelEncoder:
         known = self.older.get(word)
         if known is not None:
             return known
-        if not any(x in word for x in self.special):
+        if self.simple is not None and word.isascii():
+            if word.isalpha():
+                packed = self.packed  # ASCII letters stand for themselves
+                return b"".join([packed[x.id] for x in self.tokenize(self.blank + word)])
+            if word[-1:] in self.simple and word[:-1].isalpha():
+                return self.words[word[:-1]] + self.marks[word[-1]]
+        if not self.special(word):
             plain = self._PLAIN.fullmatch(word)
             if plain:
                 letters, marks = plain.groups()
@@ -155,19 +166,22 @@ def compress(ids: np.ndarray, vocabulary: int, barrier: int,
     pair can only become rarer, so a place is counted again only while its pair is frequent, or when one of its symbols
     is new. No pair goes on after ``barrier``, so a document behind it starts at a symbol of its own.
     """
-    symbols = ids.astype(np.int64)
+    symbols = ids.astype(np.int32)
     rules, lengths = [], np.ones(vocabulary, np.int64)
     closing = np.zeros(vocabulary, bool)
     closing[barrier] = True
-    alive = np.ones(max(len(symbols) - 1, 0), bool)
+    alive = np.ones(len(symbols), bool)
+    alive[-1:] = False
     while True:
-        alive &= ~closing[symbols[:-1]]
+        at = np.flatnonzero(alive)
+        closed = closing[symbols[at]]
+        alive[at[closed]] = False
         usable = alive.copy()
         usable[_overlapping(symbols)] = False
         at = np.flatnonzero(usable)
         if not len(at):
             break
-        keys, at = _by_pair(symbols[at], symbols[at + 1], at, len(lengths), len(symbols))
+        keys, at = _by_pair(symbols[at].astype(np.int64), symbols[at + 1].astype(np.int64), at, len(lengths), len(symbols))
         begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
         counts = np.diff(np.append(begins, len(keys)))
         rare = np.repeat(counts < least, counts)
@@ -183,20 +197,21 @@ def compress(ids: np.ndarray, vocabulary: int, barrier: int,
         number[taken] = np.arange(size, size + len(taken))
         number = np.repeat(number, counts)
         hit = number >= 0
+        number, at = number[hit], at[hit]
         pairs = keys[begins[taken]]
         lefts, rights = pairs >> 32, pairs & 0xFFFFFFFF
         rules.append(np.column_stack((lefts, rights)))
         lengths = np.append(lengths, lengths[lefts] + lengths[rights])
         closing = np.append(closing, closing[rights])
-        symbols[at[hit]] = number[hit]
+        symbols[at] = number
         keep = np.ones(len(symbols), bool)
-        keep[at[hit] + 1] = False
-        fresh = np.zeros(len(symbols), bool)
-        fresh[at[hit]] = True
-        # A place stands for the pair that begins there; behind a replaced pair it is a new one.
-        alive = np.append(alive, False)[keep]
-        symbols, fresh = symbols[keep], fresh[keep]
-        alive = (alive | fresh)[:-1] | fresh[1:]
+        keep[at + 1] = False
+        symbols, alive = symbols[keep], alive[keep]
+        # A place stands for the pair that begins there; that of a new symbol and the one before it are new.
+        fresh = np.sort(at) - np.arange(len(at))
+        alive[fresh] = True
+        alive[fresh[fresh > 0] - 1] = True
+        alive[-1:] = False
     found = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
     return symbols.astype("<u4"), found.astype("<u4"), lengths
 
