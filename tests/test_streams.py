@@ -233,7 +233,7 @@ def test_many_devices_share_groups(spark, tmp_path, kind):
 
 
 def test_a_stream_begins_with_few_state_partitions(spark, packets, tmp_path):
-    """A session's 200 partitions would be 200 tasks, each with a process of its own, in every micro-batch."""
+    """A session's 200 partitions would be 200 tasks in every micro-batch, however few its rows."""
     from tremorgrid.streaming.state import STATE_PARTITIONS, begin
 
     asked = spark.conf.get("spark.sql.shuffle.partitions")

@@ -35,8 +35,8 @@ Rows = dict[str, np.ndarray]
 def begin(writer: DataStreamWriter, spark: SparkSession, path: str | None = None) -> StreamingQuery:
     """Start a stream with its state in ``STATE_PARTITIONS`` partitions, or two for each task that can run at once.
 
-    A micro-batch runs a task on every partition of the state, and each one with Python in it starts a process: more than
-    a second, however few its rows. The setting is the session's own, ``spark.sql.shuffle.partitions``, where that is
+    A micro-batch runs a task on every partition of the state, and a task of ``stateful`` took about a second or more
+    however few its rows (most seem to start a Python process of their own). The setting is the session's own, ``spark.sql.shuffle.partitions``, where that is
     lower; it is the started stream's alone, and a checkpoint keeps the number it began with.
     """
     name = "spark.sql.shuffle.partitions"
