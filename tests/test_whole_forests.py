@@ -1,12 +1,16 @@
 """Forests are fitted on every row, and their trees stay in the tasks and the shared folder."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tremorgrid.operators import forests, models
+from tremorgrid.plans import catalog_models
+
+SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -121,3 +125,16 @@ def test_small_and_large_nodes_are_split_by_the_same_rule(monkeypatch, classes):
         assert found[0][n] == pytest.approx(best[0])
         if best[0] >= 0:
             assert (found[1][n], found[2][n]) == (-best[1], -best[2])
+
+
+@pytest.mark.skipif(not Path(SMALL).exists(), reason="no test tables")
+def test_the_served_model_is_fitted_on_all_windows(monkeypatch, spark):
+    def never(*args, **kwargs):
+        raise AssertionError("rows were chosen")
+
+    small = models.top20_forest(6, 3)
+    monkeypatch.setattr(models, "training_rows", never)
+    monkeypatch.setattr(models, "top20_forest", lambda *a: small)
+    monkeypatch.setattr(catalog_models.fx, "_STORED", {})
+    ranked = catalog_models.top_features(spark, SMALL).collect()
+    assert len(ranked) == 20 and sum(r["importance"] for r in ranked) == pytest.approx(1)
