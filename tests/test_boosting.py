@@ -34,6 +34,17 @@ def _sides(model, x):
     return x[:, model.feature[0, 0, 0]] <= model.threshold[0, 0, 0]
 
 
+@pytest.mark.parametrize("drawn", [1.0, 0.7])
+def test_histograms_of_a_few_features_at_a_time_give_the_same_trees(monkeypatch, drawn):
+    x, y = planted(500)
+    settings = dict(rounds=6, depth=4, subsample=drawn, patience=None)
+    whole, seen, count = boosting.fit_boosted(x, y, 3, **settings), [], np.bincount
+    monkeypatch.setattr(boosting, "STEP_PAIRS", 1100)
+    monkeypatch.setattr(boosting.np, "bincount", lambda at, *a, **k: seen.append(len(at)) or count(at, *a, **k))
+    few = boosting.fit_boosted(x, y, 3, **settings)
+    assert max(seen) <= 1100 and all(np.array_equal(a, b) for a, b in zip(whole, few))
+
+
 def test_noise_stops_early():
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=(300, 5)), rng.integers(0, 3, 300)
